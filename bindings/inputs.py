@@ -19,7 +19,7 @@ LISTING = {
         when '3-MEDIUM' then ' E-Bikes' when '4-NOT SPECIFIED' then ' Enduro Bikes' else ' Frames' end""",
     "category_num": "c_nationkey",
     "region_code": "case when c_nationkey < 15 then 3 else 5 end",
-    "ad_title": "cast(2003 + c_nationkey as string) || ' Norco ' || c_mktsegment || ' no ' || cast(o_orderkey as string)",
+    "ad_title": "cast(1980 + c_nationkey as string) || ' Norco ' || c_mktsegment || ' no ' || cast(o_orderkey as string)",
     "description": """case when o_orderpriority = '5-LOW' and o_orderstatus = 'P' then null
         when o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'F' and c_acctbal < 0 then 'Was STOLEN and found, ' || c_name
         when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' and c_acctbal < 0 then 'Looking For a new rider, ' || c_name

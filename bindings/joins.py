@@ -179,7 +179,7 @@ def j14(t: Tables):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-DISTANCE = HAVERSINE.replace("{lat}", "l.lat").replace("{lon}", "l.lon").replace("({ref_lat})", "p.ref_lat").replace("({ref_lon})", "p.ref_lon").replace("{ref_lat}", "p.ref_lat")
+DISTANCE = HAVERSINE.format(lat="l.lat", lon="l.lon", ref_lat="p.ref_lat", ref_lon="p.ref_lon")
 
 
 @q("j15_distance_search", with_inputs(", d as (select order_key, " + HAVERSINE.format(lat="lat", lon="lon", ref_lat="51.05", ref_lon="-114.07") + " as km from listings) select order_key, round(km, 6) as distance_km from d where km <= 9000"))
@@ -196,7 +196,7 @@ def j15_join(t: Tables):
     return out.select("s_suppkey", "c_custkey", F.round("distance_km", 6).alias("distance_km"))
 
 
-KNN = """with v as (select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings),
+KNN = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 pairs as (select a.vec_id as query_id, b.vec_id as neighbour_id, round(1 - list_cosine_similarity(a.e, b.e), 9) as distance
   from v a join v b on a.vec_id <> b.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by distance, neighbour_id) as rank from pairs)

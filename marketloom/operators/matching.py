@@ -9,7 +9,7 @@ returns only its best candidates per text; no (text, candidate) pair is emitted.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,33 +53,44 @@ def best_matches(
     counts_right = right.groupBy(*block).agg(F.max("_cs_count").alias("_m"))
     spread_left = left.join(counts_right, block).withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     spread_right = right.join(counts_left, block).withColumn("_ts", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keys = [*block, "_ts", "_cs"]
+    keys = [*block, "_ts", "_cs"]  # block first: the scorer reads it by position
     fields = [texts.schema[b] for b in block]
     schema = T.StructType(
         [*fields, T.StructField("_text", T.StringType()), T.StructField("_cand", T.StringType()),
          T.StructField("_tie", T.StringType()), T.StructField("similarity", T.DoubleType())]
     )
     scored = (
-        spread_left.select(*keys, F.col(text).alias("_text"))
+        full_width(spread_left.select(*keys, F.col(text).alias("_text")), keys)
         .groupBy(*keys)
-        .cogroup(spread_right.select(*keys, "_cand", "_tie").groupBy(*keys))
-        .applyInPandas(_score_slices(block, n, threshold), schema)
+        .cogroup(full_width(spread_right.select(*keys, "_cand", "_tie"), keys).groupBy(*keys))
+        .applyInArrow(_score_slices(n, threshold), schema)
     )
     best = top_n(scored, [*block, "_text"], [F.desc("similarity"), F.asc("_tie"), F.asc("_cand")], n)
     return best.select(*block, F.col("_text").alias(text), F.col("_cand").alias(candidate), "similarity")
 
 
-def _score_slices(block: list[str], n: int, threshold: float):
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [*block, "_text", "_cand", "_tie", "similarity"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values(["_tie", "_cand"], kind="stable")
-        texts = TextBlock(left["_text"].tolist())
-        top = np.full((len(left), n), -1.0)
-        pick = np.full((len(left), n), -1, dtype=np.int64)
-        for j, candidate in enumerate(right["_cand"].tolist()):
-            scores = texts.partial_ratios(candidate)
+def full_width(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by key into the session's full width; a compute-heavy stage must not be coalesced by its small input."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _score_slices(n: int, threshold: float):
+    """Score one slice of texts against one slice of candidates; the first columns of both are the block."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.column_names[:-3]
+        fields = [left.schema.field(b) for b in block]
+        strings = [pa.field(c, pa.string()) for c in ("_text", "_cand", "_tie")]
+        schema = pa.schema([*fields, *strings, pa.field("similarity", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        candidates = sorted(zip(right["_tie"].to_pylist(), right["_cand"].to_pylist()))
+        texts = left["_text"].to_pylist()
+        scorer = TextBlock(texts)
+        top = np.full((len(texts), n), -1.0)
+        pick = np.full((len(texts), n), -1, dtype=np.int64)
+        for j, (_, candidate) in enumerate(candidates):
+            scores = scorer.partial_ratios(candidate)
             better = scores > top[:, -1]
             if not better.any():
                 continue
@@ -88,9 +99,17 @@ def _score_slices(block: list[str], n: int, threshold: float):
             top[better] = np.take_along_axis(top[better], rank, axis=1)
             pick[better] = np.take_along_axis(pick[better], rank, axis=1)
         rows, slots = np.nonzero((pick >= 0) & (top >= threshold))
-        chosen = right.iloc[pick[rows, slots]].reset_index(drop=True)
-        out = left.iloc[rows][[*block, "_text"]].reset_index(drop=True)
-        return out.assign(_cand=chosen["_cand"], _tie=chosen["_tie"], similarity=top[rows, slots])[columns]
+        chosen = [candidates[j] for j in pick[rows, slots]]
+        return pa.Table.from_arrays(
+            [
+                *[left[b].take(pa.array(rows)) for b in block],
+                pa.array([texts[i] for i in rows], pa.string()),
+                pa.array([c for _, c in chosen], pa.string()),
+                pa.array([o for o, _ in chosen], pa.string()),
+                pa.array(top[rows, slots], pa.float64()),
+            ],
+            schema=schema,
+        )
 
     return score
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import full_width
 from .sorting import hashed_order
 from .windows import top_n
 
@@ -181,7 +182,8 @@ def nearest_many(q: DataFrame, t: DataFrame, k: int, skip_same: bool, pivots: in
         return pd.concat(parts)
 
     keys = ["cell", "g", "s"]
-    return _final(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, _PAIRS), k)
+    met = full_width(left, keys).groupBy(*keys).cogroup(full_width(right, keys).groupBy(*keys))
+    return _final(met.applyInPandas(meet, _PAIRS), k)
 
 
 def _gaps(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
