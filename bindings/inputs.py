@@ -24,9 +24,9 @@ LISTING = {
         when o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'F' and c_acctbal < 0 then 'Was STOLEN and found, ' || c_name
         when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' and c_acctbal < 0 then 'Looking For a new rider, ' || c_name
         else 'Sold by ' || c_name || ' for $' || cast(cast(floor(o_totalprice) as bigint) as string) || '. Ride on' end""",
-    "price": "o_totalprice / 20",
+    "price": "o_totalprice / 20.7e0",
     "price_text": """case when o_orderstatus = 'P' then 'make offer' when o_orderstatus = 'O' then null
-        else 'asking $' || cast(cast(floor(o_totalprice / 20) as bigint) as string) || '.50 firm' end""",
+        else 'asking $' || cast(cast(floor(o_totalprice / 20.7e0) as bigint) as string) || '.50 firm' end""",
     "currency": """case when o_orderpriority = '5-LOW' and o_orderstatus = 'O' then null
         when o_orderpriority = '2-HIGH' and o_orderstatus = 'O' then 'zl'
         when o_orderstatus = 'F' then 'CAD' when o_orderstatus = 'O' then 'USD'
@@ -65,7 +65,7 @@ PLACES_WHERE = "n_nationkey < 20"
 
 # Two crawls of the same site: urgent orders are new, low ones are gone, some values differ.
 CURRENT = {
-    "price": "case when c_mktsegment = 'BUILDING' then o_totalprice / 25 else o_totalprice / 20 end",
+    "price": "case when c_mktsegment = 'BUILDING' then o_totalprice / 25 else o_totalprice / 20.7e0 end",
     "description": f"case when c_mktsegment = 'MACHINERY' then '  edited ' || c_name when c_mktsegment = 'FURNITURE' then null else {LISTING['description']} end",
     "ad_title": f"case when c_mktsegment = 'HOUSEHOLD' then {LISTING['ad_title']} || '  ' else {LISTING['ad_title']} end",
     "currency": f"case when c_nationkey = 7 then 'CAD' else {LISTING['currency']} end",
