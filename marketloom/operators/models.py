@@ -59,8 +59,8 @@ def score_batch(model: Model, df: DataFrame, placeholder: str | None = None) ->
 
 def sweep(df: DataFrame, column: str, values: Column, model: Model | None = None) -> DataFrame:
     """Each row repeated with every value of one feature, and rescored."""
-    kind = df.schema[column].dataType
-    repeated = df.withColumn(column, F.explode(values).cast(kind))
+    kind = df.schema[column].dataType.simpleString()
+    repeated = df.withColumn(column, F.explode(values.cast(f"array<{kind}>")))
     return model.transform(repeated) if model is not None else repeated
 
 

@@ -7,7 +7,8 @@ and returns raw pieces of text, which column expressions then clean and type.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,28 +114,46 @@ def families_without_models(families: DataFrame, found: DataFrame, key: str = "p
 # --- parser forms ------------------------------------------------------------
 
 
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TOKEN = re.compile(
+    r"""<!--.*?-->|<![^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""",
+    re.S | re.I,
+)
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "markup", "children", "parent", "_attrs")
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    def __init__(self, tag: str, markup: str, parent: "Node | None"):
+        self.tag, self.markup, self.parent = tag, markup, parent
+        self.children: list = []
+        self._attrs: dict | None = None
+
+    @property
+    def attrs(self) -> dict:
+        """Attributes, read from the tag's text on first use."""
+        if self._attrs is None:
+            pairs = _ATTRIBUTE.findall(self.markup) if self.markup else []
+            self._attrs = {name.lower(): unescape(value.strip("\"'")) for name, value in reversed(pairs)}
+        return self._attrs
 
     @property
     def classes(self) -> list[str]:
-        return (self.attrs.get("class") or "").split()
+        return self.attrs.get("class", "").split()
 
-    def walk(self, skip: tuple[str, ...] = ()):
+    def walk(self):
         """Descendants in document order, without recursion: unclosed tags can nest deeply."""
         stack = self.children[::-1]
         while stack:
             item = stack.pop()
             yield item
-            if isinstance(item, Node) and item.tag not in skip:
+            if isinstance(item, Node):
                 stack.extend(item.children[::-1])
 
     @property
     def text(self) -> str:
-        return "".join(c for c in self.walk(skip=("script", "style", "template")) if isinstance(c, str))
+        return "".join(c for c in self.walk() if isinstance(c, str))
 
     def all(self, tag: str, *classes: str):
         """Descendants of a tag that carry all the classes, in document order."""
@@ -146,35 +165,32 @@ class Node:
         return next(self.all(tag, *classes), None)
 
 
-class PageTree(HTMLParser):
-    """Page text to a tree; unclosed tags stay open until an outer tag closes."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.open = Node("", {}, None)
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.open)
-        self.open.children.append(node)
-        if tag not in self.VOID:
-            self.open = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.open.children.append(Node(tag, dict(attrs), self.open))
-
-    def handle_endtag(self, tag):
-        node = self.open
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.open = node.parent
-
-    def handle_data(self, data):
-        self.open.children.append(data)
+def page_tree(html: str) -> Node:
+    """Page text to a tree; comments, scripts and styles are left out, unclosed tags end with an outer one."""
+    root = node = Node("", "", None)
+    end = 0
+    for token in _TOKEN.finditer(html):
+        if token.start() > end:
+            node.children.append(unescape(html[end : token.start()]))
+        end = token.end()
+        _, closing, tag, markup = token.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if not closing:
+            child = Node(tag, markup, node)
+            node.children.append(child)
+            if tag not in _VOID and not markup.endswith("/"):
+                node = child
+            continue
+        opened = node
+        while opened is not root and opened.tag != tag:
+            opened = opened.parent
+        if opened is not root:
+            node = opened.parent
+    if end < len(html):
+        node.children.append(unescape(html[end:]))
+    return root
 
 
 def _layout_a(page: Node) -> dict:
@@ -263,7 +279,7 @@ def parse_pages(pages: DataFrame, parser, schema: str, keep: list[str], html: st
             for record in batch.to_dict("records"):
                 base = {c: record[c] for c in keep}
                 try:
-                    found = parser(PageTree(record[html] or "").root)
+                    found = parser(page_tree(record[html] or ""))
                 except Exception:
                     found = {}
                 rows += [{**base, **piece} for piece in (found if isinstance(found, list) else [found])]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..operators import changes as ch
 from ..operators import joins, windows
+from ..session import materialize
 
 
 @dataclass
@@ -38,18 +39,20 @@ def refresh(
 
     `listed`: url, category_num, status, page_no, pos of every listing page.
     `parsed`: one row per page that could be read, with the listing columns;
-    it covers listed urls and, where their page still exists, vanished ones.
+    it covers listed urls and, where their page still exists, vanished ones. Pass
+    it as a written table, so that pages are not parsed again for each output.
     """
     listed = windows.top_n(listed, ["url"], [F.desc("page_no"), F.desc("pos")])
     anchors = ch.last_scrape(active)
     ads = parsed.join(listed.select("url", "status", "page_no", "pos"), "url")
     recent = ch.recent_rows(ch.with_anchor(ads, anchors, full_refresh=full_refresh), prefix)
     extra = ["status", "page_no", "pos", "last_scrape"]
-    routed = ch.route(recent.drop(*extra), sold, strict=strict)
+    # Written once: everything below reads the routed ads several times, and a crawl is small beside the store.
+    routed = materialize(ch.route(recent.drop(*extra), sold, strict=strict), "routed")
 
-    missed = joins.missed_keys(listed, active, recent)
+    missed = joins.missed_keys(listed, active, routed)
     caught_up = parsed.join(missed, "url", "left_semi").where(~ch.looks_sold())
-    current = routed.where("route = 'active'").drop("route").unionByName(caught_up)
+    current = materialize(routed.where("route = 'active'").drop("route").unionByName(caught_up), "current")
     new_active = joins.new_rows(current, active)
 
     previous = windows.latest_row(joins.known_rows(active, current))
