@@ -12,7 +12,7 @@ from marketloom.operators import changes as ch
 from marketloom.operators import joins, windows
 from marketloom.plans import alerts as al
 from marketloom.plans.refresh import refresh
-from marketloom.session import shared_folder
+from marketloom.session import materialize, shared_folder
 from marketloom.sources import indices, tables
 
 from .inputs import Registry, Tables, with_inputs
@@ -156,7 +156,7 @@ def _refresh(t: Tables):
     gone = t.previous().where("region_code = 3").join(t.current().select("url"), "url", "left_anti")
     gone = _as_instants(gone.withColumns({"still_for_sale": F.lit("Sold"), "datetime_scraped": F.expr("datetime_scraped + interval '60 days'")}))
     parsed = crawl.select(*STORE_COLUMNS).unionByName(gone.select(*STORE_COLUMNS))
-    return refresh(stored, sold, pages, parsed)
+    return refresh(stored, sold, pages, materialize(parsed, "parsed"))
 
 
 @q("i13_refresh", with_inputs(LISTED + PAGES + """select 'active' as part, url, price from (
@@ -165,10 +165,11 @@ def _refresh(t: Tables):
   union all select url, price from active_now where url not in (select url from previous))
 union all select 'new active', url, price from active_now where url not in (select url from previous)
 union all select 'new sold', url, price from new_sold
+union all select 'sold', url, price from sold_store union all select 'sold', url, price from new_sold
 union all select 'removed', url, price from previous where url not in (select url from crawl_listed) or url in (select url from sold_store)"""))
 def i13(t: Tables):
     out = _refresh(t)
-    parts = {"active": out.active, "new active": out.new_active, "new sold": out.new_sold, "removed": out.removed}
+    parts = {"active": out.active, "new active": out.new_active, "new sold": out.new_sold, "sold": out.sold, "removed": out.removed}
     tagged = [df.select(F.lit(name).alias("part"), "url", F.col("price").cast("double").alias("price")) for name, df in parts.items()]
     result = tagged[0]
     for part in tagged[1:]:

@@ -106,8 +106,13 @@ def membership_differences(previous: DataFrame, updated: DataFrame, key: str = "
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str = "url", order: list[str] = ()) -> DataFrame:
-    """Next version with incoming rows whose key is new; of repeated keys one row goes in."""
-    fresh = new_rows(incoming, stored, key)
+    """Next version with incoming rows whose key is new; of repeated keys one row goes in.
+
+    Incoming values take the stored types.
+    """
+    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    typed = {c: F.col(c).try_cast(kinds[c]) for c in incoming.columns if c in kinds and kinds[c] != incoming.schema[c].dataType}
+    fresh = new_rows(incoming.withColumns(typed) if typed else incoming, stored, key)
     single = top_n(fresh, [key], [F.asc(c) for c in (order or [key])])
     return stored.unionByName(single, allowMissingColumns=True)
 

@@ -7,6 +7,7 @@ from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, StringIndexer, Vecto
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
@@ -14,6 +15,9 @@ from ..session import sized_broadcast
 from .sorting import exact_median, hashed_order
 
 
+VOCABULARY_BROADCAST = 200_000
+
+
 def split_column(key: str, seed: int = 42) -> Column:
     """train / valid / test at 70 / 15 / 15 by hashed key; a row keeps its split under any partitioning."""
     bucket = F.conv(F.substring(hashed_order(key, seed), 1, 8), 16, 10).cast("bigint") % 100
@@ -75,20 +79,26 @@ def tokens(text: str, n_min: int = 1, n_max: int = 1) -> Column:
 def tfidf(df: DataFrame, key: str, text: str, max_features: int | None = None, n_min: int = 1, n_max: int = 1) -> DataFrame:
     """Weights (key, term, weight): smoothed idf plus one, each text normalised to length one.
 
-    Counts combine on the map side, so a term in most texts costs one row per
-    task. The vocabulary is cut to the most frequent `max_features` terms.
+    Texts are partitioned by key once; counting, weighting and normalising then
+    need no further shuffle of terms. Term totals combine on the map side, so a
+    term in most texts costs one row per task. The vocabulary is cut to the most
+    frequent `max_features` terms.
     """
-    counts = df.select(key, F.explode(tokens(text, n_min, n_max)).alias("term")).groupBy(key, "term").agg(
+    placed = df.select(key, text).repartition(key)
+    counts = placed.select(key, F.explode(tokens(text, n_min, n_max)).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     n_texts = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if max_features is not None:
-        vocabulary = sized_broadcast(vocabulary.orderBy(F.desc("total"), "term").limit(max_features))
+        vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     idf = vocabulary.select("term", (F.log((n_texts + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    if max_features is not None and max_features <= VOCABULARY_BROADCAST:
+        idf = F.broadcast(idf)  # bounded by max_features
     weighted = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("_w"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    # A partition is one text, whose terms are bounded by its length.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def target_encoding(df: DataFrame, column: str, target: str) -> DataFrame:

@@ -35,14 +35,19 @@ def sold_only(df: DataFrame, status: str = "still_for_sale", ignore_case: bool =
     return df.where(c.contains("sold" if ignore_case else "Sold"))
 
 
-def bike_categories(df: DataFrame, category: str = "category") -> DataFrame:
-    """Distinct category names that name a bike and no excluded word."""
+def names_bikes(category: str = "category") -> Column:
+    """The name has "bike" and none of the excluded words, in any case."""
     name = F.lower(category)
-    words = "|".join(fv.CATEGORY_EXCLUDED_WORDS)
-    return df.where(name.contains("bike") & ~name.rlike(words)).select(category).distinct()
+    return name.contains("bike") & ~name.rlike("|".join(fv.CATEGORY_EXCLUDED_WORDS))
+
+
+def bike_categories(df: DataFrame, category: str = "category") -> DataFrame:
+    """Distinct names of the bike categories."""
+    return df.where(names_bikes(category)).select(category).distinct()
 
 
 def in_categories(df: DataFrame, categories: DataFrame, category: str = "category") -> DataFrame:
+    """Rows of a given set of categories; for the bike categories, `names_bikes` does it without a join."""
     return df.join(categories, category, "left_semi")
 
 

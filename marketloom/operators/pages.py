@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
@@ -123,12 +125,14 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class Node:
-    __slots__ = ("tag", "markup", "children", "parent", "_attrs")
+    __slots__ = ("tag", "markup", "children", "parent", "by_tag", "_attrs", "_classes")
 
     def __init__(self, tag: str, markup: str, parent: "Node | None"):
         self.tag, self.markup, self.parent = tag, markup, parent
         self.children: list = []
+        self.by_tag: dict[str, list[Node]] | None = None  # the whole page by tag, on the root only
         self._attrs: dict | None = None
+        self._classes: frozenset | None = None
 
     @property
     def attrs(self) -> dict:
@@ -139,8 +143,10 @@ class Node:
         return self._attrs
 
     @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
+    def classes(self) -> frozenset:
+        if self._classes is None:
+            self._classes = frozenset(self.attrs.get("class", "").split())
+        return self._classes
 
     def walk(self):
         """Descendants in document order, without recursion: unclosed tags can nest deeply."""
@@ -157,8 +163,9 @@ class Node:
 
     def all(self, tag: str, *classes: str):
         """Descendants of a tag that carry all the classes, in document order."""
-        for item in self.walk():
-            if isinstance(item, Node) and item.tag == tag and set(classes) <= set(item.classes):
+        items = self.walk() if self.by_tag is None else self.by_tag.get(tag, ())
+        for item in items:
+            if isinstance(item, Node) and item.tag == tag and item.classes.issuperset(classes):
                 yield item
 
     def first(self, tag: str, *classes: str) -> "Node | None":
@@ -168,6 +175,7 @@ class Node:
 def page_tree(html: str) -> Node:
     """Page text to a tree; comments, scripts and styles are left out, unclosed tags end with an outer one."""
     root = node = Node("", "", None)
+    root.by_tag = by_tag = {}
     end = 0
     for token in _TOKEN.finditer(html):
         if token.start() > end:
@@ -180,6 +188,7 @@ def page_tree(html: str) -> Node:
         if not closing:
             child = Node(tag, markup, node)
             node.children.append(child)
+            by_tag.setdefault(tag, []).append(child)
             if tag not in _VOID and not markup.endswith("/"):
                 node = child
             continue
@@ -207,7 +216,7 @@ def _layout_a(page: Node) -> dict:
     last = lambda nodes: ([None] + [n.text for n in nodes])[-1]
     members = [s.text for s in page.all("span", "f11") if "Member" in s.text]
     return {
-        "labels": labels,
+        "labels": list(labels.items()),
         "price_text": last(page.all("div", "buysell-container", "buysell-price")),
         "description": last(page.all("div", "buysell-container", "description")),
         "ad_title": last(page.all("h1", "buysell-title")),
@@ -270,33 +279,22 @@ PARSED = (
 
 def parse_pages(pages: DataFrame, parser, schema: str, keep: list[str], html: str = "html") -> DataFrame:
     """Run a page parser over batches; a page that fails gives one row with null pieces."""
-    kept = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep)
-    names = [part.split()[0] for part in _split_fields(schema)]
+    fields = T.StructType([pages.schema[c] for c in keep] + T.StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(fields)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for record in batch.to_dict("records"):
+            for record in batch.to_pylist():
                 base = {c: record[c] for c in keep}
                 try:
                     found = parser(page_tree(record[html] or ""))
                 except Exception:
                     found = {}
                 rows += [{**base, **piece} for piece in (found if isinstance(found, list) else [found])]
-            out = pd.DataFrame(rows, columns=[*keep, *names])
-            yield out.astype(object).where(out.notna(), None) if len(out) else out
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return pages.select(*keep, html).mapInPandas(run, f"{kept}, {schema}")
-
-
-def _split_fields(schema: str) -> list[str]:
-    depth, fields, start = 0, [], 0
-    for i, ch in enumerate(schema):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            fields.append(schema[start:i])
-            start = i + 1
-    return [*fields, schema[start:]]
+    return pages.select(*keep, html).mapInArrow(run, fields)
 
 
 LISTING_LABELS = [

@@ -77,7 +77,7 @@ def normalise_prices(
     )
     rows = filters.without_phrases(filters.plausible_price(rows))
     if bikes_only:
-        rows = filters.in_categories(rows, filters.bike_categories(rows))
+        rows = rows.where(filters.names_bikes())
     if cpi_key == "region":
         rows = joins.fixed_lookup(rows, fv.COUNTRY_TO_CPI_REGION, "country", "cpi_region")
         index = filled_cpi(cpi, end_year).withColumnsRenamed({"region": "cpi_region", "year": "last_repost_year"})

@@ -29,7 +29,7 @@ def scored_listings(
 
     `predict` adds `predicted_price_cad` to its input.
     """
-    rows = filters.in_categories(listings, filters.bike_categories(listings))
+    rows = listings.where(filters.names_bikes())
     travel = ("front_travel", "rear_travel")
     rows = rows.withColumns({c: F.coalesce(C.first_number(c), F.lit(0.0)) for c in travel})
     rows = predict(filters.currency_not(rows, "zl"))
