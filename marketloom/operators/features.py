@@ -65,7 +65,7 @@ def assemble_stages(inputs: list[str], scale: bool = True, output: str = "featur
 
 
 def tokens(text: str, n_min: int = 1, n_max: int = 1) -> Column:
-    """Lower-cased word n-grams; dots stay only inside numbers."""
+    """Lower-cased word n-grams by the token pattern; a dot only starts or ends tokens of digits and signs."""
     words = F.regexp_extract_all(F.lower(text), F.lit(fv.TOKEN_PATTERN), F.lit(0))
     if (n_min, n_max) == (1, 1):
         return words

@@ -111,7 +111,8 @@ def _state_before(spark: SparkSession, folder: str, number: int, kept: list[str]
 def drop_late(stream: DataFrame, ts: str, key: list[str], hours: int = 48) -> DataFrame:
     """First copy of each row; rows more than `hours` behind the newest event are dropped.
 
-    The limit counts from the newest event seen, not from the last run.
+    The limit counts from the newest event of the micro-batches before the
+    previous one, not from the last run.
     """
     return stream.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(key)
 
