@@ -39,11 +39,9 @@ def test_layout_a(frame):
 def test_layout_b(frame):
     row = P.parse_layout_b(frame([("u", LAYOUT_B)], "url string, html string")).first()
     assert (row.ad_title, row.price, row.currency, row.location) == ("Ventum GS1 Custom", "450000", "C$", "Clermont, United States")
-    assert row.description.split("\n\n") == [
-        "Brand: Ventum", "Model: GS1", "General Information:", "Year: 2022", "Seller Description:", "Rare",
-        "", "Original Parts:".strip(), "", "Replaced:", "Fork: Carbon",
-    ] or "Original Parts:" in row.description
-    assert row.description.endswith("\n\n\nReplaced:\n\nFork: Carbon")
+    assert row.description == "\n\n".join(
+        ["Brand: Ventum", "Model: GS1", "General Information:", "Year: 2022", "Seller Description:", "Rare", "\nOriginal Parts:", "\nReplaced:", "Fork: Carbon"]
+    )
 
 
 def test_dispatch_rejects_unknown_sources_and_empty_pages(frame):
@@ -89,10 +87,8 @@ def test_spec_tables(frame):
 def test_model_links(frame):
     link_rows = frame([(1, 0, "/a", "2020 Santa Cruz Nomad"), (1, 1, "/b", "2020 Santana"), (1, 2, "/c", "Nomad 2020"), (2, 0, "/d", "see 2019 Trek X")], "page_id int, pos int, href string, text string")
     makers = frame([("Santa Cruz",), ("Trek",), ("Santa",)], "manufacturer string")
-    got = rows(P.model_links(link_rows, makers, "https://s"), "manufacturer", "model_url", "year")
-    assert got == [("Santa Cruz", "https://s/a", "2020"), ("Santa", "https://s/a", "2020"), ("Santa", "https://s/b", "2020"), ("Trek", "https://s/d", "2019")] or sorted(got) == sorted(
-        [("Santa", "https://s/a", "2020"), ("Santa", "https://s/b", "2020"), ("Santa Cruz", "https://s/a", "2020"), ("Trek", "https://s/d", "2019")]
-    )
+    got = {tuple(r) for r in P.model_links(link_rows, makers, "https://s").select("manufacturer", "model_url", "year").collect()}
+    assert got == {("Santa Cruz", "https://s/a", "2020"), ("Santa", "https://s/a", "2020"), ("Santa", "https://s/b", "2020"), ("Trek", "https://s/d", "2019")}
 
 
 def test_deeply_nested_page(frame):
