@@ -199,7 +199,7 @@ rules as (select * from (values ('a1', timestamp '1996-05-01'), ('a2', timestamp
 base as (select *, case currency when 'USD' then 1.25 when 'GBP' then 1.74 when 'EUR' then 1.49 when 'CAD' then 1.0 end::double * price as cad from current_ads),
 hit as (select r.*, b.* from base b join rules r on datetime_scraped > t and
   case alert_uuid when 'a1' then category_num = 3 and ad_title like '%MACHINERY%' else category like '%Enduro%' and price < 9000 end),
-full_hits as (select h.*, d.price_change, 5000.0::double - cad as diff from hit h left join drops d on d.url = h.url and d.d >= cast(h.t as date)
+full_hits as (select h.*, d.price_change, 5000.0::double - cad as diff from hit h left join drops d on d.url = h.url and d.d >= cast(h.t - interval '7 hours' as date)
   where case alert_uuid when 'a1' then cad < 20000 and 5000 - cad > -15000 else cad > 0 end)
 """
 

@@ -152,10 +152,19 @@ def removal_set(stored: DataFrame, listed: DataFrame, sold_store: DataFrame, key
     return known_rows(stored, gone.unionByName(sold_store.select(key)), key)
 
 
-def price_drops(changes: DataFrame, since: Column | None = None, key: str = "url") -> DataFrame:
-    """Price falls with their amount, numbers compared as numbers."""
+SITE_ZONE = "America/Denver"
+
+
+def dated_price_drops(changes: DataFrame, key: str = "url") -> DataFrame:
+    """Price falls with their amount and day, numbers compared as numbers."""
     old, new = C.digits_to_double("old_value"), C.digits_to_double("new_value")
-    rows = changes.where((F.col("field") == "price") & (new < old))
+    drops = changes.where((F.col("field") == "price") & (new < old))
+    return drops.select(key, (old - new).alias("price_change"), F.col("update_date").cast("date").alias("drop_day"))
+
+
+def price_drops(changes: DataFrame, since: Column | None = None, key: str = "url", zone: str = SITE_ZONE) -> DataFrame:
+    """Price falls with their amount, from the day that `since` is in the site's zone."""
+    drops = dated_price_drops(changes, key)
     if since is not None:
-        rows = rows.where(F.col("update_date").cast("date") >= since.cast("date"))
-    return rows.select(key, (old - new).alias("price_change"))
+        drops = drops.where(F.col("drop_day") >= F.from_utc_timestamp(since, zone).cast("date"))
+    return drops.drop("drop_day")

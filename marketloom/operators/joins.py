@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
-from .windows import forward_fill
+from .windows import TIME_UNITS, forward_fill, time_unit
 
 FIXED_LOOKUP_ROWS = 200
 
@@ -106,15 +106,17 @@ def asof_join(
     left_ts: str,
     right_ts: str,
     values: list[str],
-    bucket: str = "month",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Last right values at or before each left row.
 
     Both sides are stacked on one time axis and the values carried forward. The
     carry works per (key, time bucket) and only bucket summaries cross buckets,
-    so a key that holds most of the rows is spread over its buckets.
+    so a key that holds most of the rows is spread over its buckets. Without a
+    given `bucket` the time unit is chosen from the sizes of both sides.
     """
     names = left.columns
+    bucket = bucket or min((time_unit(left, by, left_ts), time_unit(right, by, right_ts)), key=lambda u: -TIME_UNITS.index(u))
     stacked = left.select(
         *names,
         F.col(left_ts).alias("_ts"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .windows import top_n
 
 MAX_NODES = 32_000_000
@@ -109,6 +110,7 @@ def outlier_scores(
         return pd.Series(-np.exp2(-total / len(roots) / scale))
 
     filled = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    scored = df.withColumn("outlier_score", score(filled))
+    # Written once: the threshold and the result both read the scores.
+    scored = materialize(df.withColumn("outlier_score", score(filled)), "outlier-scores")
     cut_off = scored.agg(F.percentile_approx("outlier_score", contamination, 100_000)).first()[0]
     return scored.withColumn("outlier_flag", F.when(F.col("outlier_score") <= cut_off, -1).otherwise(1))

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .matching import full_width
 from .sorting import hashed_order
 from .windows import top_n
 
 BROADCAST_QUERIES = 2_000
 MAX_PIVOTS = 1_024
-ROWS_PER_SLICE = 4_096
+ROWS_PER_SLICE = 8_192
 _SLACK = 1e-6  # covers rounding of distances and of square roots near zero
 
 
@@ -44,12 +45,17 @@ def _top_pairs(q_ids: np.ndarray, q: np.ndarray, t_ids: np.ndarray, t: np.ndarra
     distance = np.round(1.0 - q @ t.T, 9) + 0.0
     if skip_same:
         distance[q_ids[:, None] == t_ids[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(t_ids, distance.shape), distance), axis=1)[:, :k]
-    near = np.take_along_axis(distance, order, axis=1)
-    rows, slots = np.nonzero(np.isfinite(near))
-    return pd.DataFrame(
-        {"query_id": q_ids[rows], "neighbour_id": t_ids[order[rows, slots]], "distance": near[rows, slots]}
-    )
+    if k < len(t_ids):
+        kth = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((distance <= kth) & np.isfinite(distance))
+    else:
+        rows, cols = np.nonzero(np.isfinite(distance))
+    near = distance[rows, cols]
+    order = np.lexsort((t_ids[cols], near, rows))
+    rows, cols, near = rows[order], cols[order], near[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    return pd.DataFrame({"query_id": q_ids[rows[kept]], "neighbour_id": t_ids[cols[kept]], "distance": near[kept]})
 
 
 _PAIRS = "query_id long, neighbour_id long, distance double"
@@ -113,7 +119,8 @@ def nearest_many(q: DataFrame, t: DataFrame, k: int, skip_same: bool, pivots: in
                 cell = gaps.argmin(axis=1)
                 yield batch.assign(cell=cell.astype("int32"), radius=gaps[np.arange(len(cell)), cell])
 
-    placed = t.mapInPandas(assign, assigned_schema)
+    # Written once: the cell summaries and the meeting both read the assignment.
+    placed = materialize(t.mapInPandas(assign, assigned_schema), "cells")
     # One summary row per cell: size, radius range and the k+1 smallest radii.
     near = top_n(placed.select("cell", "radius", "id"), ["cell"], [F.asc("radius"), F.asc("id")], k + 1)
     near = near.groupBy("cell").agg(F.array_sort(F.collect_list("radius")).alias("radii"))
@@ -153,7 +160,7 @@ def nearest_many(q: DataFrame, t: DataFrame, k: int, skip_same: bool, pivots: in
                 yield part.iloc[rows].assign(cell=numbers[picks].astype("int32"))
 
     # Query slices: as many per cell as its visitors need.
-    visits = q.mapInPandas(visit, visit_schema)
+    visits = materialize(q.mapInPandas(visit, visit_schema), "visits")
     slot = lambda c, m: F.pmod(F.xxhash64(c), F.col(m).cast("bigint")).cast("int")
     visitors = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SLICE).cast("int").alias("n_groups"))
     sized = F.broadcast(slice_rows)  # at most MAX_PIVOTS rows

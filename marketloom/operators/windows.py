@@ -41,6 +41,22 @@ def with_group_size(df: DataFrame, keys: list[str], name: str = "group_size") ->
     return with_group_total(df, keys, F.count(F.lit(1)), name)
 
 
+TIME_UNITS = ["month", "day", "hour", "minute", "second"]
+
+
+def time_unit(df: DataFrame, keys: list[str], ts: str, max_rows: int = 2_000_000) -> str:
+    """The coarsest time unit in which no (key, unit) holds more than `max_rows` rows.
+
+    Counts combine on the map side, so looking is cheap; a key with a third of
+    all rows gets a fine unit and is spread over as many tasks.
+    """
+    for unit in TIME_UNITS[:-1]:
+        sizes = df.groupBy(*keys, F.date_trunc(unit, ts)).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= max_rows:
+            return unit
+    return TIME_UNITS[-1]
+
+
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: Column | None = None) -> DataFrame:
     """Carry the last non-null value forward per key.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed_values as fv
 from ..operators import changes as ch
-from ..operators import filters, joins
+from ..operators import filters
 
 
 @dataclass
@@ -76,26 +76,21 @@ def evaluate_alerts(
     if hits:
         tagged = listings.withColumn("_alerts", F.array_compact(F.array(*[h for _, h in hits])))
         matched = tagged.where(F.size("_alerts") > 0).withColumn("alert_uuid", F.explode("_alerts")).drop("_alerts")
-        drops = changes.where(F.col("field") == "price")
-        old, new = C.digits_to_double("old_value"), C.digits_to_double("new_value")
-        drops = drops.where(new < old).select(
-            F.col("url").alias("_url"), (old - new).alias("price_change"), F.col("update_date").cast("date").alias("_day")
-        )
-        since = F.lit(None).cast("date")
-        for alert, _ in hits:
-            since = F.when(F.col("alert_uuid") == alert.uuid, _moment(alert).cast("date")).otherwise(since)
-        dated = matched.withColumn("_since", since)
-        joined = dated.join(drops, (F.col("url") == F.col("_url")) & (F.col("_day") >= F.col("_since")), "left")
+        starts = spark.createDataFrame([(a.uuid, a.last_checked.isoformat(sep=" ")) for a, _ in hits], "alert_uuid string, _at string")
+        since = F.from_utc_timestamp(F.col("_at").cast("timestamp"), ch.SITE_ZONE).cast("date")
+        dated = matched.join(F.broadcast(starts.select("alert_uuid", since.alias("_since"))), "alert_uuid")  # one row per rule
+        drops = ch.dated_price_drops(changes).withColumnRenamed("url", "_url")
+        joined = dated.join(drops, (F.col("url") == F.col("_url")) & (F.col("drop_day") >= F.col("_since")), "left")
         scored = predict(joined.withColumn("price", C.fixed_rate_cad("price", "currency")))
         scored = scored.withColumn("pred_price_diff", F.col("pred_price") - F.col("price"))
-        keep = F.lit(False)
+        priced = []
         for alert, _ in hits:
             try:
-                price_rule = _in_rule(scored, alert, alert.price_rule or "price > 0")
+                priced.append(F.when(_in_rule(scored, alert, alert.price_rule or "price > 0"), F.lit(alert.uuid)))
             except filters.RuleError:
                 errors.append((alert.uuid, "Check alert search string definition"))
-                continue
-            keep = keep | ((F.col("alert_uuid") == alert.uuid) & price_rule)
+        keep = F.array_contains(F.array(*priced), F.col("alert_uuid")) if priced else F.lit(False)
+        keep = F.coalesce(keep, F.lit(False))
         parts.append(filters.alert_projection(scored.where(keep), ["alert_uuid", *wanted]).withColumn("error", F.lit("")))
     if errors:
         parts.append(spark.createDataFrame(errors, "alert_uuid string, error string"))
@@ -111,11 +106,3 @@ def sort_for_mail(df: DataFrame) -> DataFrame:
     """Largest price drop first, then cheapest."""
     order = [F.desc_nulls_last(F.col("price_change").try_cast("double")), F.asc_nulls_last(F.col("price").try_cast("double"))]
     return df.orderBy("alert_uuid", *order)
-
-
-def price_drops_since(changes: DataFrame, moment: Column) -> DataFrame:
-    return ch.price_drops(changes, moment)
-
-
-def attach_drops(df: DataFrame, drops: DataFrame) -> DataFrame:
-    return joins.attach_price_drops(df, drops)

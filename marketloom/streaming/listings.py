@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.windows import latest_row, previous_row
+from ..operators.windows import latest_row, previous_row, time_unit
 
 
 def read_stream(spark: SparkSession, path: str, schema, ts: str, max_files: int | None = None) -> DataFrame:
@@ -38,7 +38,11 @@ def latest_updates(stream: DataFrame, key: str, ts: str, tiebreak: str) -> DataF
 
 
 def maintain_latest(stream: DataFrame, key: str, ts: str, tiebreak: str, folder: str) -> StreamingQuery:
-    """Keep a latest-row table as a log of updated rows; `read_latest` resolves it."""
+    """Keep a latest-row table as a log of updated rows; `read_latest` resolves it.
+
+    The state holds one row per key for good, as such a table must: set the
+    RocksDB state store where keys do not fit in memory, and compact the log now and then.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
@@ -58,12 +62,13 @@ def compact_latest(spark: SparkSession, folder: str, target: str, key: str, ts:
 
 
 def log_changes(
-    stream: DataFrame, key: str, ts: str, tiebreak: str, columns: list[str], folder: str, bucket: str = "day"
+    stream: DataFrame, key: str, ts: str, tiebreak: str, columns: list[str], folder: str, bucket: str | None = None
 ) -> StreamingQuery:
     """Change log of every arriving row against the previous row of its key.
 
     Rows of a micro-batch are compared bucket by bucket of event time, so one
-    busy key is many tasks; the last row per key is kept in a state log.
+    busy key is many tasks; the last row per key is kept in a state log. The
+    time unit of the buckets follows from the batch unless it is given.
     """
     kept = [key, ts, tiebreak, *columns]
 
@@ -76,7 +81,8 @@ def log_changes(
             joined = known.withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)))
         else:
             joined = rows.withColumn("_old", F.lit(False))
-        change_rows(joined, key, ts, tiebreak, columns, bucket).write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+        unit = bucket or time_unit(joined, [key], ts)
+        change_rows(joined, key, ts, tiebreak, columns, unit).write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
         newest = latest_row(joined.drop("_old"), key, ts, [tiebreak])
         newest.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
