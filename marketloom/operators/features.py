@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
-from ..session import sized_broadcast
-from .sorting import exact_median, hashed_order
+from ..session import materialize, sized_broadcast
+from .sorting import exact_median, hashed_order, top_k_of_many
 
 
 VOCABULARY_BROADCAST = 200_000
@@ -91,7 +91,7 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int | None = None, n
     n_texts = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if max_features is not None:
-        vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
+        vocabulary = top_k_of_many(materialize(vocabulary, "vocabulary"), "total", max_features, ["term"])
     idf = vocabulary.select("term", (F.log((n_texts + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     if max_features is not None and max_features <= VOCABULARY_BROADCAST:
         idf = F.broadcast(idf)  # bounded by max_features

@@ -31,14 +31,19 @@ def _path_length(n: float) -> float:
 def tree_samples(df: DataFrame, key: str, trees: int, samples: int, seed: int = 42) -> DataFrame:
     """(tree, row) samples: each row is dealt to as many trees as needed to fill them.
 
-    Surplus rows of a tree are cut by a bounded rank, so no tree gathers more than `samples`.
+    Of many rows a hashed share is drawn first, so that what travels follows the
+    model and not the data. Surplus rows of a tree are cut by a bounded rank, so
+    no tree gathers more than `samples`.
     """
-    n = df.count()
-    copies = min(trees, max(1, math.ceil(trees * samples / max(n, 1) * 1.3)))
-    group = trees / copies
+    n = max(df.count(), 1)
+    wanted = trees * samples * 1.3
+    copies = min(trees, max(1, math.ceil(wanted / n)))
+    share = min(1.0, wanted / (n * copies))
     dealt = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("_copy"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    tree = F.least(F.floor((F.col("_copy") + draw) * group), F.lit(trees - 1)).cast("int")
+    uniform = lambda salt: F.pmod(F.xxhash64(F.col(key), F.col("_copy"), F.lit(salt)), F.lit(2**31)) / 2**31
+    if share < 1.0:
+        dealt = dealt.where(uniform(seed + 2) < share)
+    tree = F.least(F.floor((F.col("_copy") + uniform(seed)) * (trees / copies)), F.lit(trees - 1)).cast("int")
     return top_n(dealt.withColumn("tree", tree), ["tree"], [F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key)], samples)
 
 

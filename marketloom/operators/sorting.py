@@ -12,6 +12,24 @@ def top_k(df: DataFrame, by: str, k: int, nulls: str = "last", tiebreak: list[st
     return df.orderBy(lead, *tiebreak).limit(k)
 
 
+def top_k_of_many(df: DataFrame, by: str, k: int, tiebreak: list[str] = ()) -> DataFrame:
+    """Largest k rows for a k in the thousands.
+
+    A plain top-k sends k rows per task to one place. Here a sketch quantile
+    gives a floor with at least k rows above it (counted; else no floor), so
+    only about k rows travel. The result is the same. `df` is read several
+    times: pass a table or something cheap.
+    """
+    n = df.count()
+    share = 1 - k / max(n, 1) - 3e-4
+    if share > 0:
+        floor = df.agg(F.percentile_approx(by, share, 10_000)).first()[0]
+        above = df.where(F.col(by) >= F.lit(floor))
+        if above.limit(k).count() == k:
+            df = above
+    return top_k(df, by, k, tiebreak=tiebreak)
+
+
 def sort_mixed(df: DataFrame, descending: list[str], ascending: list[str]) -> DataFrame:
     """Descending keys then ascending keys, nulls last in both directions."""
     return df.orderBy(*[F.desc_nulls_last(c) for c in descending], *[F.asc_nulls_last(c) for c in ascending])
@@ -33,7 +51,17 @@ def hashed_order(key: str, seed: int = 42) -> Column:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), repeatable for a seed."""
+    """Exactly n rows (or all), repeatable for a seed: those with the smallest hashed keys.
+
+    For a large n a bound on the hash is put in front, wide enough to hold n rows
+    (counted; else no bound), so that tasks do not send n rows each.
+    """
+    if n >= 1_000:
+        share = (n + 6 * n**0.5 + 10) / max(df.count(), 1)
+        if share < 1:
+            near = df.where(F.conv(F.substring(hashed_order(key, seed), 1, 8), 16, 10).cast("bigint") < int(share * 2**32))
+            if near.limit(n).count() == n:
+                df = near
     return df.orderBy(hashed_order(key, seed), key).limit(n)
 
 

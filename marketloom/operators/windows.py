@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized_broadcast
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """First n rows per key; the bound lets each map task drop the rest before the shuffle."""
@@ -33,8 +35,8 @@ def latest_on_both(df: DataFrame, key: str = "url", first: str = "last_repost_da
 
 
 def with_group_total(df: DataFrame, keys: list[str], total: Column, name: str) -> DataFrame:
-    """Attach an aggregate of the row's group."""
-    return df.join(df.groupBy(*keys).agg(total.alias(name)), keys)
+    """Attach an aggregate of the row's group; few groups are broadcast, so the rows stay where they are."""
+    return df.join(sized_broadcast(df.groupBy(*keys).agg(total.alias(name))), keys)
 
 
 def with_group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:
@@ -120,5 +122,5 @@ def take_while(df: DataFrame, keys: list[str], order: list[str], stop: Column) -
     """
     position = F.struct(*order)
     cuts = df.groupBy(*keys).agg(F.min(F.when(stop, position)).alias("_cut"))
-    joined = df.join(cuts, keys)
+    joined = df.join(sized_broadcast(cuts), keys)
     return joined.where(F.col("_cut").isNull() | (position < F.col("_cut"))).drop("_cut")

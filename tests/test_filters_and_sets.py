@@ -106,3 +106,11 @@ def test_unions(frame):
 def test_last_page_wins(frame):
     df = frame([("u", "boosted", 1, 0), ("u", "not boosted", 2, 5), ("w", "boosted", 1, 1)], "url string, status string, page_no int, pos int")
     assert rows(sets.last_page_wins(df)) == [("u", "not boosted"), ("w", "boosted")]
+
+
+def test_large_samples_and_top_k_equal_the_plain_form(frame):
+    df = frame([(i, (i * 7919) % 3001) for i in range(9000)], "k int, v int")
+    plain = rows(df.orderBy(sorting.hashed_order("k"), "k").limit(1500))
+    assert rows(sorting.sample_n(df, "k", 1500)) == plain
+    assert rows(sorting.top_k_of_many(df, "v", 700, ["k"])) == rows(sorting.top_k(df, "v", 700, tiebreak=["k"]))
+    assert sorting.top_k_of_many(df, "v", 10_000, ["k"]).count() == 9000

@@ -138,3 +138,28 @@ def test_bounding_box_never_loses_rows(frame, lat, lon, km):
 
     expected = df.where(haversine_km(F.lit(lat), F.lit(lon), "lat", "lon") <= km).count()
     assert geo.within_distance(df, "lat", "lon", lat, lon, km).count() == expected
+
+
+def test_time_unit_gets_finer_for_a_hot_key(frame):
+    data = [("hot", f"2024-01-01 {h:02d}:{m:02d}:00") for h in range(10) for m in range(60)] + [("cold", "2024-01-01 00:00:00")]
+    df = frame(data, "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert [windows.time_unit(df, ["k"], "t", n) for n in (600, 599, 59, 0)] == ["month", "hour", "minute", "second"]
+
+
+def test_search_filters_reach_the_scan(spark, frame):
+    from marketloom.plans.search import relevant_listings
+    from marketloom.session import shared_folder
+
+    columns = "ad_title string, url string, price double, currency string, last_repost_date string, predicted_price double, price_cad double, front_travel double, rear_travel double, frame_size_normalized string, category string, lat double, lon double"
+    data = [("a", "u1", 10.0, "CAD", "d", 30.0, 10.0, 150.0, 140.0, "M", "Trail", 51.0, -114.0), ("b", "u2", 10.0, "CAD", "d", None, 10.0, 150.0, 140.0, "M", "Trail", 51.5, -114.0), ("c", "u3", 10.0, "CAD", "d", 90.0, 10.0, 150.0, 140.0, "M", "Trail", 10.0, 10.0)]
+    path = shared_folder(spark, "scored")
+    frame(data, columns).write.parquet(path)
+    args = dict(price_limit_cad=100, min_front_travel=100, max_front_travel=160, min_rear_travel=100, max_rear_travel=150, frame_size="M", category="Trail", lon=-114.0, lat=51.0, distance_km_threshold=100)
+    found = relevant_listings(spark.read.parquet(path), **args)
+    assert [(r.url, r.predicted_price_diff, r.distance_km) for r in found.collect()] == [("u2", None, 55.6), ("u1", 20.0, 0.0)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = relevant_listings(spark.read.parquet(path), **args)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert all(text in pushed for text in ("LessThan(price_cad", "EqualTo(category,Trail)", "LessThanOrEqual(lat", "GreaterThanOrEqual(lon"))
+    assert "TakeOrderedAndProject" in plan
