@@ -254,6 +254,28 @@ def m21(t: Tables):
     return out.select("url", "order_key", *[F.round(c, 4).alias(c) for c in ("price_cpi_adjusted", "price_cpi_adjusted_CAD")], "watch_count")
 
 
+BY_CURRENCY = (
+    PRICE_HISTORY.replace(f" and {BIKES}", " and currency in ('CAD', 'USD')")
+    .replace("f.region = r.cpi_region and f.year = year(k.last_repost_date)", "f.currency = k.currency and f.year = year(k.last_repost_date)")
+    .replace("left join filled f", "left join by_currency f")
+    .replace(
+        ", sold as (",
+        """, two as (select case region when 'canada' then 'CAD' else 'USD' end as currency, region from latest where region in ('canada', 'united-states')),
+by_currency as (select t.currency, m.year, m.cpi, l.most_recent_cpi from two t join means m using (region) join latest l using (region)
+  union all select t.currency, 2002, l.most_recent_cpi, l.most_recent_cpi from two t join latest l using (region)), sold as (""",
+    )
+)
+
+
+@q("m21_price_history_by_currency", with_inputs(BY_CURRENCY + "select key_url as url, order_key, round(price_cpi_adjusted, 4) as price_cpi_adjusted, round(price_cpi_adjusted * fx, 4) as price_cpi_adjusted_CAD from ranked where a = 1 and b = 1"))
+def m21_by_currency(t: Tables):
+    currency = F.when(F.col("region") == "canada", "CAD").otherwise("USD")
+    yearly = yearly_cpi(t).where("region in ('canada', 'united-states')").withColumn("currency", currency)
+    cpi = price_history.cpi_with_current_year([yearly.select("year", "cpi", "most_recent_cpi", "currency")], 2002)
+    out = price_history.normalise_prices(sold_listings(t), cpi, t.fx(), 2003, bikes_only=False, cpi_key="currency")
+    return out.select("url", "order_key", *[F.round(c, 4).alias(c) for c in ("price_cpi_adjusted", "price_cpi_adjusted_CAD")])
+
+
 SEARCH = {
     "price_limit_cad": 9000, "min_front_travel": 100, "max_front_travel": 170, "min_rear_travel": 0, "max_rear_travel": 160,
     "frame_size": "M", "category": "BUILDING Bikes", "lon": -114.07, "lat": -30.5, "distance_km_threshold": 12000, "max_results": 10,

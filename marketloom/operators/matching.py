@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import fixed_values as fv
 from ..functions.similarity import TextBlock
+from ..session import materialize
 from .windows import top_n
 
 TEXTS_PER_SLICE = 20_000
@@ -46,9 +47,12 @@ def best_matches(
     block, text, candidate, similarity.
     """
     tie = order or candidate
-    left = _sliced(texts.select(*block, text).na.drop().distinct(), block, text, TEXTS_PER_SLICE, "_ts")
     right = candidates.select(*block, F.col(candidate).alias("_cand"), F.col(tie).cast("string").alias("_tie")).na.drop()
-    right = _sliced(right.distinct(), block, "_cand", CANDIDATES_PER_SLICE, "_cs")
+    # Written once: sizes, slices and scoring all read the distinct texts and candidates.
+    left = materialize(texts.select(*block, text).na.drop().distinct(), "texts")
+    right = materialize(right.distinct(), "candidates")
+    left = _sliced(left, block, text, TEXTS_PER_SLICE, "_ts")
+    right = _sliced(right, block, "_cand", CANDIDATES_PER_SLICE, "_cs")
     counts_left = left.groupBy(*block).agg(F.max("_ts_count").alias("_n"))
     counts_right = right.groupBy(*block).agg(F.max("_cs_count").alias("_m"))
     spread_left = left.join(counts_right, block).withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))

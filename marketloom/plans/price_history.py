@@ -76,14 +76,17 @@ def normalise_prices(
         }
     )
     rows = filters.without_phrases(filters.plausible_price(rows))
+    if cpi_key != "region":
+        rows = filters.currency_in(rows, ["CAD", "USD"])
     if bikes_only:
         rows = rows.where(filters.names_bikes())
+    # The lookups below keep the rows as they are, so the older copies can go first.
+    rows = windows.latest_on_both(rows)
     if cpi_key == "region":
         rows = joins.fixed_lookup(rows, fv.COUNTRY_TO_CPI_REGION, "country", "cpi_region")
         index = filled_cpi(cpi, end_year).withColumnsRenamed({"region": "cpi_region", "year": "last_repost_year"})
         keys = ["last_repost_year", "cpi_region"]
     else:
-        rows = filters.currency_in(rows, ["CAD", "USD"])
         index = cpi.select(F.col("year").alias("last_repost_year"), "currency", "cpi", "most_recent_cpi")
         keys = ["last_repost_year", "currency"]
     rows = joins.attach_series(rows, index, keys)
@@ -94,8 +97,7 @@ def normalise_prices(
     rows = rows.withColumns(
         {"fx_month": F.col("last_repost_month"), "price_cpi_adjusted_CAD": F.col("price_cpi_adjusted") * F.col("fx_rate_CAD")}
     )
-    latest = windows.latest_on_both(rows)
-    return C.objects_to_string(C.convert_to_float(latest, list(latest_counts)))
+    return C.objects_to_string(C.convert_to_float(rows, list(latest_counts)))
 
 
 def historical_sold(raw: DataFrame, restrictions: DataFrame, dates: list[str]) -> DataFrame:
