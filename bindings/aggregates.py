@@ -6,8 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from marketloom.functions import columns as C
-from marketloom.operators import aggregates, joins, reshape, sorting, windows
+from marketloom.operators import aggregates, joins, reshape, sorting
 from marketloom.plans import reports
 
 from .inputs import Registry, Tables, with_inputs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import columns as C
-from marketloom.operators import aggregates, filters, joins, sets, sorting
+from marketloom.operators import aggregates, filters, sets, sorting
 
 from .inputs import Registry, Tables, with_inputs
 

@@ -114,3 +114,11 @@ def test_large_samples_and_top_k_equal_the_plain_form(frame):
     assert rows(sorting.sample_n(df, "k", 1500)) == plain
     assert rows(sorting.top_k_of_many(df, "v", 700, ["k"])) == rows(sorting.top_k(df, "v", 700, tiebreak=["k"]))
     assert sorting.top_k_of_many(df, "v", 10_000, ["k"]).count() == 9000
+
+
+def test_search_answer_as_markdown(frame):
+    from marketloom.plans.search import as_markdown
+
+    df = frame([("a", 1.5), ("b", None)], "ad_title string, price double")
+    assert as_markdown(df) == "| ad_title | price |\n|---|---|\n| a | 1.5 |\n| b |  |"
+    assert as_markdown(df.where("false")) == "No bikes found matching your criteria."
