@@ -28,16 +28,31 @@ def build_session(app: str = "marketloom", master: str | None = None, **conf: ob
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, below one folder of this application.
 
     It lies under ``spark.checkpoint.dir``, which the cluster sets to shared
-    storage. Only where that is unset (single-machine tests) a local temporary
-    folder takes its place.
+    storage. Only a single-machine session may do without: there a local
+    temporary folder takes its place, elsewhere a missing setting is an error,
+    because executors would each write to a disk of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = _shared_root(spark)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="marketloom-")
-    return f"{root.rstrip('/')}/marketloom/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/marketloom/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it once their results are written."""
+    root = _shared_root(spark)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/marketloom/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _shared_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
