@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindings.inputs import Registry
-from marketloom.llm import fingerprints, mixing
+from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, toxicity, url_rules
 
 q = Registry()
 
@@ -28,6 +29,53 @@ select doc_id, size, source_size, target, cast(case when source_size = 0 then 0
     + greatest(0, least(size, budget % source_size - start)) end as bigint) as taken from laid"""
 
 
+# The rules for this table.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@q("op1_url_rules")
+def op1(tables):
+    told = url_rules.judge(tables.pages.select("page_id", "url"), URL_RULES)
+    return told.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
+@q("op2_toxicity")
+def op2(tables):
+    docs = tables.documents.select("doc_id", "text")
+    fold = "crc32(cast(cast(doc_id as string) as binary)) % 5"
+    model = toxicity.fit(docs, tables.labels.filter(f"{fold} != 0"))
+    told = toxicity.score(docs, model)
+    return told.select("doc_id", F.expr(f"coalesce({fold} = 0, false)").alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_pred").alias("predicted"))
+
+
+def language_model(docs):
+    """Model of the labelled documents outside the held-out third."""
+    return language.fit(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+
+
+@q("op3_language")
+def op3(tables):
+    docs = tables.documents
+    told = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    held_out = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)")
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "cross_entropy", F.col("lang_rejected").alias("rejected"))
+
+
+@q("op4_jaccard_join")
+def op4(tables):
+    return chosen_path.similarity_join(tables.documents)
+
+
+def vocabulary() -> merge_replay.Vocabulary:
+    return merge_replay.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@q("op8_byte_bpe")
+def op8(tables):
+    told = merge_replay.digests(tables.documents.select("doc_id", "text"), vocabulary(), public_tokenizers.PATTERN)
+    return told.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @q("op9_mix_sources", MIX_SQL)
 def op9(tables):
     return mixing.mix(tables.documents).select("doc_id", "size", "source_size", "target", "taken")
