@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindings.inputs import Registry
-from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, toxicity, url_rules
+from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, multiprobe, secrets, suffixes, toxicity, url_rules
 
 q = Registry()
 
@@ -66,6 +66,45 @@ def op4(tables):
     return chosen_path.similarity_join(tables.documents)
 
 
+@q("op5_multiprobe")
+def op5(tables):
+    return multiprobe.nearest_neighbours(tables.embeddings, "id % 100 = 0")
+
+
+@q("op6_suffix_dedup")
+def op6(tables):
+    told = suffixes.remove_repeats(tables.documents)
+    kept, spans = F.col("kept"), F.col("spans")
+    return told.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length(kept)).alias("n_removed"), F.size(spans).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+SECRETS_SQL = """
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+found as (select doc_id, 0 as number, 'assign' as kind, string_split_regex(text, '{assign}') as gaps,
+    regexp_extract_all(text, '{assign}', 0) as own, regexp_extract_all(text, '{assign}', 2) as told, 6 as least from texts
+  union all select doc_id, 1, 'access', string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 20 from texts
+  union all select doc_id, 2, 'hex', string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), 24 from texts),
+each as (select *, unnest(range(1, len(own) + 1)) as i from found),
+placed as (select doc_id, number, kind, length(own[i]) as n, length(told[i]) as size, least,
+    sum(length(gaps[i])) over along + sum(length(own[i])) over along - length(own[i]) as start from each window along as (partition by doc_id, number order by i)),
+kept as (select doc_id, number, kind, cast(start as bigint) as start, cast(start + n as bigint) as stop from placed where size >= least),
+listed as (select doc_id, count(*) filter (where number = 0) as n_assign, count(*) filter (where number = 1) as n_access, count(*) filter (where number = 2) as n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, number) as spans from kept group by doc_id)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from texts t left join listed l on t.doc_id = l.doc_id""".replace(
+    "{assign}", r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+
+
+@q("op7_secrets", SECRETS_SQL)
+def op7(tables):
+    found = F.col("findings")
+    count = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(F.filter(found, lambda x: x["kind"].isin("assign", "access", "hex")))
+    told = secrets.scan_history(tables.documents)
+    return told.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.listed(found).alias("spans"))
+
+
 def vocabulary() -> merge_replay.Vocabulary:
     return merge_replay.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 

@@ -76,16 +76,18 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(*parts), lambda x: F.regexp_replace(x, "[0-9]+", "#"))))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = 0.005, min_confidence: float = 0.95, most_tokens: int = 4) -> DataFrame:
-    """Rules (tokens, label, confidence, support, rarest) from URLs with labels.
-
-    A rule has up to ``most_tokens`` tokens, holds for ``min_support`` of the labelled URLs and gives
-    its label in ``min_confidence`` of those that have its tokens. A rule is left out if one
-    with some of its tokens is as confident. Rare tokens are dropped before mining. Their number
-    does not follow the table: a URL of t frequent tokens is in 2 ** t sets, so there are at most
-    2 ** t / min_support. Null labels are left out; without labelled URLs there are no rules.
+def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = 0.005, min_confidence: float = 0.7, most_tokens: int = 4) -> DataFrame:
+    """Rules (tokens, label, confidence, support, rarest) from URLs and labels.
+
+    A rule has up to ``most_tokens`` tokens, holds for ``min_support`` of the URLs and gives
+    its label in ``min_confidence`` of all that have its tokens, URLs without a label (null) among
+    them. A rule is left out if one with some of its tokens is as confident. Rare tokens are
+    dropped before mining. The number of rules does not follow the table: a URL of t frequent tokens is in
+    2 ** t sets, so there are at most 2 ** t / min_support. An empty table gives no rules.
     """
-    baskets = labelled.filter(F.col(label_col).isNotNull()).select(F.array_append(url_tokens(F.col(url_col)), F.concat(F.lit(LABEL), F.col(label_col))).alias("items"))
+    tokens, label = url_tokens(F.col(url_col)), F.col(label_col)
+    baskets = labelled.select(F.when(label.isNull(), tokens).otherwise(F.array_append(tokens, F.concat(F.lit(LABEL), label))).alias("items")).filter(F.size("items") > 0)
+    baskets = materialize(baskets, "baskets")
     counted = baskets.groupBy("items").count()  # equal baskets weigh as many
     total = baskets.count()
     schema = "tokens array<string>, label string, confidence double, support double, rarest string"
@@ -94,7 +96,7 @@ def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", mi
     least = max(1, -int(-total * min_support // 1))
     common = [r["item"] for r in counted.select(F.explode("items").alias("item"), "count").groupBy("item").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).select("item").collect()]
     kept = baskets.select(F.filter("items", lambda x: x.isin(common) | x.startswith(LABEL)).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(materialize(kept, "baskets")).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(kept).freqItemsets
     sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     is_label = lambda x: x.startswith(LABEL)
     whole = sets.filter(F.exists("items", is_label)).select(
@@ -129,8 +131,8 @@ def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
 def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", otherwise: str = "allow", **mining) -> DataFrame:
     """The rows with host, path, rule, verdict, mined_rule and confidence.
 
-    Given rules judge first and label the URLs for mining; the other URLs get the mined
-    verdict, or ``otherwise`` if no mined rule fits. Null URLs and those without ``://`` have an
+    Given rules judge first and label the URLs for mining, where URLs that no rule fits have no
+    label and speak against a rule; these get the mined verdict, or ``otherwise`` if no mined rule fits. Null URLs and those without ``://`` have an
     empty host and path, no tokens, and the verdict ``otherwise``. Columns of the same names
     are replaced; others stay as they are.
     """
@@ -138,7 +140,7 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url
     told = urls.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url"))
     told = told.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
     told = told.withColumn("_given", given_rule(rules, F.col("_host"), F.col("_path")))
-    labels = told.filter("_given is not null").select(F.col("_url").alias("url"), F.col("_given.verdict").alias("label"))
+    labels = told.select(F.col("_url").alias("url"), F.col("_given.verdict").alias("label"))
     won = materialize(match(told.filter("_given is null"), mine(labels, **mining), "_url"), "mined")
     judged = told.withColumn("tokens", url_tokens(F.col("_url"))).join(sized_broadcast(won), "tokens", "left")
     free = F.col("_given").isNull()
