@@ -76,12 +76,12 @@ def mix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return laid.select("id", "source", "size", "copies", "source_size", "target", F.floor("target").cast("long").alias("budget"), (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def _taken(number: str):
+def _taken(number: str, size: str = "size"):
     """Words that the mix takes of the number-th row of a group."""
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("budget") - rounds * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col(number) * F.col("size")))
-    return (rounds * F.col("size") + part).cast("long")
+    part = F.greatest(F.lit(0), F.least(F.col(size), rest - F.col("start") - F.col(number) * F.col(size)))
+    return (rounds * F.col(size) + part).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -112,7 +112,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if groups.filter("copies > 1").limit(1).count():
         ties = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("_row"))
         lone = lone.unionByName(met.filter("copies > 1").withColumn("number", (F.row_number().over(ties) - 1).cast("long")))
-    told = lone.withColumn("_taken", _taken("number")).filter("_taken > 0")
+    told = lone.withColumn("_taken", _taken("number", "_size")).filter("_taken > 0")
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("long")
     told = told.withColumn("_round", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     told = told.withColumn("_part", F.least(F.col("_size"), F.col("_taken") - (F.col("_round") - 1) * F.col("_size")).cast("int"))

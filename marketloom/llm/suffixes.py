@@ -236,7 +236,7 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     order = np.arange(len(words))
     run = np.zeros(len(words), np.int64)
-    tied = order
+    tied = np.arange(len(words))
     for k in range(words.shape[1]):
         if not len(tied):
             break
