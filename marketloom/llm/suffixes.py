@@ -13,7 +13,7 @@ those whose leading string occurs more than once.
    lie side by side: all but the earliest repeat in full. The earliest ones of
    a leading string are compared window by window.
 
-Before each exchange a task settles what it can see alone: of equal strings in one slab of
+Whole copies of a text of smaller id are settled by the text's hash beforehand. Before each exchange a task settles what it can see alone: of equal strings in one slab of
 texts only the earliest travels, so a passage in every third document sends one row per slab.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import MIX, ragged, scramble, slabs, utf8
-from marketloom.session import materialize
+from marketloom.session import materialize, sized_broadcast
 
 WINDOW = 100
 GRAM = 24
@@ -382,6 +382,14 @@ def _splitters(read: DataFrame, slots: int, docs: int) -> np.ndarray:
     return seen[np.arange(1, slots) * len(seen) // slots] if len(seen) else np.zeros(0, np.uint64)
 
 
+def _copies(read: DataFrame) -> DataFrame:
+    """(key, size) of texts that equal one of smaller id: all their windows repeat, and none is the earliest, so they need no suffixes."""
+    hashed = read.select("key", "ord", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    hashed = materialize(hashed, "hashes")
+    first = hashed.groupBy("hash").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("last > first").select("hash", "first")
+    return materialize(hashed.join(first, "hash").filter("ord > first").select("key", "size").distinct(), "copies")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_docs: int = 1000) -> DataFrame:
     """One row per input row: id, n_bytes, spans (removed stretches, array of start and end), kept (remaining bytes).
 
@@ -396,14 +404,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.xxhash64(F.lit("row"), id_col, text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     splitters = _splitters(read, slots, split_docs)
-    asks = read.select("key", "text").mapInArrow(_ask_anchors(slots), "slot int, known boolean, hashes array<long>, keys array<long>, places array<int>")
+    copies = _copies(read)
+    asks = read.select("key", "text").join(sized_broadcast(copies.select("key")), "key", "left_anti").mapInArrow(_ask_anchors(slots), "slot int, known boolean, hashes array<long>, keys array<long>, places array<int>")
     found = asks.repartition("slot").mapInArrow(_answer_anchors, "key long, places array<int>")
     places = materialize(found.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "anchors")
     met = read.join(places, "key").select("key", "ord", "id", "text", "places")
     suffixes = met.mapInArrow(_ask_suffixes(slots, splitters), "slot int, known boolean, keys array<long>, ords array<long>, places array<long>, sizes array<long>, contexts binary")
     stretches = suffixes.repartition("slot").mapInArrow(_answer_suffixes, "key long, lows array<long>, highs array<long>")
-    stretches = stretches.groupBy("key").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
-    whole = read.select("key", "ord", "id", "text").join(stretches, "key", "left").select("id", "text", "lows", "highs")
+    whole_copies = copies.filter(f"size >= {WINDOW}").select("key", F.array(F.lit(0).cast("long")).alias("lows"), F.array(F.col("size") - WINDOW).alias("highs"))
+    stretches = stretches.unionByName(whole_copies).groupBy("key").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
+    whole = read.select("key", "ord", "id", "text").join(stretches, "key", "left").select("key", "ord", "id", "text", "lows", "highs")  # as above, so that the texts move once
     schema = f"id {read.schema['id'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
     out = whole.mapInArrow(_cut, schema)
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x.starts.alias("start"), x.ends.alias("end")))
