@@ -4,8 +4,9 @@ In every run a set picks each of its tokens with probability 1 / (threshold * si
 hash of run and token; sets that pick the same token share a bucket. A similar pair
 shares a pick of one run with probability of about 1 - 1 / e or more, so runs are
 repeated until the chance to miss a pair falls below one minus the target recall.
-Buckets that are too large split again on tokens picked by a hash of the path so
-far. Small buckets are compared by brute force: first by sketches, whose margin
+Buckets that are too large split again on tokens picked by a hash of the path so far,
+unless most of their members are alike: splitting would not part them, so these are compared block by block. Small
+buckets are compared by brute force: first by sketches, whose margin
 keeps pairs at the threshold, then exactly, on the shingles of the texts.
 """
 
@@ -20,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import MIX, components, scramble, slabs, utf8
-from marketloom.session import materialize
+from marketloom.session import materialize, sized_broadcast
 
 SKETCH = 64  # bytes; a pair at 0.8 agrees on 51 of them on average, with a deviation of 3.2
 AGREE = 36  # nearly five deviations below
-BUCKET = 1024
+BUCKET = 4096
+DENSE_SHARE = 0.25  # of a large bucket's members that are like its first one
 DEEPER = 3.0  # picks of a set per level, over 1 / threshold, below the first level
 LEVELS = 4
-BLOCK = 1024
+BLOCK = 2048
 SLAB_BYTES = 1_500_000
-DENSE = 4_000_000  # cells of a member-by-token matrix
+CELLS = 4_000_000  # cells of a member-by-token matrix
 
 # Fixed value: the white space at which words end, as str.split knows it within ASCII.
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
@@ -249,7 +251,7 @@ def _shared(tokens: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     if not len(number):
         return out
     number = np.cumsum(np.r_[True, number[1:] != number[:-1]]) - 1
-    width = max(1, DENSE // m)
+    width = max(1, CELLS // m)
     for at in range(0, int(number[-1]) + 1, width):
         lo, hi = np.searchsorted(number, [at, at + width])
         cells = np.zeros((m, min(width, int(number[-1]) + 1 - at)), np.float32)
@@ -314,34 +316,47 @@ def _sorted_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def _links(told: DataFrame, nodes: DataFrame, read: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, center) of all members that a bucket holds together with another one."""
-    with_text = lambda rows: rows.join(nodes.select("node", "key"), "node").join(read, "key")
+    with_text = lambda rows: read.join(sized_broadcast(materialize(rows.join(nodes.select("node", "key"), "node"), "deeper")), "key")
     members = told
     found: DataFrame | None = None
     for level in range(1, LEVELS + 1):
         members = materialize(members.distinct() if level > 1 else members, "members")
         sizes = materialize(members.groupBy("path").count().filter("count > 1"), "buckets")
         large = sizes.filter(F.col("count") > BUCKET)
-        again = level < LEVELS and large.limit(1).count() > 0
-        here = sizes.filter(F.col("count") <= BUCKET) if again else sizes
-        rows = members.join(here, "path").join(nodes.select("node", "n", "sketch"), "node")
-        if again:
-            rows = rows.withColumn("left", F.lit(0)).withColumn("right", F.lit(0))
-        else:  # the last level leaves no bucket out: large ones are compared block by block
-            rows = _in_blocks(rows, F.col("count"))
+        split = None
+        if level < LEVELS and large.limit(1).count():
+            split = materialize(_sparse(members, large, nodes), "split")
+            sizes = sizes.join(split, "path", "left_anti")
+        # What does not split is compared here, large buckets block by block, so that none is left out.
+        rows = _in_blocks(members.join(sizes, "path").join(nodes.select("node", "n", "sketch"), "node"), F.col("count"), BUCKET)
         keys = ["path", "left", "right"]
         got = _sorted_by(rows.select(*keys, "node", "n", "sketch"), *keys).mapInArrow(_compare_buckets(threshold, keys), "node long, center long")
         got = materialize(got.distinct(), "near")
         found = got if found is None else found.union(got)
-        if not again:
-            break
-        split = members.join(large, "path").groupBy("node").agg(F.collect_list("path").alias("paths"))
-        members = with_text(split).select("text", "node", "paths").mapInArrow(_deeper(words, threshold), "node long, path long")
+        if split is None or not split.limit(1).count():
+            return found
+        paths = members.join(split, "path").groupBy("node").agg(F.collect_list("path").alias("paths"))
+        members = with_text(paths).select("text", "node", "paths").mapInArrow(_deeper(words, threshold), "node long, path long")
     return materialize(found.distinct(), "near")
 
 
-def _in_blocks(rows: DataFrame, size) -> DataFrame:
-    """Each row once for every pair of blocks (left <= right) that its own block is part of."""
-    number = F.ceil(size / BLOCK).cast("int")
+def _sparse(members: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the large buckets (path), those in which few members are like the first one."""
+    rows = members.join(large.select("path"), "path").join(nodes.select("node", "sketch"), "node")
+    first = rows.groupBy("path").agg(F.min_by("sketch", "node").alias("first"))
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SKETCH) for x in (a, b))
+        return pa.array((left == right).sum(1) >= AGREE)
+
+    like = F.arrow_udf(alike, "boolean")("sketch", "first")
+    share = rows.join(first, "path").groupBy("path").agg(F.avg(like.cast("int")).alias("share"))
+    return share.filter(F.col("share") < DENSE_SHARE).select("path")
+
+
+def _in_blocks(rows: DataFrame, size, whole: int = BLOCK) -> DataFrame:
+    """Each row once for every pair of blocks (left <= right) that its own block is part of; groups of up to ``whole`` are one block."""
+    number = F.when(size <= whole, 1).otherwise(F.ceil(size / BLOCK)).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int"))
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
 
@@ -365,7 +380,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     size = near.groupBy("center").count()
     centers = near.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
     rows = near.join(size, "center").join(centers.join(nodes.select("node", "key", "copies"), "node"), "node")
-    rows = materialize(rows, "verify").join(read.select("key", "text"), "key")
+    rows = read.select("key", "text").join(sized_broadcast(materialize(rows, "verify")), "key")
     rows = _in_blocks(rows, F.col("count")).select("center", "left", "right", "block", "node", "copies", "centers", "text")
     keys = ["center", "left", "right"]
     verified = materialize(_sorted_by(rows, *keys).mapInArrow(_verify(words, threshold), "node long, links long, root long"), "verified")

@@ -64,12 +64,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(most):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        least = seen.union(labels).groupBy("node").agg(F.min("label").alias("near"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        least = seen.union(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("near"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        after = materialize(least.join(up, "near").select("node", F.least("near", "far").alias("label")), "labels")
-        changed = after.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was").limit(1).count()
-        labels = after
-        if not changed:
+        after = materialize(least.join(up, "near").select("node", F.least("near", "far").alias("label"), "was"), "labels")
+        labels = after.select("node", "label")
+        if not after.filter("label != was").limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
