@@ -4,7 +4,7 @@ One model per language predicts the letters of a word from the three in front of
 them. The n-grams of all languages share sorted arrays of 64-bit hashes; beside each
 hash stand the log probabilities, already interpolated, under every language. A text
 gets the language of the lowest cross-entropy per symbol, and is rejected when that
-lies far above what held-back texts of the language show.
+lies above what held-back texts of the nearest other language show under the same model.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 
 @dataclass
 class LanguageModel:
-    """Log probabilities of n-grams by order; ``limits`` holds mean, deviation and spread per symbol of each language."""
+    """Log probabilities of n-grams by order; ``spread`` is their deviation per symbol, ``limits`` the highest cross-entropy that is accepted."""
 
     languages: list[str]
     hashes: list[np.ndarray]
@@ -225,26 +225,25 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     model = _smoothed([tuple(r) for r in grams.groupBy("lang", "gram").agg(F.sum("n")).orderBy("lang", "gram").collect()])
     if model is None:
         return None
-    held = _scored(placed.filter("place >= 1 and place < 1.2"), model, "text", own="lang").filter("_symbols >= 40")
-    seen = {r["lang"]: r for r in held.groupBy("lang").agg(F.avg("_own").alias("mean"), F.stddev("_own").alias("sd")).collect()}
-    limits = np.zeros((len(model.languages), 2))
+    held = _scored(placed.filter("place >= 1 and place < 1.2"), model, "text").filter("_symbols >= 40")
+    means = [F.avg(F.col("_all")[i]).alias(f"m{i}") for i in range(len(model.languages))]
+    seen = {r["lang"]: [r[f"m{i}"] for i in range(len(model.languages))] for r in held.groupBy("lang").agg(*means).collect()}
+    model.limits = np.full(len(model.languages), np.inf)  # nothing to judge by: reject nothing
     for i, name in enumerate(model.languages):
-        r = seen.get(name)
-        limits[i] = (r["mean"], r["sd"] or 0.0) if r else (np.inf, 0.0)  # nothing to judge by: reject nothing
-    model.limits = limits
+        other = [row[i] for lang, row in seen.items() if lang != name]
+        model.limits[i] = min(other, default=2 * seen[name][i] if name in seen else np.inf)
     return model
 
 
-def _scored(docs: DataFrame, model: LanguageModel, text_col: str, own: str | None = None) -> DataFrame:
-    """The rows with _best, _score, _cross, _symbols, _rejected and, if ``own`` names a language column, _own."""
+def _scored(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
+    """The rows with _best, _score, _cross, _symbols, _rejected and _all, the cross-entropies under all languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    deviations = 6.0
+    deviations = 4.0
 
-    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        number = {name: i for i, name in enumerate(model.languages)}
         scores = _Scores(model)
-        for texts, owns in batches:
+        for texts in batches:
             columns: list[list] = [[] for _ in range(6)]
             start = 0
             while start < len(texts):
@@ -253,7 +252,6 @@ def _scored(docs: DataFrame, model: LanguageModel, text_col: str, own: str | Non
                     held.append(texts[start].as_py())
                     chars += len(held[-1] or "") + 100
                     start += 1
-                mine = [number.get(x, -1) for x in owns[start - len(held) : start].to_pylist()]
                 sizes, cross = cross_entropies(model, held, scores)
                 best = cross.argmin(1)
                 low = cross[np.arange(len(best)), best]
@@ -261,18 +259,16 @@ def _scored(docs: DataFrame, model: LanguageModel, text_col: str, own: str | Non
                 score = np.where(sizes > 0, 1.0 / shape.sum(1), 0.0)
                 rejected = sizes == 0
                 if model.limits is not None:
-                    mean, sd = model.limits[best].T
-                    rejected |= low > mean + deviations * np.sqrt(sd**2 + model.spread[best] ** 2 / np.maximum(sizes, 1))
-                for column, values in zip(columns, (np.where(sizes > 0, np.array(model.languages, object)[best], UNKNOWN), score, low, sizes, rejected, cross[np.arange(len(best)), mine])):
+                    rejected |= low > model.limits[best] + deviations * model.spread[best] / np.sqrt(np.maximum(sizes, 1))
+                for column, values in zip(columns, (np.where(sizes > 0, np.array(model.languages, object)[best], UNKNOWN), score, low, sizes, rejected, cross)):
                     column.extend(values.tolist())
                 if len(scores) > CACHED_WORDS:
                     scores = _Scores(model)
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64()))], ["best", "score", "cross", "symbols", "rejected", "own"])
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.float64())))], fields)
 
-    of = F.arrow_udf(judge, "best string, score double, cross double, symbols long, rejected boolean, own double")
-    lang = F.col(own) if own else F.lit(None).cast("string")
-    told = docs.withColumn("_judged", of(F.col(text_col), lang))
-    fields = ["best", "score", "cross", "symbols", "rejected"] + (["own"] if own else [])
+    fields = ["best", "score", "cross", "symbols", "rejected", "all"]
+    of = F.arrow_udf(judge, "best string, score double, cross double, symbols long, rejected boolean, all array<double>")
+    told = docs.withColumn("_judged", of(F.col(text_col)))
     return told.select("*", *[F.col(f"_judged.{f}").alias(f"_{f}") for f in fields]).drop("_judged")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -104,6 +105,8 @@ def density(automaton: ahocorasick.Automaton, text: str) -> float:
 
 
 def _phrase_counts(model: ToxicityModel):
+    """Toxic and clean documents per phrase of a hit with the word in front of or behind it."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(model)
         counts: Counter = Counter()
@@ -126,13 +129,67 @@ def _phrase_counts(model: ToxicityModel):
     return work
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", most_docs: int = 40_000, least_docs: int = 5, least_z: float = 4.0) -> ToxicityModel:
+def _hit_lists(model: ToxicityModel):
+    """The entries that each document hits, exceptions aside, and the least hash of its five-word strings, which near copies mostly share."""
+
+    def least(plain: str) -> int:
+        words = plain.split()
+        return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(model)
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                plain = folded(text)
+                found = sorted({plain[s + 1 : e + 1] for s, e, _ in hits(automaton, plain)})
+                if found:
+                    rows.append((toxic, found, least(plain)))
+            yield pd.DataFrame(rows, columns=["toxic", "entries", "near"])
+
+    return work
+
+
+def _cover(groups: list[tuple[int, list[str]]], toxics: int, cleans: int, least_docs: int, least_z: float, least_odds: float) -> dict[str, float]:
+    """Entries with their log odds, from the entries that documents hit: taken by falling standard score among documents that hold none taken before, and then all that are pure."""
+    holders: dict[str, list[int]] = {}
+    counts: dict[str, list[int]] = {}
+    for g, (toxic, entries) in enumerate(groups):
+        for e in entries:
+            holders.setdefault(e, []).append(g)
+            counts.setdefault(e, [0, 0])[toxic] += 1
+    left, open_groups, taken = [cleans, toxics], [True] * len(groups), {}
+
+    def judged(clean: int, toxic: int) -> tuple[float, float]:
+        odds = math.log((toxic + 0.5) / (max(left[1] - toxic, 0) + 0.5)) - math.log((clean + 0.5) / (max(left[0] - clean, 0) + 0.5))
+        return odds / math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), odds
+
+    pure = {e: judged(clean, toxic) for e, (clean, toxic) in counts.items() if toxic >= 2 * least_docs and toxic >= 20 * clean}
+    while True:
+        able = [e for e, (clean, toxic) in counts.items() if toxic >= least_docs and toxic >= clean]
+        best = max(((*judged(*counts[e]), e) for e in able), default=(0.0, 0.0, ""))
+        if best[0] < least_z or best[1] < least_odds:
+            return {e: odds for e, (z, odds) in pure.items() if z >= least_z} | taken
+        taken[best[2]] = best[1]
+        for g in holders[best[2]]:
+            if open_groups[g]:
+                open_groups[g] = False
+                toxic, entries = groups[g]
+                left[toxic] -= 1
+                for e in entries:
+                    counts[e][toxic] -= 1
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", most_docs: int = 40_000, least_docs: int = 5, least_z: float = 4.0, least_odds: float = 0.7) -> ToxicityModel:
     """Lexicon, exceptions and scale from documents and their labels by id (1 toxic, 0 not; other labels are left out).
 
     Bound: about ``most_docs`` whole documents, chosen by a hash of the id. An entry needs
-    ``least_docs`` toxic documents, more toxic than clean ones, and log odds of ``least_z`` standard
+    ``least_docs`` toxic documents and log odds of ``least_odds`` and of ``least_z`` standard
     errors; a longer one that is no purer than a shorter beginning is left out. An
-    exception needs ``least_docs`` clean documents and at most a fifth of toxic ones.
+    exception is a hit with its neighbour that ``least_docs`` clean documents hold and at most a fifth as many toxic ones.
+    Entries are then taken one by one, the most telling first, each judged by the documents that hold none taken
+    before; words that only stand beside a telling one so drop out, unless toxic documents alone hold them. Near copies count
+    once here, lest one text speak for all its words.
     Without toxic and clean documents the model is empty and scores all the same.
     """
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)")
@@ -149,10 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     counts = sample.mapInPandas(_entry_counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxics - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (cleans - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    scored = counts.filter(F.col("toxic") >= F.greatest(F.lit(least_docs), F.col("clean"))).withColumn("weight", odds).filter((F.col("weight") > 0) & (F.col("weight") >= least_z * error))
-    # As many entries at most as documents of the sample times its words over least_docs.
+    telling = (F.col("toxic") >= least_docs) & (F.col("weight") >= least_odds) & (F.col("weight") >= least_z * error)
+    # The sample bounds what is collected: an entry stands in least_docs of its documents.
+    found = counts.withColumn("weight", odds).filter(telling).orderBy(F.length("entry"), "entry").collect()
     purity: dict[str, float] = {}
-    for r in scored.orderBy(F.length("entry"), "entry").collect():
+    for r in found:
         pure = r["toxic"] / (r["toxic"] + r["clean"])
         word = r["entry"].rstrip(" ")
         shorter = [purity[word[:n]] for n in BEGINNINGS if n <= len(word) and word[:n] != r["entry"] and word[:n] in purity]
@@ -163,6 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         return model
     phrases = sample.mapInPandas(_phrase_counts(model), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     model.exceptions = {r["phrase"] for r in phrases.filter((F.col("clean") >= least_docs) & (F.col("toxic") * 4 <= F.col("clean"))).collect()}
+    lists = sample.mapInPandas(_hit_lists(model), "toxic int, entries array<string>, near long")
+    seen_hits = lists.groupBy("toxic", "near").agg(F.min("entries").alias("entries")).orderBy("toxic", "near").collect()
+    model.lexicon = _cover([(r["toxic"], r["entries"]) for r in seen_hits], toxics, cleans, least_docs, least_z, least_odds)
+    plain = _automaton(ToxicityModel(model.lexicon))
+    model.exceptions = {p for p in model.exceptions if hits(plain, f" {p} ")}
     shown = _with_density(sample, model, "text").groupBy(F.round("_density", 1).alias("x"), "toxic").count().collect()
     x, y, n = (np.array([float(r[k]) for r in shown]) for k in ("x", "toxic", "count"))
     model.offset, model.slope = _logistic(x, y, n)

@@ -42,7 +42,7 @@ def test_probabilities_add_up_to_one(model):
         ends, step = np.cumsum([len(start) + 2] * len(alphabet)), 0
         total += np.exp(logs[ends - 2]).sum(0)
         total += np.exp(logs[-1]) if start else 0  # after nothing no word ends, but its share is held
-        unknown, place = language.symbols([start + "q"])
+        unknown, place = language.symbols([start + "ñ"])
         total += np.exp(language.log_probabilities(model, unknown, place)[len(start)])
         assert (total <= 1 + 1e-4).all() and (total > (0.9 if start else 0.6)).all(), (start, total, step)
 
