@@ -118,9 +118,11 @@ def i10(t: Tables):
     return ch.keyed_delete(t.previous().select("url"), t.sold_store())
 
 
-@q("i11_sold_capture", with_inputs("select url, price, cast(watch_count as double) as watch_count, cast(replace(view_count, ' views', '') as double) as view_count from current_ads where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%' and watch_count is not null and description is not null"))
+@q("i11_sold_capture", with_inputs("select url, price, cast(watch_count as double) as watch_count, cast(replace(view_count, ' views', '') as double) as view_count from current_ads where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%' and watch_count is not null and (description is not null or category_num < 5)"))
 def i11(t: Tables):
-    rows = t.current().select("url", "price", "watch_count", "view_count", "still_for_sale", "datetime_scraped", "description")
+    """Categories below 5 have no description at all, so it is not asked of them."""
+    text = F.when(F.col("category_num") >= 5, F.col("description")).alias("description")
+    rows = t.current().select("url", "price", "watch_count", "view_count", "still_for_sale", "datetime_scraped", "category_num", text)
     return ch.sold_capture(rows, t.sold_store()).select("url", "price", "watch_count", "view_count")
 
 
@@ -184,13 +186,23 @@ def i14(t: Tables):
     return drops.select("url", F.round("price_change", 6).alias("price_change"))
 
 
-def alert_rules() -> list[al.Alert]:
-    """Literal rules; one misspells a column."""
-    return [
-        al.Alert("a1", 3, "ad_title like '%MACHINERY%'", datetime(1996, 5, 1), "price < 20000 and pred_price_diff > -15000"),
-        al.Alert("a2", -1, "category like '%Enduro%' and price < 9000", datetime(1999, 1, 1)),
-        al.Alert("a3", 4, "pricee < 3", datetime(1999, 1, 1)),
-    ]
+RULES = [
+    ("a1", 3, "ad_title like '%MACHINERY%'", "price < 20000 and pred_price_diff > -15000", "1996-05-01 00:00:00"),
+    ("a2", -1, "category like '%Enduro%' and price < 9000", None, "1999-01-01 00:00:00"),
+    ("a3", 4, "pricee < 3", None, "1999-01-01 00:00:00"),
+    ("a4", -1, "reflect('java.lang.System', 'getProperty', 'user.name') = 'x'", None, "1996-05-01 00:00:00"),
+    ("a5", -1, "cast(ad_title as int) > 1", None, "1996-05-01 00:00:00"),
+]
+
+
+def stored_rules(t: Tables) -> str:
+    """Folder of the saved rules; one misspells a column, one calls into the JVM, one fails on every row."""
+    rows = [(u, "", c, text, price, at, "", "") for u, c, text, price, at in RULES]
+    names = "uuid string, alert_name string, category_num int, search_string string, price_search_string string, last_checked string, email_stem string, email_domain string"
+    rules = t.spark.createDataFrame(rows, names).withColumn("last_checked", F.col("last_checked").cast("timestamp"))
+    folder = f"{shared_folder(t.spark, 'alerts')}/rules"
+    tables.write_json_table(rules, folder)
+    return folder
 
 
 ALERTS = LOG + """, drops as (select url, cast(old_value as double) - cast(new_value as double) as price_change, cast(update_date as date) as d from log_rows
@@ -204,10 +216,11 @@ full_hits as (select h.*, d.price_change, 5000.0::double - cad as diff from hit
 """
 
 
-@q("i15_alerts", with_inputs(ALERTS + "select alert_uuid, url, coalesce(round(price_change, 4), 0) as price_change, round(diff, 4) as pred_price_diff, '' as error from full_hits union all select 'a3', null, null, null, 'Check alert search string definition'"))
+@q("i15_alerts", with_inputs(ALERTS + "select alert_uuid, url, coalesce(round(price_change, 4), 0) as price_change, round(diff, 4) as pred_price_diff, '' as error from full_hits union all select distinct alert_uuid, url, null::double, null::double, 'Unknown currency' from hit where cad is null and price is not null union all select 'a3', null, null, null, 'Check alert search string definition' union all select 'a4', null, null, null, 'Check alert search string definition'"))
 def i15(t: Tables):
     base = _as_instants(t.current())
-    found = al.evaluate_alerts(base, ch.changelog(t.previous(), t.current()), alert_rules(), lambda df: df.withColumn("pred_price", F.lit(5000.0)))
+    rules = al.load_rules(tables.read_alerts(t.spark, stored_rules(t)))
+    found = al.evaluate_alerts(base, ch.changelog(t.previous(), t.current()), rules, lambda df: df.withColumn("pred_price", F.lit(5000.0)))
     return found.select("alert_uuid", "url", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("price_change", "pred_price_diff")], "error")
 
 

@@ -112,13 +112,13 @@ def _metrics(df):
 @q("m09_robust_linear")
 def m09(t: Tables):
     rows = training_rows(t)
-    return _metrics(models.fit(_stages(models.robust_linear(maxIter=20)), _train(rows)).transform(rows))
+    return _metrics(models.fit(_stages(models.robust_linear()), _train(rows)).transform(rows))
 
 
 @q("m10_boosted_trees")
 def m10(t: Tables):
     rows = training_rows(t)
-    return _metrics(models.fit(_stages(models.boosted_trees(maxIter=5)), _train(rows)).transform(rows))
+    return _metrics(models.fit(_stages(models.boosted_trees()), _train(rows)).transform(rows))
 
 
 @q("m11_grid_search")
@@ -127,7 +127,7 @@ def m11(t: Tables):
     from pyspark.ml.tuning import ParamGridBuilder
 
     rows = training_rows(t)
-    linear = models.robust_linear(maxIter=10)
+    linear = models.robust_linear()
     grid = ParamGridBuilder().addGrid(linear.regParam, [0.0, 0.1]).build()
     pipeline = Pipeline(stages=_stages(linear))
     results, _ = models.grid_search(pipeline, grid, _train(rows), rows.where("split = 'valid'"))
@@ -144,7 +144,7 @@ def m12(t: Tables):
 @q("m13_batch_scoring")
 def m13(t: Tables):
     rows = training_rows(t)
-    model = models.fit(_stages(models.robust_linear(maxIter=10)), _train(rows))
+    model = models.fit(_stages(models.robust_linear()), _train(rows))
     return models.score_batch(model, rows).select("line_key", F.round("pred", 4).alias("pred"))
 
 
@@ -196,7 +196,7 @@ def m16_dates(t: Tables):
 @q("m17_partial_dependence")
 def m17(t: Tables):
     rows = training_rows(t)
-    model = models.fit(_stages(models.robust_linear(maxIter=10)), _train(rows))
+    model = models.fit(_stages(models.robust_linear()), _train(rows))
     out = models.partial_dependence(rows, model, ["l_quantity", "p_size"], "line_key")
     return out.withColumn("mean_pred", F.round("mean_pred", 4))
 
@@ -296,9 +296,12 @@ def m22(t: Tables):
 
 @q("m22_listing_search_sql", with_inputs(SEARCH_ORACLE))
 def m22_sql(t: Tables):
-    from marketloom.sources.tables import query
-
-    return _found(query(t.spark, search.SEARCH_SQL, SEARCH, listings=scored_table(t)))
+    p = SEARCH
+    deals = search.deals_near(
+        scored_table(t), p["price_limit_cad"], (p["min_front_travel"], p["max_front_travel"]), (p["min_rear_travel"], p["max_rear_travel"]),
+        p["frame_size"], p["category"], p["lon"], p["lat"], p["distance_km_threshold"],
+    )
+    return _found(search.best_deals_sql(deals, p["max_results"]))
 
 
 @q("o08_coefficient_table")
@@ -306,7 +309,7 @@ def o08(t: Tables):
     from marketloom.operators.sorting import coefficient_table
 
     rows = training_rows(t)
-    model = models.fit(_stages(models.robust_linear(maxIter=10)), _train(rows))
+    model = models.fit(_stages(models.robust_linear()), _train(rows))
     names = [*NUMBERS, *[f"l_returnflag_{v}" for v in model.stages[0].labelsArray[0]], "l_returnflag_other"]
     table = coefficient_table(models.coefficients(model.stages[-1], names, t.spark), "l_")
     return table.withColumns({c: F.round(c, 3) for c in ("importance", "abs_importance")})

@@ -248,6 +248,11 @@ def parse_post_date(c: ColumnOrName, formats: list[str] | None = None) -> Column
     return F.coalesce(*[F.try_to_timestamp(_col(c), F.lit(f)) for f in (formats or POST_DATE_FORMATS)])
 
 
+def page_time(c: ColumnOrName) -> Column:
+    """A time as it stands in a table or on a page; other text gives null."""
+    return F.coalesce(_col(c).try_cast("timestamp"), parse_post_date(_col(c).cast("string")))
+
+
 def month_start(c: ColumnOrName) -> Column:
     return F.trunc(_col(c).cast("date"), "MM")
 

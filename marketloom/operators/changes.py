@@ -34,7 +34,7 @@ def with_anchor(df: DataFrame, anchors: DataFrame, keys: list[str] = ("category_
 
 def is_recent(repost: str = "last_repost_date", status: str = "status", hours: int = fv.RECENT_HOURS) -> Column:
     """Reposted no more than `hours` before the last scrape (repost time stands in UTC-7), or boosted."""
-    age = C.hours_between("last_scrape", C.fixed_offset_instant(repost))
+    age = C.hours_between("last_scrape", C.fixed_offset_instant(C.page_time(repost)))
     return F.coalesce(age > -hours, F.lit(False)) | F.coalesce(F.col(status) == "boosted", F.lit(False))
 
 
@@ -84,7 +84,7 @@ def changelog(
     """
     watched = columns or fv.WATCHED_COLUMNS
     old = previous.select(key, category, *[F.col(c).alias(f"_old_{c}") for c in watched])
-    new = updated.select(key, F.col(repost).cast("date").cast("string").alias("update_date"), *[F.col(c).alias(f"_new_{c}") for c in watched])
+    new = updated.select(key, C.page_time(repost).cast("date").cast("string").alias("update_date"), *[F.col(c).alias(f"_new_{c}") for c in watched])
     entries = []
     for c in watched:
         before, after = F.col(f"_old_{c}"), F.col(f"_new_{c}")
@@ -108,21 +108,31 @@ def membership_differences(previous: DataFrame, updated: DataFrame, key: str = "
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str = "url", order: list[str] = ()) -> DataFrame:
     """Next version with incoming rows whose key is new; of repeated keys one row goes in.
 
-    Incoming values take the stored types.
+    It is the first by `order`; without one, and among ties, the row whose columns come first as text. Incoming values take the stored types.
     """
     kinds = {f.name: f.dataType for f in stored.schema.fields}
     typed = {c: F.col(c).try_cast(kinds[c]) for c in incoming.columns if c in kinds and kinds[c] != incoming.schema[c].dataType}
     fresh = new_rows(incoming.withColumns(typed) if typed else incoming, stored, key)
-    single = top_n(fresh, [key], [F.asc(c) for c in (order or [key])])
+    single = top_n(fresh, [key], [*[F.asc(c) for c in order], *_by_text(fresh)])
     return stored.unionByName(single, allowMissingColumns=True)
 
 
-def keyed_update(stored: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Next version with `columns` replaced where the key matches; unmatched updates do nothing."""
+def _by_text(df: DataFrame) -> list[Column]:
+    """An order of rows that only equal rows share; maps have none and are left out."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.to_json(F.struct(*plain)).asc()]
+
+
+def keyed_update(stored: DataFrame, updates: DataFrame, key: str, columns: list[str], order: list[str] = ()) -> DataFrame:
+    """Next version with `columns` replaced where the key matches; unmatched updates do nothing.
+
+    Of updates with one key the last by `order` counts; without one, and among ties, the row whose columns come first as text.
+    """
     missing = {key, *columns} - set(updates.columns)
     if missing:
         raise ValueError(f"missing in updates: {sorted(missing)}")
-    patch = updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    single = top_n(updates, [key], [*[F.desc_nulls_last(c) for c in order], *_by_text(updates)])
+    patch = single.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = stored.join(patch, key, "left")
     new = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.select([new.get(c, F.col(c)).alias(c) for c in stored.columns])
@@ -140,9 +150,19 @@ def sold_capture(
     numbers: list[str] = ("price", "watch_count", "view_count"),
     key: str = "url",
     tiebreak: list[str] = (),
+    category: str = "category_num",
 ) -> DataFrame:
-    """New sold rows: sold by status, not stored, complete, numbers parsed, latest per key."""
-    sold = new_rows(candidates.where(looks_sold()), sold_store, key).na.drop("any")
+    """New sold rows: sold by status, not stored, complete, numbers parsed, latest per key.
+
+    Complete means complete in the fields that any candidate of the row's category fills: categories differ in their fields.
+    """
+    sold = new_rows(candidates.where(looks_sold()), sold_store, key)
+    if category in candidates.columns:
+        filled = candidates.groupBy(F.col(category).alias("_of")).agg(*[F.max(F.col(c).isNotNull()).alias(f"_has_{c}") for c in candidates.columns])
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() | ~F.col(f"_has_{c}") for c in candidates.columns])
+        sold = sold.join(filled, F.col(category).eqNullSafe(F.col("_of"))).where(whole).select(*candidates.columns)
+    else:
+        sold = sold.na.drop("any")
     return latest_row(C.convert_to_float(sold, list(numbers)), key, "datetime_scraped", tiebreak)
 
 

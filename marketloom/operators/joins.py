@@ -7,7 +7,7 @@ broadcast from measured sizes and whose skewed partitions it splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
@@ -16,17 +16,13 @@ from .windows import TIME_UNITS, forward_fill, time_unit
 FIXED_LOOKUP_ROWS = 200
 
 
-def lookup_frame(spark: SparkSession, table: dict[str, str], key: str, value: str) -> DataFrame:
-    if len(table) > FIXED_LOOKUP_ROWS:
-        raise ValueError("fixed lookups are small; read larger ones as a table")
-    return spark.createDataFrame(list(table.items()), f"{key} string, {value} string")
-
-
 def fixed_lookup(df: DataFrame, table: dict[str, str], column: str | Column, value: str) -> DataFrame:
     """Attach the value of a fixed table; a miss gives null."""
-    lookup = F.broadcast(lookup_frame(df.sparkSession, table, "_key", value))
+    if len(table) > FIXED_LOOKUP_ROWS:
+        raise ValueError("fixed lookups are small; read larger ones as a table")
     source = F.col(column) if isinstance(column, str) else column
-    return df.join(lookup, source == lookup["_key"], "left").drop("_key")
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return df.withColumn(value, F.try_element_at(entries, source))
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,7 +104,7 @@ def asof_join(
     values: list[str],
     bucket: str | None = None,
 ) -> DataFrame:
-    """Last right values at or before each left row.
+    """Last right values at or before each left row; of right rows at one instant the one whose values come last as text.
 
     Both sides are stacked on one time axis and the values carried forward. The
     carry works per (key, time bucket) and only bucket summaries cross buckets,
@@ -121,16 +117,18 @@ def asof_join(
         *names,
         F.col(left_ts).alias("_ts"),
         F.lit(1).alias("_side"),
+        F.lit("").alias("_tie"),
         *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values],
     )
     rates = right.select(
         *[(F.col(n) if n in by else F.lit(None).cast(left.schema[n].dataType)).alias(n) for n in names],
         F.col(right_ts).cast(left.schema[left_ts].dataType).alias("_ts"),
         F.lit(0).alias("_side"),
+        F.to_json(F.struct(*values)).alias("_tie"),
         *[F.col(v).alias(f"_{v}") for v in values],
     )
     carried = forward_fill(
-        stacked.unionByName(rates), by, ["_ts", "_side"], [f"_{v}" for v in values], F.date_trunc(bucket, "_ts")
+        stacked.unionByName(rates), by, ["_ts", "_side", "_tie"], [f"_{v}" for v in values], F.date_trunc(bucket, "_ts")
     )
     kept = carried.where(F.col("_side") == 1)
     return kept.select(*names, *[F.col(f"_{v}").alias(v) for v in values])

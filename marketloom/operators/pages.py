@@ -1,8 +1,8 @@
 """Extraction from stored pages.
 
-Links, counts and attributes are regular expressions inside the JVM. Only the
-two listing layouts and spec tables need a parser; it runs over Arrow batches
-and returns raw pieces of text, which column expressions then clean and type.
+Attributes and block markers are regular expressions inside the JVM. Links, the two
+listing layouts and spec tables need a parser; it runs over Arrow batches and
+returns raw pieces of text, which column expressions then clean and type.
 """
 
 from __future__ import annotations
@@ -24,25 +24,18 @@ CATEGORY_HREF = ".*category=([0-9]{1,20})"
 PAGE_HREF = ".*page=([0-9]{1,20})"
 LISTING_HREF = "^https://www.pinkbike.com/buysell/[0-9]{6,7}"
 
-_ANCHOR = r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'
-_HREF = r'(?is)href="([^"]*)"'
-_TAGS = r"(?s)<[^>]*>"
 
 
-# --- regular expression forms ----------------------------------------------
-
-
-def anchors(html: str | Column) -> Column:
-    """Array of (href, text) in page order."""
-    raw = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(_ANCHOR), F.lit(0))
-    return F.transform(
-        raw, lambda a: F.struct(F.regexp_extract(a, _HREF, 1).alias("href"), F.regexp_replace(a, _TAGS, "").alias("text"))
-    )
+# --- links ---------------------------------------------------------------------
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per link: key, pos, href, text."""
-    return pages.select(key, F.posexplode(anchors(html)).alias("pos", "_a")).select(key, "pos", "_a.href", "_a.text")
+    """One row per anchor with an address: key, pos, href, text, in page order.
+
+    The page tree finds them, whatever their quoting; entities are decoded, comments and other tags' addresses left out.
+    """
+    found = parse_pages(pages, _page_links, "links array<struct<href: string, text: string>>", [key], html)
+    return found.select(key, F.posexplode("links").alias("pos", "_a")).select(key, "pos", "_a.href", "_a.text")
 
 
 def category_numbers(link_rows: DataFrame, order: list[str] = ("page_id", "pos")) -> DataFrame:
@@ -57,25 +50,25 @@ def listing_results(pages: DataFrame, key: str = "page_id", html: str = "html",
     The i-th distinct link belongs to the i-th result block; links or blocks
     without a partner are dropped.
     """
-    hrefs = F.filter(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda h: h.rlike(href_pattern))
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<div\s[^>]*class="((?:[^"]*\s)?bsitem(?:\s[^"]*)?)"'), F.lit(1))
-    paired = F.arrays_zip(F.array_distinct(hrefs).alias("url"), blocks.alias("block"))
-    rows = pages.select(key, F.posexplode(paired).alias("pos", "_p")).where("_p.url is not null and _p.block is not null")
+    found = parse_pages(pages, _result_page, "hrefs array<string>, blocks array<string>", [key], html)
+    hrefs = F.filter("hrefs", lambda h: h.rlike(href_pattern))
+    paired = F.arrays_zip(F.array_distinct(hrefs).alias("url"), F.col("blocks").alias("block"))
+    rows = found.select(key, F.posexplode(paired).alias("pos", "_p")).where("_p.url is not null and _p.block is not null")
     status = F.when(F.array_contains(F.split("_p.block", r"\s+"), "boosted"), "boosted").otherwise("not boosted")
     return rows.select(key, "pos", F.col("_p.url").alias("url"), status.alias("status"))
 
 
 def last_page(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Largest page number linked from each page, 0 if none."""
-    hrefs = F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
-    numbers = F.transform(hrefs, lambda h: C.extract(h, PAGE_HREF).cast("bigint"))
-    return pages.select(key, F.coalesce(F.array_max(numbers), F.lit(0)).alias("last_page"))
+    found = parse_pages(pages, _page_links, "links array<struct<href: string, text: string>>", [key], html)
+    numbers = F.transform("links.href", lambda h: C.extract(h, PAGE_HREF).cast("bigint"))
+    return found.select(key, F.coalesce(F.array_max(numbers), F.lit(0)).alias("last_page"))
 
 
 def first_image(html: str = "html") -> Column:
     """Full-size image address of the listing's image block."""
-    block = F.regexp_extract(html, r'(?is)<div\s[^>]*id="buysell-image"[^>]*>', 0)
-    return C.extract(block, r'data-fullimageurl="([^"]*)"')
+    block = F.regexp_extract(html, r"""(?is)<div\s[^>]*\bid\s*=\s*["']?buysell-image\b[^>]*>""", 0)
+    return C.extract(block, r"""(?is)data-fullimageurl\s*=\s*["']?([^"'\s>]*)""")
 
 
 def is_blocked(html: str = "html") -> Column:
@@ -225,41 +218,55 @@ def _layout_a(page: Node) -> dict:
     }
 
 
-def _layout_b(page: Node) -> dict:
-    def exact(tag: str, classes: str) -> Node | None:
-        return next((n for n in page.all(tag) if n.attrs.get("class") == classes), None)
-
-    def facts(block: Node, *row_classes: str) -> list[str]:
-        lines = []
-        for row in block.all("div", *row_classes):
-            label, value = row.first("span", "content-tertiary"), row.first("span", "content-primary")
-            if label and value and value.text.strip() != "-":
-                lines.append(f"{label.text.strip().rstrip(':')}: {value.text.strip()}")
-        return lines
-
-    lines: list[str] = []
-    if header := page.first("div", "modal-header"):
-        brand, model = header.first("p", "content-secondary"), header.first("h2", "content-primary")
-        if brand and model:
-            lines += [f"Brand: {brand.text.strip()}", f"Model: {model.text.strip()}"]
-    if general := page.first("div", "general-information"):
-        lines += ["General Information:", *facts(general, "d-flex", "align-items-center", "flex-nowrap")]
-    seller = next((n for s in page.all("div", "seller-info") for n in s.all("div", "info-text")), None)
-    if seller and seller.text.strip():
-        lines += ["Seller Description:", seller.text.strip()]
-    for section in page.all("div", "parts", "parts-modal"):
-        if title := section.first("h3"):
-            lines += [f"\n{title.text.strip()}:", *facts(section, "d-flex", "align-items-center")]
-    head = exact("div", "px-3 py-4 bike-info-header")
-    head = head.first("div") if head else None
-    price = exact("p", "text-2xl font-500 mb-0 content-primary")
-    place = exact("p", "text-sm content-tertiary wrap-1 mb-0")
-    return {
-        "ad_title": head.text if head else None,
-        "price_text": price.text.strip() if price else None,
-        "location": place.text.strip() if place else None,
-        "description": "\n\n".join(lines),
-    }
+# Where the second layout keeps its pieces. A step is a tag and its classes; "=" asks for this very class text.
+SECOND_LAYOUT = {
+    "ad_title": ("div =px-3 py-4 bike-info-header", "div"),
+    "price_text": ("p =text-2xl font-500 mb-0 content-primary",),
+    "location": ("p =text-sm content-tertiary wrap-1 mb-0",),
+    "brand": ("div modal-header", "p content-secondary"),
+    "model": ("div modal-header", "h2 content-primary"),
+    "seller": ("div seller-info", "div info-text"),
+}
+SECOND_LAYOUT_FACTS = {
+    "general": ("div general-information", "div d-flex align-items-center flex-nowrap"),
+    "parts": ("div parts parts-modal", "div d-flex align-items-center"),
+}
+FACT = ("span content-tertiary", "span content-primary")
+FACTS = "array<struct<title: string, facts: array<struct<label: string, value: string>>>>"
+PIECES = ", ".join([*(f"{k} string" for k in SECOND_LAYOUT), *(f"{k} {FACTS}" for k in SECOND_LAYOUT_FACTS)])
+
+
+def _select(node: Node, steps: tuple[str, ...]):
+    """Nodes that a chain of steps leads to, in document order."""
+    tag, _, classes = steps[0].partition(" ")
+    named = () if classes.startswith("=") else classes.split()
+    for found in node.all(tag, *named):
+        if named or not classes or found.attrs.get("class") == classes[1:]:
+            yield from _select(found, steps[1:]) if len(steps) > 1 else (found,)
+
+
+def _stripped(node: Node, *steps: str) -> str | None:
+    return next((n.text.strip() for n in _select(node, steps)), None)
+
+
+def _second_layout(page: Node) -> dict:
+    """Single pieces by name; blocks of facts as titles with rows of label and value."""
+    pieces = {name: _stripped(page, *steps) for name, steps in SECOND_LAYOUT.items()}
+    for name, (block, row) in SECOND_LAYOUT_FACTS.items():
+        pieces[name] = [
+            {"title": _stripped(b, "h3"), "facts": [{"label": _stripped(r, FACT[0]), "value": _stripped(r, FACT[1])} for r in _select(b, (row,))]}
+            for b in _select(page, (block,))
+        ]
+    return pieces
+
+
+def _page_links(page: Node) -> dict:
+    return {"links": [{"href": a.attrs["href"], "text": a.text} for a in page.all("a") if "href" in a.attrs]}
+
+
+def _result_page(page: Node) -> dict:
+    blocks = [d.attrs["class"] for d in page.all("div", "bsitem")]
+    return {"hrefs": [a.attrs["href"] for a in page.all("a") if "href" in a.attrs], "blocks": blocks}
 
 
 def _spec_rows(page: Node) -> list[dict]:
@@ -278,8 +285,8 @@ PARSED = (
 
 
 def parse_pages(pages: DataFrame, parser, schema: str, keep: list[str], html: str = "html") -> DataFrame:
-    """Run a page parser over batches; a page that fails gives one row with null pieces."""
-    fields = T.StructType([pages.schema[c] for c in keep] + T.StructType.fromDDL(schema).fields)
+    """Run a page parser over batches; a page that fails gives one row with null pieces and the reason in ``parse_error``."""
+    fields = T.StructType([pages.schema[c] for c in keep] + T.StructType.fromDDL(f"{schema}, parse_error string").fields)
     arrow = to_arrow_schema(fields)
 
     def run(batches):
@@ -289,8 +296,8 @@ def parse_pages(pages: DataFrame, parser, schema: str, keep: list[str], html: st
                 base = {c: record[c] for c in keep}
                 try:
                     found = parser(page_tree(record[html] or ""))
-                except Exception:
-                    found = {}
+                except Exception as error:
+                    found = {"parse_error": f"{type(error).__name__}: {error}"}
                 rows += [{**base, **piece} for piece in (found if isinstance(found, list) else [found])]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -322,17 +329,33 @@ def parse_layout_a(pages: DataFrame, keep: list[str] = ("url",), html: str = "ht
 
 def parse_layout_b(pages: DataFrame, keep: list[str] = ("url",), html: str = "html") -> DataFrame:
     """Listings of the second layout; the price stays text and the posting time is the scrape time."""
-    schema = "ad_title string, price_text string, location string, description string"
-    raw = parse_pages(pages, _layout_b, schema, list(keep), html)
+    raw = parse_pages(pages, _second_layout, PIECES, list(keep), html)
     return raw.select(
         *keep,
         C.collapse_whitespace("ad_title").alias("ad_title"),
         *[v.alias(k) for k, v in C.symbol_price("price_text").items()],
         "location",
-        "description",
+        second_layout_description().alias("description"),
     )
 
 
+def second_layout_description() -> Column:
+    """Description of the second layout's pieces: sections under their headings, facts as "label: value", blank lines between."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    none = F.array().cast("array<string>")
+
+    def lines(facts: Column) -> Column:
+        told = F.filter(facts, lambda f: f["label"].isNotNull() & f["value"].isNotNull() & (f["value"] != "-"))
+        return F.transform(told, lambda f: F.concat(F.regexp_replace(f["label"], ":+$", ""), F.lit(": "), f["value"]))
+
+    maker = F.when(F.col("brand").isNotNull() & F.col("model").isNotNull(), F.array(F.concat(F.lit("Brand: "), "brand"), F.concat(F.lit("Model: "), "model")))
+    general = F.when(F.size("general") > 0, F.concat(F.array(F.lit("General Information:")), lines(F.col("general")[0]["facts"])))
+    seller = F.when(given(F.col("seller")), F.array(F.lit("Seller Description:"), F.col("seller")))
+    titled = F.filter("parts", lambda p: p["title"].isNotNull())
+    parts = F.flatten(F.transform(titled, lambda p: F.concat(F.array(F.concat(F.lit("\n"), p["title"], F.lit(":"))), lines(p["facts"]))))
+    return F.array_join(F.concat(*[F.coalesce(section, none) for section in (maker, general, seller, parts)]), "\n\n")
+
+
 def parse_listings(
     pages: DataFrame, scraped_at: Column, region_code: int = 3, html: str = "html", url: str = "url"
 ) -> tuple[DataFrame, DataFrame]:
@@ -359,4 +382,4 @@ def normalize_parsed(df: DataFrame, scraped_at: Column) -> DataFrame:
 def spec_table_rows(pages: DataFrame, keep: list[str] = ("spec_url",), html: str = "html") -> DataFrame:
     """Label/value rows of every table: keep, table_no, label, value."""
     rows = parse_pages(pages, _spec_rows, "table_no int, label string, value string", list(keep), html)
-    return rows.where("label is not null").withColumn("label", F.lower(F.regexp_replace("label", r"[\s-]", "_")))
+    return rows.where("label is not null").withColumn("label", F.lower(F.regexp_replace("label", r"[\s-]", "_"))).drop("parse_error")

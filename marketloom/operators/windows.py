@@ -18,6 +18,9 @@ from ..session import sized_broadcast
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """First n rows per key; the bound lets each map task drop the rest before the shuffle."""
     name = rank or "_rank"
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"  # beyond it Spark would not trim
+    if n > int(df.sparkSession.conf.get(limit)):
+        df.sparkSession.conf.set(limit, str(n))
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
 
@@ -95,9 +98,9 @@ def previous_row(df: DataFrame, key: str, order: list[str], columns: list[str],
     summaries = keyed.groupBy(key, "_bucket").agg(F.max_by(state, F.struct(*order)).alias("_carry"))
     before = Window.partitionBy(key).orderBy("_bucket")
     carry = summaries.withColumn("_carry", F.lag("_carry").over(before))
-    out = local.join(carry, [key, "_bucket"], "left")
+    out = local.join(carry, local[key].eqNullSafe(carry[key]) & local["_bucket"].eqNullSafe(carry["_bucket"]), "left")
     previous = F.coalesce("_previous", "_carry")
-    return out.select(*df.columns, *[previous[c].alias(f"previous_{c}") for c in columns])
+    return out.select(*[local[c] for c in df.columns], *[previous[c].alias(f"previous_{c}") for c in columns])
 
 
 def resample_months(df: DataFrame, keys: list[str], month: str, value: str) -> DataFrame:

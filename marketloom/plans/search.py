@@ -9,6 +9,7 @@ from ..functions.columns import markdown_row
 from ..operators.filters import search_ranges
 from ..operators.geo import within_distance
 from ..operators.sorting import top_k
+from ..sources.tables import query
 
 RESULT_COLUMNS = [
     "ad_title", "url", "price", "currency", "last_repost_date", "predicted_price", "predicted_price_diff", "distance_km",
@@ -34,37 +35,32 @@ def relevant_listings(
 
     Unpriced listings lead with nulls="first", as the database of record orders them.
     """
-    rows = search_ranges(
-        scored, price_limit_cad, (min_front_travel, max_front_travel), (min_rear_travel, max_rear_travel), frame_size, category
-    )
-    near = within_distance(rows, "lat", "lon", lat, lon, distance_km_threshold)
-    shaped = near.withColumn("predicted_price_diff", F.col("predicted_price") - F.col("price"))
-    best = top_k(shaped, "predicted_price_diff", max_results, nulls, ["url"])
+    shaped = deals_near(
+        scored, price_limit_cad, (min_front_travel, max_front_travel), (min_rear_travel, max_rear_travel), frame_size, category, lon, lat, distance_km_threshold
+    )
+    return _shown(top_k(shaped, "predicted_price_diff", max_results, nulls, ["url"]))
+
+
+def deals_near(scored: DataFrame, price_limit_cad, front_travel, rear_travel, frame_size, category, lon, lat, distance_km) -> DataFrame:
+    """All listings that a search admits, with their distance and predicted gain; travels are (least, most)."""
+    rows = search_ranges(scored, price_limit_cad, front_travel, rear_travel, frame_size, category)
+    near = within_distance(rows, "lat", "lon", lat, lon, distance_km)
+    return near.withColumn("predicted_price_diff", F.col("predicted_price") - F.col("price"))
+
+
+def _shown(best: DataFrame) -> DataFrame:
     return best.select(*[F.round(c, 1).alias(c) if c == "distance_km" else F.col(c) for c in RESULT_COLUMNS])
 
 
-SEARCH_SQL = """
-SELECT ad_title, url, price, currency, last_repost_date, predicted_price, predicted_price_diff,
-       round(distance_km, 1) AS distance_km
-FROM (
-    SELECT ad_title, url, price, currency, last_repost_date, predicted_price, predicted_price - price AS predicted_price_diff,
-           2 * 6371 * asin(sqrt(least(1, pow(sin(radians(lat - :lat) / 2), 2)
-               + cos(radians(:lat)) * cos(radians(lat)) * pow(sin(radians(lon - :lon) / 2), 2)))) AS distance_km
-    FROM {listings}
-    WHERE price_cad < :price_limit_cad
-      AND front_travel BETWEEN :min_front_travel AND :max_front_travel
-      AND rear_travel BETWEEN :min_rear_travel AND :max_rear_travel
-      AND frame_size_normalized = :frame_size AND category = :category
-)
-WHERE distance_km <= :distance_km_threshold
-ORDER BY predicted_price_diff DESC NULLS FIRST, url
-LIMIT :max_results
-"""
+def best_deals_sql(deals: DataFrame, max_results: int) -> DataFrame:
+    """The best of the admitted listings by a bound-parameter statement over their view."""
+    statement = "SELECT * FROM {deals} ORDER BY predicted_price_diff DESC NULLS FIRST, url LIMIT :n"
+    return _shown(query(deals.sparkSession, statement, {"n": max_results}, deals=deals))
 
 
-def as_markdown(df: DataFrame) -> str:
-    """A limited result as a markdown table, or a sentence when it is empty."""
-    rows = [r[0] for r in df.select(markdown_row(*df.columns)).collect()]
+def as_markdown(df: DataFrame, limit: int = 1000) -> str:
+    """The first ``limit`` rows as a markdown table, or a sentence when there are none."""
+    rows = [r[0] for r in df.limit(limit).select(markdown_row(*df.columns)).collect()]
     if not rows:
         return "No bikes found matching your criteria."
     head = "| " + " | ".join(df.columns) + " |"

@@ -62,12 +62,16 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a dimension whose row count has been checked.
+def sized_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64_000_000) -> DataFrame:
+    """Broadcast hint for a dimension whose rows and bytes have been counted.
 
-    Above the bound the frame comes back unhinted: the join then shuffles both
+    Above either bound the frame comes back unhinted: the join then shuffles both
     sides and adaptive execution splits skewed partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    lengths = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
+    row = sum((F.coalesce(x, F.lit(0)) for x in [*lengths, *nested]), F.lit(16 * len(df.columns)))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row)).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df

@@ -126,11 +126,49 @@ def test_alerts_keep_bad_rules_as_error_rows(frame):
         al.Alert("syntax", 1, "price <", datetime(2024, 1, 5)),
         al.Alert("other", 7, "price < 9000", datetime(2024, 1, 5)),
         al.Alert("badprice", 1, "price < 9000", datetime(2024, 1, 5), "prise > 1"),
+        al.Alert("jvm", 1, "reflect('java.lang.System', 'getProperty', 'user.name') = 'x'", datetime(2024, 1, 5)),
+        al.Alert("query", 1, "price in (select 1)", datetime(2024, 1, 5)),
+        al.Alert("fails", 1, "price < 9000", datetime(2024, 1, 5), "cast(ad_title as int) > 1"),
     ]
     out = al.evaluate_alerts(base, log, rules, lambda df: df.withColumn("pred_price", F.lit(1000.0)))
     good = out.where("error = ''")
     assert rows(good, "alert_uuid", "url", "price", "price_change", "pred_price_diff") == [
         ("ok", "a", "625.0", "400.0", "375.0"), ("ok", "a", "625.0", "50.0", "375.0"),
     ]
-    assert rows(out.where("error <> ''"), "alert_uuid") == [("bad",), ("badprice",), ("syntax",)]
+    assert rows(out.where("error <> ''"), "alert_uuid", "url", "error") == [
+        ("bad", None, al.BAD_RULE), ("badprice", None, al.BAD_RULE), ("badprice", "c", al.BAD_CURRENCY), ("fails", "c", al.BAD_CURRENCY),
+        ("jvm", None, al.BAD_RULE), ("ok", "c", al.BAD_CURRENCY), ("query", None, al.BAD_RULE), ("syntax", None, al.BAD_RULE),
+    ]
     assert [r.price_change for r in al.sort_for_mail(good).collect()] == ["400.0", "50.0"]
+
+
+def test_more_rules_than_one_plan_holds(frame, monkeypatch):
+    monkeypatch.setattr(al, "CHUNK", 2)
+    base = store(frame, [listing("a", 500.0), listing("b", 5000.0)]).withColumns({"location": F.lit("x"), "original_post_date": F.lit("2024-01-01")})
+    log = frame([], "url string, field string, old_value string, new_value string, update_date string")
+    rules = [al.Alert(f"r{i}", 1, f"price < {i * 1000}", datetime(2024, 1, 5)) for i in range(5)]
+    out = al.evaluate_alerts(base, log, rules, lambda df: df.withColumn("pred_price", F.lit(1000.0)))
+    assert rows(out, "alert_uuid", "url") == [(f"r{i}", "a") for i in range(1, 5)]
+
+
+def test_sold_rows_need_only_what_their_category_fills(frame):
+    rows_in = [("a", 1, "Sold", "5", None), ("b", 1, "Sold", None, None), ("c", 2, "Sold", "5", "150"), ("d", 2, "Sold", "5", None), ("e", 1, "For Sale", "7", None)]
+    df = frame(rows_in, "url string, category_num int, still_for_sale string, view_count string, front_travel string").withColumn("datetime_scraped", F.lit("2024-01-01"))
+    assert rows(ch.sold_capture(df, frame([], "url string"), ["view_count"]), "url") == [("a",), ("c",)]
+
+
+def test_repeated_keys_give_one_row(frame):
+    stored = frame([("a", 1.0)], "url string, price double")
+    updates = frame([("a", 2.0, 1), ("a", 3.0, 2), ("a", 4.0, 1), ("b", 5.0, 1), ("b", 6.0, 2)], "url string, price double, seq int")
+    assert rows(ch.keyed_update(stored, updates, "url", ["price"], ["seq"])) == [("a", 3.0)]
+    assert rows(ch.keyed_update(stored, updates, "url", ["price"])) == [("a", 2.0)]
+    assert rows(ch.insert_if_absent(stored, updates.drop("seq"), "url")) == [("a", 1.0), ("b", 5.0)]
+
+
+def test_dates_as_pages_write_them(frame):
+    old = frame([("a", "T", 1.0, "Sep-21-2021 11:46:21")], "url string, category string, price double, last_repost_date string")
+    new = old.withColumn("price", F.lit(2.0))
+    assert rows(ch.changelog(old, new, ["price"]), "url", "new_value", "update_date") == [("a", "2.0", "2021-09-21")]
+    ads = frame([("a", "Sep-21-2021 11:46:21", "x"), ("b", "Sep-01-2021 1:06:56", "x"), ("c", "no date", "x")], "url string, last_repost_date string, status string")
+    ads = ads.withColumn("last_scrape", F.lit("2021-09-21 00:00:00").cast("timestamp"))
+    assert rows(ads.where(ch.is_recent()), "url") == [("a",)]

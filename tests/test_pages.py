@@ -94,3 +94,18 @@ def test_model_links(frame):
 def test_deeply_nested_page(frame):
     html = "<div>" * 5000 + '<h1 class="buysell-title">deep</h1>'
     assert P.parse_layout_a(frame([("u", html)], "url string, html string")).first().ad_title == "deep"
+
+
+def test_links_of_any_quoting(frame):
+    html = """<link href="/no"><!-- <a href="/no">no</a> --><a href='/list/?category=12'>C &amp; D</a><A HREF=/list/?page=7>7</A><a class="x" href="/p?a=1&amp;page=9">9"""
+    pages = frame([(1, html), (2, None)], "page_id int, html string")
+    assert rows(P.links(pages), "pos", "href", "text") == [(0, "/list/?category=12", "C & D"), (1, "/list/?page=7", "7"), (2, "/p?a=1&page=9", "9")]
+    assert rows(P.category_numbers(P.links(pages))) == [("C & D", 12)] and rows(P.last_page(pages)) == [(1, 9), (2, 0)]
+
+
+def test_failing_pages_say_why(frame):
+    def parser(page):
+        raise ValueError("odd page")
+
+    out = P.parse_pages(frame([(1, "<p>x</p>")], "page_id int, html string"), parser, "title string", ["page_id"])
+    assert rows(out) == [(1, None, "ValueError: odd page")]
