@@ -25,7 +25,8 @@ from marketloom.session import materialize, sized_broadcast
 
 SKETCH = 64  # bytes; a pair at 0.8 agrees on 51 of them on average, with a deviation of 3.2
 AGREE = 36  # nearly five deviations below
-BUCKET = 4096
+BUCKET = 32_768
+WHOLE = 4096  # a bucket up to this size is compared in one piece, a larger one by blocks
 DENSE_SHARE = 0.25  # of a large bucket's members that are like its first one
 DEEPER = 3.0  # picks of a set per level, over 1 / threshold, below the first level
 LEVELS = 4
@@ -320,7 +321,7 @@ def _links(told: DataFrame, nodes: DataFrame, read: DataFrame, words: int, thres
     members = told
     found: DataFrame | None = None
     for level in range(1, LEVELS + 1):
-        members = materialize(members.distinct() if level > 1 else members, "members")
+        members = materialize(members.distinct(), "members") if level > 1 else members
         sizes = materialize(members.groupBy("path").count().filter("count > 1"), "buckets")
         large = sizes.filter(F.col("count") > BUCKET)
         split = None
@@ -328,7 +329,7 @@ def _links(told: DataFrame, nodes: DataFrame, read: DataFrame, words: int, thres
             split = materialize(_sparse(members, large, nodes), "split")
             sizes = sizes.join(split, "path", "left_anti")
         # What does not split is compared here, large buckets block by block, so that none is left out.
-        rows = _in_blocks(members.join(sizes, "path").join(nodes.select("node", "n", "sketch"), "node"), F.col("count"), BUCKET)
+        rows = _in_blocks(members.join(sizes, "path").join(nodes.select("node", "n", "sketch"), "node"), F.col("count"), WHOLE)
         keys = ["path", "left", "right"]
         got = _sorted_by(rows.select(*keys, "node", "n", "sketch"), *keys).mapInArrow(_compare_buckets(threshold, keys), "node long, center long")
         got = materialize(got.distinct(), "near")
@@ -374,9 +375,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     per_node = signed.filter("node is not null").groupBy("node")
     nodes = materialize(per_node.agg(F.min("doc").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "nodes")
     near = _links(nodes.select("node", F.explode("paths").alias("path")), nodes, read.select("key", "text"), words, threshold)
-    for _ in range(2):  # centers of centers: fewer groups, so that fewer copies of a text travel
-        up = near.groupBy(F.col("node").alias("center")).agg(F.min("center").alias("up"))
-        near = materialize(near.join(up, "center", "left").select("node", F.coalesce("up", "center").alias("center")).distinct(), "groups")
+    up = near.groupBy(F.col("node").alias("center")).agg(F.min("center").alias("up"))  # centers of centers: fewer groups, so that fewer copies of a text travel
+    near = materialize(near.join(up, "center", "left").select("node", F.coalesce("up", "center").alias("center")).distinct(), "groups")
     size = near.groupBy("center").count()
     centers = near.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
     rows = near.join(size, "center").join(centers.join(nodes.select("node", "key", "copies"), "node"), "node")

@@ -51,7 +51,7 @@ def family(seed, size, words=60):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 6, "BLOCK": 8}, {"BUCKET": 6, "BLOCK": 8, "DENSE_SHARE": 2.0}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 6, "WHOLE": 6, "BLOCK": 8}, {"BUCKET": 6, "WHOLE": 6, "BLOCK": 8, "DENSE_SHARE": 2.0}])
 def test_join_equals_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(cp, name, value)
