@@ -137,10 +137,13 @@ class _Pieces(dict):
     """Piece -> number; ``settle`` encodes the pieces that are new."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().clear()
         self.vocabulary, self.fresh = vocabulary, []
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def clear(self) -> None:
+        self.__init__(self.vocabulary)
+
     def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
         self.fresh.append(piece.encode())
@@ -173,6 +176,38 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, parts:
     return flat[ragged(starts[numbers], own)], np.diff(np.concatenate([[0], sums[ends]]))
 
 
+def _encoded(texts: pa.Array, pieces: _Pieces, split) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids end to end and their number by row, for one slab of texts after the other."""
+    start = 0
+    while start < len(texts):
+        rows, chars = [], 0
+        while start < len(texts) and chars < SLAB_CHARS:
+            text = texts[start].as_py() or ""
+            found = split(text)
+            rows.append(np.fromiter(map(pieces.__getitem__, found), np.int64, len(found)))
+            chars += len(text) + 100
+            start += 1
+        pieces.settle()
+        yield _gathered(pieces.flat, pieces.starts, pieces.lengths, rows)
+        if len(pieces) > CACHED_PIECES:
+            pieces.clear()
+
+
+def _id_lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+def _decoded(vocabulary: Vocabulary, flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Bytes of each row of ids, put together from the tokens' bytes."""
+    content, offsets = vocabulary.table
+    starts, own = offsets[:-1], np.diff(offsets)
+    ids = flat.astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(own[ids])])
+    ends = sums[np.concatenate([[0], np.cumsum(lengths)])]
+    data = b"".join(content[ragged(starts[part], own[part])].tobytes() for part in np.array_split(ids, len(ids) // SLAB_CHARS + 1))
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The rows with the token ids of the whole text (array of int).
 
@@ -182,26 +217,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        split = regex.compile(pattern).findall
-        pieces = _Pieces(shared.value)
+        pieces, split = _Pieces(shared.value), regex.compile(pattern).findall
         for texts in batches:
-            values, sizes, start = [], [], 0
-            while start < len(texts):
-                rows, chars = [], 0
-                while start < len(texts) and chars < SLAB_CHARS:
-                    text = texts[start].as_py() or ""
-                    found = split(text)
-                    rows.append(np.fromiter(map(pieces.__getitem__, found), np.int64, len(found)))
-                    chars += len(text) + 100
-                    start += 1
-                pieces.settle()
-                flat, lengths = _gathered(pieces.flat, pieces.starts, pieces.lengths, rows)
-                values.append(flat)
-                sizes.append(lengths)
-                if len(pieces) > CACHED_PIECES:
-                    pieces = _Pieces(shared.value)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
-            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+            for flat, lengths in _encoded(texts, pieces, split):
+                yield _id_lists(flat, lengths)
 
     return docs.withColumn(ids_col, F.arrow_udf(ids_of, "array<int>")(F.col(text_col)))
 
@@ -211,23 +230,29 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", byte
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        content, offsets = shared.value.table
-        starts, lengths = offsets[:-1], np.diff(offsets)
         for lists in batches:
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = lengths[ids]
-            sums = np.concatenate([[0], np.cumsum(own)])
-            ends = sums[np.concatenate([[0], np.cumsum(counts)])]
-            data = b"".join(content[ragged(starts[part], lengths[part])].tobytes() for part in np.array_split(ids, len(ids) // SLAB_CHARS + 1))
-            yield pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+            yield _decoded(shared.value, lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
 
     return tokens.withColumn(bytes_col, F.arrow_udf(bytes_of, "binary")(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass through Python: the rows with the ids and with the bytes that these stand for."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces, split = _Pieces(shared.value), regex.compile(pattern).findall
+        for texts in batches:
+            for flat, lengths in _encoded(texts, pieces, split):
+                yield pa.StructArray.from_arrays([_id_lists(flat, lengths), _decoded(shared.value, flat, lengths)], ["ids", "decoded"])
+
+    told = docs.withColumn("_both", F.arrow_udf(both, "ids array<int>, decoded binary")(F.col(text_col)))
+    return told.withColumns({ids_col: F.col("_both.ids"), bytes_col: F.col("_both.decoded")}).drop("_both")
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text") -> DataFrame:
-    """Number of ids, digest of the ids as decimal text joined by commas, digest of the decoded bytes, beside all columns."""
-    told = decode(encode(docs, vocabulary, pattern, text_col, "_ids"), vocabulary, "_ids", "_decoded")
+    """``_ids``, their number, the digest of the ids as decimal text joined by commas, and that of the decoded bytes, beside all columns."""
+    told = round_trip(docs, vocabulary, pattern, text_col, "_ids", "_decoded")
     return told.withColumns({
         "n_tokens": F.size("_ids").cast("long"),
         "ids_sha256": F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256),
