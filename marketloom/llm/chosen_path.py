@@ -26,11 +26,11 @@ from marketloom.session import materialize, sized_broadcast
 SKETCH = 64  # bytes; a pair at 0.8 agrees on 51 of them on average, with a deviation of 3.2
 AGREE = 36  # nearly five deviations below
 BUCKET = 32_768
-WHOLE = 4096  # a bucket up to this size is compared in one piece, a larger one by blocks
+WHOLE = 4096  # members of a bucket that are compared in one piece; a larger bucket is compared by blocks of them
 DENSE_SHARE = 0.25  # of a large bucket's members that are like its first one
 DEEPER = 3.0  # picks of a set per level, over 1 / threshold, below the first level
 LEVELS = 4
-BLOCK = 2048
+BLOCK = 2048  # members of a group whose texts are compared in one piece
 SLAB_BYTES = 1_500_000
 CELLS = 4_000_000  # cells of a member-by-token matrix
 
@@ -188,11 +188,12 @@ def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 def _least_labels(near: np.ndarray) -> np.ndarray:
     """Smallest index of each member's component, for groups of one size: near is (groups, m, m)."""
-    m = near.shape[1]
-    labels = np.broadcast_to(np.arange(m), near.shape[:2]).copy()
-    near = near | np.eye(m, dtype=bool)
+    groups, m = near.shape[:2]
+    labels = np.broadcast_to(np.arange(m, dtype=np.int32), near.shape[:2]).copy()
+    step = max(1, CELLS // (groups * m))
     while True:
-        after = np.where(near, labels[:, None, :], m).min(2)
+        after = np.concatenate([np.where(near[:, a : a + step], labels[:, None, :], np.int32(m)).min(2) for a in range(0, m, step)], 1)
+        after = np.minimum(after, labels)
         after = np.take_along_axis(after, after, 1)
         if (after == labels).all():
             return labels
@@ -355,9 +356,9 @@ def _sparse(members: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame
     return share.filter(F.col("share") < DENSE_SHARE).select("path")
 
 
-def _in_blocks(rows: DataFrame, size, whole: int = BLOCK) -> DataFrame:
-    """Each row once for every pair of blocks (left <= right) that its own block is part of; groups of up to ``whole`` are one block."""
-    number = F.when(size <= whole, 1).otherwise(F.ceil(size / BLOCK)).cast("int")
+def _in_blocks(rows: DataFrame, size, block: int) -> DataFrame:
+    """Each row once for every pair of blocks (left <= right) that its own block is part of."""
+    number = F.ceil(size / block).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int"))
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
 
@@ -381,7 +382,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     centers = near.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
     rows = near.join(size, "center").join(centers.join(nodes.select("node", "key", "copies"), "node"), "node")
     rows = read.select("key", "text").join(sized_broadcast(materialize(rows, "verify")), "key")
-    rows = _in_blocks(rows, F.col("count")).select("center", "left", "right", "block", "node", "copies", "centers", "text")
+    rows = _in_blocks(rows, F.col("count"), BLOCK).select("center", "left", "right", "block", "node", "copies", "centers", "text")
     keys = ["center", "left", "right"]
     verified = materialize(_sorted_by(rows, *keys).mapInArrow(_verify(words, threshold), "node long, links long, root long"), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
