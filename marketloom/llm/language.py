@@ -4,7 +4,7 @@ One model per language predicts the letters of a word from the three in front of
 them. The n-grams of all languages share sorted arrays of 64-bit hashes; beside each
 hash stand the log probabilities, already interpolated, under every language. A text
 gets the language of the lowest cross-entropy per symbol, and is rejected when that
-lies above what held-back texts of the nearest other language show under the same model.
+lies above what texts of the nearest other language show under the same model.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import scramble
@@ -27,6 +27,8 @@ EDGE = 10  # stands in front of and behind each word
 WORDS = re.compile(r"[^\W\d_]+")
 SLAB_CHARS = 1_000_000
 CACHED_WORDS = 300_000
+HELD = 1 / 6  # share of the counted documents that is held back for calibration
+LEAST_JUDGED = 50  # documents of a language that judge the models of the others, if it has so many
 UNKNOWN = "und"
 
 
@@ -67,11 +69,11 @@ def gram_hash(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[str, Counter] = {}
+    seen: dict[tuple[str, bool], Counter] = {}
     for batch in batches:
-        for text, lang in zip(batch["text"], batch["lang"]):
-            seen.setdefault(lang, Counter()).update(letters_of(text))
-    for lang, counts in seen.items():
+        for text, lang, held in zip(batch["text"], batch["lang"], batch["held"]):
+            seen.setdefault((lang, held), Counter()).update(letters_of(text))
+    for (lang, held), counts in seen.items():
         words = list(counts)
         grams: Counter = Counter()
         for start in range(0, len(words), 50_000):
@@ -85,7 +87,7 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, n in enumerate(sums.tolist()):
                 grams[text[i * ORDER : (i + 1) * ORDER]] += n
         if grams:
-            yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
+            yield pd.DataFrame({"lang": lang, "held": held, "gram": list(grams), "n": list(grams.values())})
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,30 +213,44 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Model from labelled documents.
 
     Bound: about ``docs_per_language`` whole documents of each language, chosen by a hash of
-    the id, are counted, and a fifth as many more calibrate the rejection. Null
+    the id, are counted; a smaller language is counted in full. The same documents calibrate the
+    rejection at every size: each language's model is judged by documents of the others, which it does not
+    count, and a language that stands alone by a sixth of its own, under a model of the other five. Null
     languages are left out; without any labelled text there is no model.
     """
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).filter("lang is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return None
-    bound = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(docs_per_language / n))]), F.col("lang"))
-    place = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    placed = labelled.withColumn("place", place / bound).drop("id")
-    grams = placed.filter("place < 1").select("text", "lang").mapInPandas(_gram_counts, "lang string, gram string, n long")
-    model = _smoothed([tuple(r) for r in grams.groupBy("lang", "gram").agg(F.sum("n")).orderBy("lang", "gram").collect()])
+
+    def by_size(of) -> Column:
+        return F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(of(n))))]), F.col("lang"))
+
+    hashed = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    placed = labelled.withColumn("place", hashed / by_size(lambda n: min(1, docs_per_language / n))).filter("place < 1").drop("id")
+    placed = placed.withColumn("held", F.col("place") >= 1 - HELD)
+    grams = placed.select("text", "lang", "held").mapInPandas(_gram_counts, "lang string, held boolean, gram string, n long")
+    counts = [tuple(r) for r in grams.groupBy("lang", "gram").agg(F.sum("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n")))).orderBy("lang", "gram").collect()]
+    model = _smoothed([r[:3] for r in counts])
     if model is None:
         return None
-    held = _scored(placed.filter("place >= 1 and place < 1.2"), model, "text").filter("_symbols >= 40")
-    means = [F.avg(F.col("_all")[i]).alias(f"m{i}") for i in range(len(model.languages))]
-    seen = {r["lang"]: [r[f"m{i}"] for i in range(len(model.languages))] for r in held.groupBy("lang").agg(*means).collect()}
     model.limits = np.full(len(model.languages), np.inf)  # nothing to judge by: reject nothing
-    for i, name in enumerate(model.languages):
-        other = [row[i] for lang, row in seen.items() if lang != name]
-        model.limits[i] = min(other, default=2 * seen[name][i] if name in seen else np.inf)
+    if len(model.languages) > 1:
+        seen = _means(placed.filter(F.col("place") >= by_size(lambda n: 1 - max(HELD, LEAST_JUDGED / min(n, docs_per_language)))), model)
+        for i, name in enumerate(model.languages):
+            model.limits[i] = min((row[i] for lang, row in seen.items() if lang != name), default=np.inf)
+    elif part := _smoothed([(lang, gram, n) for lang, gram, _, n in counts if n]):
+        model.limits[:] = [2 * row[0] for row in _means(placed.filter("held"), part).values()] or np.inf
     return model
 
 
+def _means(docs: DataFrame, model: LanguageModel) -> dict[str, list[float]]:
+    """Language of the documents -> mean cross-entropy of its texts under each model; very short texts are left out."""
+    told = _scored(docs, model, "text").filter("_symbols >= 40")
+    means = [F.avg(F.col("_all")[i]) for i in range(len(model.languages))]
+    return {r[0]: list(r[1:]) for r in told.groupBy("lang").agg(*means).collect()}
+
+
 def _scored(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
     """The rows with _best, _score, _cross, _symbols, _rejected and _all, the cross-entropies under all languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -101,6 +101,18 @@ def test_texts_without_letters_and_strange_ones_are_rejected(spark, model):
     assert out[4]["lang_pred"] in SYLLABLES
 
 
+@pytest.mark.parametrize("languages", [list(SYLLABLES), ["aa", "bb"], ["cc"]])
+def test_small_languages_reject_too(spark, languages):
+    """All documents are counted, as there are fewer than the bound; "bb" has 12 only."""
+    rows = [r for r in texts(3, 250) if r[2] in languages and (r[2] != "bb" or r[0] < 30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(languages) and np.isfinite(model.limits).all()
+    strange = [(i, "xqzjw xqzjw wjqzx " * 20, None) for i in range(1000, 1003)]
+    unseen = [r for r in texts(4, 100) if r[2] in languages]
+    out = language.identify(spark.createDataFrame(strange + unseen, "doc_id long, text string, lang string"), model).collect()
+    assert all(r["lang_rejected"] == (r["doc_id"] >= 1000) for r in out) and len(out) == 3 + len(unseen)
+
+
 def test_language_without_labels_or_rows(spark, model):
     none = spark.createDataFrame([(1, "ab", None)], "doc_id long, text string, lang string")
     assert language.fit(none) is None

@@ -92,3 +92,10 @@ def test_stages_take_empty_tables(spark, stages):
     folder, _ = stages
     empty = spark.createDataFrame([], SCHEMA)
     assert all(stage(spark, empty, folder).collect() == [] for _, stage in cp.STAGES)
+
+
+def test_foreign_texts_leave_small_tables(spark, stages):
+    folder, _ = stages
+    foreign = [(1000 + i, "wjqzx xqzjw jwq " * (20 + i), None, "src1", 0) for i in range(3)]
+    kept = cp.keep_languages(spark, spark.createDataFrame(documents() + foreign, SCHEMA), folder).collect()
+    assert sorted(tuple(r) for r in kept) == sorted(by_hand(documents())[0])
