@@ -12,6 +12,8 @@ those whose leading string occurs more than once.
 3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time. Equal ones
    lie side by side: all but the earliest repeat in full. The earliest ones of
    a leading string are compared window by window.
+4. A leading string of very many occurrences goes to no bucket. Its windows, at most 77 a suffix, are dealt
+   out by their hashes, and all but the earliest of a hash repeat.
 
 Whole copies of a text of smaller id are settled by the text's hash beforehand. Before each exchange a task settles what it can see alone: of equal strings in one slab of
 texts only the earliest travels, so a passage in every third document sends one row per slab.
@@ -36,6 +38,8 @@ CONTEXT = LEFT + WINDOW
 SLAB_BYTES = 1_500_000
 SEGMENT = 4_000_000  # a longer text is looked through in overlapping segments
 ROWS = 8192
+HOT = 65_536  # a leading string of more occurrences is compared by the hashes of its windows
+KNOWN, SUFFIX, WINDOWS = 0, 1, 2  # rows that need no comparison, suffixes, and windows of hot leading strings
 LAST = np.uint64(2**64 - 1)
 
 
@@ -111,7 +115,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _ask_anchors(slots: int):
-    """Rows (key, text) -> (slot, known, hashes, keys, places): of equal anchors of a slab one asks; if there are more, all are known to repeat."""
+    """Rows (key, text) -> (slot, known, hashes, counts, keys, places): of equal anchors of a slab one asks, with their count; if there are more, all are known to repeat."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +124,13 @@ def _ask_anchors(slots: int):
             for (doc, at), h in _pieces(data, offsets):
                 _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 many = count[inverse] > 1
-                out = [(s, False, h[first[i]].astype(np.int64), keys[doc[first[i]]], at[first[i]]) for s, i in _by_slot((h[first] >> np.uint64(32)) % np.uint64(slots), slots)]
-                out += [(s, True, np.zeros(0, np.int64), keys[doc[many][i]], at[many][i]) for s, i in _by_slot(doc[many] % slots, slots)]
+                out = [(s, False, h[first[i]].astype(np.int64), count[i], keys[doc[first[i]]], at[first[i]]) for s, i in _by_slot((h[first] >> np.uint64(32)) % np.uint64(slots), slots)]
+                out += [(s, True, np.zeros(0, np.int64), np.zeros(0, np.int64), keys[doc[many][i]], at[many][i]) for s, i in _by_slot(doc[many] % slots, slots)]
                 if out:
-                    slot, known, hashes, of, places = zip(*out)
+                    slot, known, hashes, counts, of, places = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(slot, pa.int32()), pa.array(known), _lists(list(hashes), pa.int64()), _lists(list(of), pa.int64()), _lists(list(places), pa.int32())],
-                        ["slot", "known", "hashes", "keys", "places"],
+                        [pa.array(slot, pa.int32()), pa.array(known), _lists(list(hashes), pa.int64()), _lists(list(counts), pa.int32()), _lists(list(of), pa.int64()), _lists(list(places), pa.int32())],
+                        ["slot", "known", "hashes", "counts", "keys", "places"],
                     )
 
     return work
@@ -139,24 +143,26 @@ def _per_key(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[begin], np.r_[begin, len(keys)].astype(np.int32), [c[order] for c in columns]
 
 
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """-> (key, places): anchors that were known or were asked for more than once."""
-    asked: list[list[np.ndarray]] = [[], [], []]
+def _answer_anchors(most: int):
+    """-> (key, places, hot): anchors that were known or were asked for more than once; in rows without a key, hashes that occur over ``most`` times."""
 
     def told(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         key, at, (places,) = _per_key(keys, places)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(at), pa.array(places, pa.int32()))], ["key", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(at), pa.array(places, pa.int32())), _lists([np.zeros(0, np.int64)] * len(key), pa.int64())], ["key", "places", "hot"])
 
-    for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        if known.any():
-            own = batch.filter(pa.array(known))
-            yield told(own.column("keys").flatten().to_numpy(), own.column("places").flatten().to_numpy())
-        own = batch.filter(pa.array(~known))
-        for column, name in zip(asked, ("hashes", "keys", "places")):
-            column.append(own.column(name).flatten().to_numpy().copy())
-    if asked[0]:
-        h, keys, places = (np.concatenate(c) for c in asked)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            if known.any():
+                own = batch.filter(pa.array(known))
+                yield told(own.column("keys").flatten().to_numpy(), own.column("places").flatten().to_numpy())
+            own = batch.filter(pa.array(~known))
+            for column, name in zip(asked, ("hashes", "counts", "keys", "places")):
+                column.append(own.column(name).flatten().to_numpy().copy())
+        if not asked[0]:
+            return
+        h, counts, keys, places = (np.concatenate(c) for c in asked)
         order = np.argsort(h, kind="stable")
         s = h[order]
         again = np.zeros(len(s), bool)
@@ -165,6 +171,12 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         again = order[again]
         if len(again):
             yield told(keys[again], places[again])
+        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        hot = s[begin[np.add.reduceat(counts[order].astype(np.int64), begin) > most]] if len(s) else s
+        if len(hot):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), _lists([np.zeros(0, np.int32)], pa.int32()), _lists([hot], pa.int64())], ["key", "places", "hot"])
+
+    return work
 
 
 def _contexts(content: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -179,12 +191,66 @@ def _starts(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(at - LEFT, 0), np.minimum(at, size - WINDOW)
 
 
-def _ask_suffixes(slots: int, splitters: np.ndarray):
-    """Rows (key, ord, text, places) -> (slot, known, keys, ords, places, sizes, contexts).
+def _powers(of: int) -> np.ndarray:
+    return np.cumprod(np.r_[1, np.full(CONTEXT - 1, of, np.uint64)].astype(np.uint64))
+
 
-    Known rows carry in ``places`` and ``sizes`` the first and last start of repeated windows.
+def _leads(bytes_: np.ndarray) -> np.ndarray:
+    """Rows of GRAM bytes as strings; numpy drops zeros at their end, so some different ones count as equal, but never the other way round."""
+    return np.ascontiguousarray(bytes_).view(f"S{GRAM}").reshape(-1)
+
+
+def _window_hashes(ctx: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes in front of the anchor, rows that have such a window, two hashes of each) for all windows that hold the anchors."""
+    for start in range(0, len(at), ROWS):
+        part = slice(start, start + ROWS)
+        sums = np.zeros((2, len(at[part]), CONTEXT + 1), np.uint64)
+        for own, of in zip(sums, (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
+            np.cumsum((ctx[part].astype(np.uint64) + np.uint64(1)) * _powers(of), axis=1, out=own[:, 1:])
+        low, high = _starts(at[part], size[part])
+        for back in range(LEFT + 1):
+            rows = np.flatnonzero((at[part] - back >= low) & (at[part] - back <= high))
+            h = sums[:, rows, LEFT - back + WINDOW] - sums[:, rows, LEFT - back]
+            yield back, rows + start, scramble(h + np.uint64(back + 1) * MIX).T
+
+
+def _late_windows(h: np.ndarray, ords: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a window of the same two hashes has an earlier place."""
+    order = np.lexsort((start, ords, h[:, 1], h[:, 0]))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]).any(1)] if len(order) else np.zeros(0, bool)
+    origin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    late = np.zeros(len(order), bool)
+    late[order] = (ords[order] != ords[origin]) | (start[order] != start[origin])
+    return late
+
+
+def _ask_windows(ctx: np.ndarray, keys: np.ndarray, ords: np.ndarray, at: np.ndarray, size: np.ndarray, slots: int) -> Iterator[tuple]:
+    """Rows of _ask_suffixes for suffixes of hot leading strings: of equal windows the earliest asks, the others are known to repeat."""
+    found: list[list] = [[] for _ in range(LEFT + 1)]
+    for back, rows, h in _window_hashes(ctx, at, size):
+        found[back].append((rows, h))
+    hit = np.zeros((len(at), LEFT + 3), np.int8)
+    for back, parts in enumerate(found):
+        rows, h = (np.concatenate(x) for x in zip(*parts))
+        late = _late_windows(h, ords[rows], at[rows] - back)
+        hit[rows[late], back + 1] = 1
+        found[back] = [rows[~late], h[~late], at[rows[~late]] - back]
+    rows, h, start = (np.concatenate(x) for x in zip(*found))
+    for s, i in _by_slot(h[:, 0] % np.uint64(slots), slots):
+        yield s, WINDOWS, keys[rows[i]], ords[rows[i]], start[i], np.zeros(0, np.int64), h[i].tobytes()
+    edge = np.diff(hit, axis=1)
+    (row, least), (_, beyond) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    for s, i in _by_slot(keys[row].view(np.uint64) % np.uint64(slots), slots):
+        yield s, KNOWN, keys[row[i]], ords[row[i]], at[row[i]] - beyond[i] + 1, at[row[i]] - least[i], b""
+
+
+def _ask_suffixes(slots: int, splitters: np.ndarray, hot: np.ndarray):
+    """Rows (key, ord, text, places) -> (slot, kind, keys, ords, places, sizes, contexts).
+
+    Known rows carry in ``places`` and ``sizes`` the first and last start of repeated windows, rows of
+    windows in ``places`` their starts and in ``contexts`` their hashes. ``hot``: sorted hashes of the leading strings to compare by windows.
     """
-    digits = np.cumprod(np.r_[1, np.full(CONTEXT - 1, 0x9E3779B97F4A7C15, np.uint64)].astype(np.uint64))
+    digits = _powers(0x9E3779B97F4A7C15)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,22 +275,30 @@ def _ask_suffixes(slots: int, splitters: np.ndarray):
                 late = (ords[doc] != ords[doc[origin]]) | (at != at[origin])
                 rest, asks = np.flatnonzero(late), np.flatnonzero(~late)
                 low, high = _starts(at[rest], size[rest])
-                out = [(s, True, keys[doc[rest[i]]], ords[doc[rest[i]]], low[i], high[i], b"") for s, i in _by_slot(doc[rest] % slots, slots)]
+                out = [(s, KNOWN, keys[doc[rest[i]]], ords[doc[rest[i]]], low[i], high[i], b"") for s, i in _by_slot(doc[rest] % slots, slots)]
                 asks = asks[np.argsort(doc[asks], kind="stable")]
                 own, begin = np.unique(doc[asks], return_index=True)
                 content = np.concatenate([_contexts(data[offsets[d] : offsets[d + 1]], part) for d, part in zip(own, np.split(at[asks], begin[1:]))])
                 whole = np.maximum(content.astype(np.int32) - 1, 0).astype(np.uint8)
-                lead = np.ascontiguousarray(whole[:, LEFT : LEFT + 8]).view(">u8").reshape(-1).astype(np.uint64)
+                if len(hot) and len(asks):
+                    grams = gram_hashes(whole[:, LEFT : LEFT + GRAM].reshape(-1))[::GRAM].astype(np.int64)
+                    often = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                    f = asks[often]
+                    if len(f):
+                        out += _ask_windows(whole[often], keys[doc[f]], ords[doc[f]], at[f], size[f], slots)
+                    asks, whole = asks[~often], whole[~often]
+                lead = _leads(whole[:, LEFT : LEFT + GRAM])
                 sorted_by = np.argsort(lead, kind="stable")
                 asks, whole, lead = asks[sorted_by], whole[sorted_by], lead[sorted_by]
                 for s, i in _by_slot(np.searchsorted(splitters, lead, side="right"), slots):
                     f = asks[i]
-                    out.append((s, False, keys[doc[f]], ords[doc[f]], at[f], size[f], whole[i].tobytes()))
-                slot, known, of, order_of, where, sizes, blobs = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot, pa.int32()), pa.array(known), _lists(list(of), pa.int64()), _lists(list(order_of), pa.int64()), _lists(list(where), pa.int64()), _lists(list(sizes), pa.int64()), pa.array(blobs, pa.binary())],
-                    ["slot", "known", "keys", "ords", "places", "sizes", "contexts"],
-                )
+                    out.append((s, SUFFIX, keys[doc[f]], ords[doc[f]], at[f], size[f], whole[i].tobytes()))
+                for a in range(0, len(out), 20_000):
+                    slot, kind, of, order_of, where, sizes, blobs = zip(*out[a : a + 20_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slot, pa.int32()), pa.array(kind, pa.int32()), _lists(list(of), pa.int64()), _lists(list(order_of), pa.int64()), _lists(list(where), pa.int64()), _lists(list(sizes), pa.int64()), pa.array(blobs, pa.binary())],
+                        ["slot", "kind", "keys", "ords", "places", "sizes", "contexts"],
+                    )
 
     return work
 
@@ -319,17 +393,23 @@ def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBat
 def _answer_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """-> (key, lows, highs): starts of windows that stand at an earlier place, as stretches."""
     asked: list[list] = [[], [], [], [], []]
+    windows: list[list] = [[], [], [], []]
     for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        if known.any():
-            own = batch.filter(pa.array(known))
+        kind = batch.column("kind").to_numpy()
+        if (kind == KNOWN).any():
+            own = batch.filter(pa.array(kind == KNOWN))
             yield _merged(*(own.column(c).flatten().to_numpy() for c in ("keys", "places", "sizes")))
-        own = batch.filter(pa.array(~known))
-        for column, name in zip(asked, ("keys", "ords", "places", "sizes")):
-            column.append(own.column(name).flatten().to_numpy().copy())
-        asked[4].append(np.frombuffer(b"".join(own.column("contexts").to_pylist()), np.uint8).reshape(-1, CONTEXT))
+        for which, columns, width in ((SUFFIX, asked, CONTEXT), (WINDOWS, windows, 16)):
+            own = batch.filter(pa.array(kind == which))
+            for column, name in zip(columns, ("keys", "ords", "places", "sizes")[: len(columns) - 1]):
+                column.append(own.column(name).flatten().to_numpy().copy())
+            columns[-1].append(np.frombuffer(b"".join(own.column("contexts").to_pylist()), np.uint8).reshape(-1, width))
     if not asked[0]:
         return
+    keys, ords, start, h = (np.concatenate(c) for c in windows)
+    del windows
+    late = _late_windows(h.view(np.uint64), ords, start)
+    yield _merged(keys[late], start[late], start[late])
     keys, ords, at, size, ctx = (np.concatenate(c) for c in asked)
     del asked
     lead = np.ascontiguousarray(ctx[:, LEFT : LEFT + GRAM]).view(">u8").astype(np.uint64)
@@ -373,13 +453,13 @@ def _splitters(read: DataFrame, slots: int, docs: int) -> np.ndarray:
             data, offsets = utf8(batch.column("text"))
             for (doc, at), _ in _pieces(data, offsets):
                 at = at + offsets[doc]
-                own = np.ascontiguousarray(data[at[:: 1 + len(at) // 200_000, None] + np.arange(8)]).view(">u8").reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.uint64).astype(np.int64))], ["lead"])
+                own = data[at[:: 1 + len(at) // 200_000, None] + np.arange(GRAM)]
+                yield pa.RecordBatch.from_arrays([pa.array(_leads(own).tolist(), pa.binary())], ["lead"])
 
     total = read.count()
     sample = read.filter(F.pmod(F.xxhash64(F.lit("split"), "key"), F.lit(1_000_003)) < F.lit(1_000_003.0 * docs / max(total, 1)))
-    seen = np.sort(np.array([r[0] for r in sample.select("text").mapInArrow(leads, "lead long").collect()], np.int64).astype(np.uint64))
-    return seen[np.arange(1, slots) * len(seen) // slots] if len(seen) else np.zeros(0, np.uint64)
+    seen = np.sort(np.array([bytes(r[0]) for r in sample.select("text").mapInArrow(leads, "lead binary").collect()], f"S{GRAM}"))
+    return seen[np.arange(1, slots) * len(seen) // slots] if len(seen) else seen
 
 
 def _copies(read: DataFrame) -> DataFrame:
@@ -390,7 +470,7 @@ def _copies(read: DataFrame) -> DataFrame:
     return materialize(hashed.join(first, "hash").filter("ord > first").select("key", "size").distinct(), "copies")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_docs: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_docs: int = 1000, hot_rows: int = HOT) -> DataFrame:
     """One row per input row: id, n_bytes, spans (removed stretches, array of start and end), kept (remaining bytes).
 
     A byte goes if a window of 100 bytes that covers it also starts at an earlier place: in a row
@@ -405,11 +485,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     splitters = _splitters(read, slots, split_docs)
     copies = _copies(read)
-    asks = read.select("key", "text").join(sized_broadcast(copies.select("key")), "key", "left_anti").mapInArrow(_ask_anchors(slots), "slot int, known boolean, hashes array<long>, keys array<long>, places array<int>")
-    found = asks.repartition("slot").mapInArrow(_answer_anchors, "key long, places array<int>")
-    places = materialize(found.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "anchors")
-    met = read.join(places, "key").select("key", "ord", "id", "text", "places")
-    suffixes = met.mapInArrow(_ask_suffixes(slots, splitters), "slot int, known boolean, keys array<long>, ords array<long>, places array<long>, sizes array<long>, contexts binary")
+    asks = read.select("key", "text").join(sized_broadcast(copies.select("key")), "key", "left_anti").mapInArrow(_ask_anchors(slots), "slot int, known boolean, hashes array<long>, counts array<int>, keys array<long>, places array<int>")
+    found = asks.repartition("slot").mapInArrow(_answer_anchors(hot_rows), "key long, places array<int>, hot array<long>")
+    places = materialize(found.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("hot")).alias("hot")), "anchors")
+    hot = np.sort(np.array([h for r in places.filter("key is null").select("hot").collect() for h in r["hot"]], np.int64))  # one in hot_rows anchors at most
+    met = read.join(places.select("key", "places"), "key").select("key", "ord", "id", "text", "places")
+    suffixes = met.mapInArrow(_ask_suffixes(slots, splitters, hot), "slot int, kind int, keys array<long>, ords array<long>, places array<long>, sizes array<long>, contexts binary")
     stretches = suffixes.repartition("slot").mapInArrow(_answer_suffixes, "key long, lows array<long>, highs array<long>")
     whole_copies = copies.filter(f"size >= {WINDOW}").select("key", F.array(F.lit(0).cast("long")).alias("lows"), F.array(F.col("size") - WINDOW).alias("highs"))
     stretches = stretches.unionByName(whole_copies).groupBy("key").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))

@@ -55,6 +55,40 @@ def test_long_texts_go_by_segments(spark, monkeypatch):
     assert got == {(i, kept) for i, _, kept, _ in by_brute_force(rows)}
 
 
+def common_line(n):
+    """Texts that share a line shorter than a window, in different surroundings, some of which agree for a while."""
+    rng = random.Random(4)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line, near = "one line that very many of the documents hold, all of them", [noise(40) for _ in range(3)]
+    texts = [noise(rng.randint(0, 150)) + rng.choice(near)[rng.randrange(41) :] + line + rng.choice(near)[: rng.randrange(41)] + noise(rng.randint(0, 150)) for _ in range(n)]
+    return [(i, t, *corpus()[0][2:]) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 20])
+def test_hot_leading_strings_equal_brute_force(spark, hot_rows):
+    rows = common_line(200)
+    rows += [(300 + r[0], *r[1:]) for r in corpus(5)] + [(None, *rows[1][1:]), rows[3], (rows[4][0], rows[4][1] + rows[5][1], *rows[0][2:]), (900, "\x00" * 90 + "é" * 80 + rows[7][1], *rows[0][2:])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), hot_rows=hot_rows).collect()
+    told = sorted(((r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in got), key=repr)
+    assert told == sorted(by_brute_force(rows), key=repr)
+
+
+def test_no_slot_gets_all_of_a_hot_leading_string(spark, monkeypatch):
+    """The rows that meet in one task, by the exchange's own column."""
+    met, plain = [], type(spark.range(0)).repartition
+
+    def watched(frame, *by):
+        if "contexts" in frame.columns:
+            met.extend(frame.selectExpr("slot", "size(keys) n", "octet_length(contexts) bytes").filter("bytes > 0").groupBy("slot").sum("n").collect())
+        return plain(frame, *by)
+
+    monkeypatch.setattr(type(spark.range(0)), "repartition", watched)
+    monkeypatch.setattr(suffixes.remove_repeats, "__defaults__", tuple(20 if d == suffixes.HOT else d for d in suffixes.remove_repeats.__defaults__) if hasattr(suffixes, "HOT") else suffixes.remove_repeats.__defaults__)
+    suffixes.remove_repeats(spark.createDataFrame(common_line(400), SCHEMA)).count()
+    counts = [r[1] for r in met]
+    assert sum(counts) > 400 and max(counts) < 0.3 * sum(counts)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (400, 5)).astype(np.uint64)
