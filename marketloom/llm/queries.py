@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindings.inputs import Registry
-from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, multiprobe, secrets, suffixes, toxicity, url_rules
+from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, multiprobe, multiset_hash, secrets, suffixes, toxicity, url_rules
 
 q = Registry()
 
@@ -124,3 +124,36 @@ def op9(tables):
     sha256(coalesce(text, '')) as text_sha256 from documents window same as (partition by coalesce(text, ''))""")
 def op10(tables):
     return fingerprints.exact_groups(tables.documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _multiset_sql() -> str:
+    """The lanes of ``multiset_hash`` as sums over DuckDB's list of paragraphs."""
+    pieces = lambda text: f"list_transform(regexp_extract_all({text}, '[^.!?\\x0A-\\x0D]+[.!?]*|[.!?]+'), lambda p: trim(p, ' '))"
+    numbers = [f"cast('0x' || substr(sha256({salt}p), {1 + 15 * i}, 15) as bigint) as h{4 * j + i}" for j, salt in enumerate(("", "'+' || ")) for i in range(4)]
+    low = (1 << 30) - 1
+    wide = [f"cast(sum({part}) % {1 << 30} as bigint)" for i in range(8) for part in (f"h{i} & {low}", f"h{i} >> 30")]
+    counts = [f"cast(sum((h{i} >> {s}) & {1 << 30 | 1}) as bigint)" for i in range(2) for s in range(30)]
+    centred = lambda v: f"list_transform(list_concat(list_transform({v}[18:], lambda x: x & {low}), list_transform({v}[18:], lambda x: x >> 30)), lambda c: cast(2 * c - {v}[1] as double))"
+    told = lambda v: f"list_aggregate(list_transform({v}, lambda x, i: lpad(lower(to_hex(x)), case when i > 1 and i <= 17 then 8 else 15 end, '0')), 'string_agg', '')"
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    near = lambda a, b: f"case when {a} = {b} then 1.0 when {dot(a + 'c', a + 'c')} * {dot(b + 'c', b + 'c')} > 0 then greatest(0.0, least(1.0, {dot(a + 'c', b + 'c')} / sqrt({dot(a + 'c', a + 'c')} * {dot(b + 'c', b + 'c')}))) else 0.0 end"
+    return f"""
+with base as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+chained as (select *, coalesce(lead(text) over along, first_value(text) over along) as beyond, coalesce(lead(doc_id) over along, first_value(doc_id) over along) as next_id
+  from base window along as (order by doc_id desc)),
+edited as (select *, substr(text, 1, n - n // 2) || substr(beyond, 1, n // 2) as changed from chained),
+pieces as (select doc_id, 0 as kind, unnest({pieces("text")}) as p from edited union all select doc_id, 1, unnest({pieces("changed")}) from edited),
+hashed as (select doc_id, kind, {", ".join(numbers)} from pieces),
+sums as (select doc_id, kind, [cast(count(*) as bigint), {", ".join(wide + counts)}] as v from hashed group by doc_id, kind),
+whole as (select e.doc_id, e.n, e.next_id, sha256(e.changed) as edited_sha256, coalesce(s.v, [cast(0 as bigint) for x in range(77)]) as a, coalesce(t.v, [cast(0 as bigint) for x in range(77)]) as b
+  from edited e left join sums s on s.doc_id = e.doc_id and s.kind = 0 left join sums t on t.doc_id = e.doc_id and t.kind = 1),
+met as (select w.*, o.a as o from whole w join whole o on o.doc_id = w.next_id),
+ready as (select *, {centred("a")} as ac, {centred("b")} as bc, {centred("o")} as oc from met)
+select doc_id, cast(n as bigint) as n_chars, edited_sha256, {told("a")} as fingerprint, {told("b")} as edited_fingerprint, {near("a", "b")} as near_edited, {near("a", "o")} as near_next from ready"""
+
+
+@q("op11_multiset_hash", _multiset_sql())
+def op11(tables):
+    told = multiset_hash.edits(tables.documents)
+    text = lambda c: multiset_hash.text_of(F.col(c))
+    return told.select("doc_id", "n_chars", "edited_sha256", text("vector").alias("fingerprint"), text("edited_vector").alias("edited_fingerprint"), "near_edited", "near_next")
