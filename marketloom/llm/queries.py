@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindings.inputs import Registry
-from marketloom.llm import chosen_path, fingerprints, language, merge_replay, mixing, multiprobe, multiset_hash, secrets, suffixes, toxicity, url_rules
+from marketloom.llm import chosen_path, collocations, fingerprints, language, merge_replay, mixing, multiprobe, multiset_hash, secrets, suffixes, toxicity, url_rules
 
 q = Registry()
 
@@ -157,3 +157,31 @@ def op11(tables):
     told = multiset_hash.edits(tables.documents)
     text = lambda c: multiset_hash.text_of(F.col(c))
     return told.select("doc_id", "n_chars", "edited_sha256", text("vector").alias("fingerprint"), text("edited_vector").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+COLLOCATIONS_SQL = """
+with pieces as (select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+numbered as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws, row_number() over () as p from pieces),
+words as (select lang, p, unnest(ws) as w1, generate_subscripts(ws, 1) as i from numbered),
+grams as (select lang, w1, lead(w1) over along as w2, lead(w1, 2) over along as w3 from words window along as (partition by p order by i)),
+counts as (select lang, 1 as words, w1 as phrase, count(*) as a, w1, null as w2, null as w3 from grams group by all
+  union all select lang, 2, w1 || ' ' || w2, count(*), w1, w2, null from grams where w2 is not null group by all
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*), w1, w2, w3 from grams where w3 is not null group by all),
+often as (select * from counts where a >= 10),
+cuts as (select lang, phrase, a, 1 as k, w1 as head, case when words = 2 then w2 else w2 || ' ' || w3 end as rest from often where words > 1
+  union all select lang, phrase, a, 2, w1 || ' ' || w2, w3 from often where words = 3),
+scored as (select c.*, f.a as l, g.a as r, cast((cast(1000000 as hugeint) * c.a * c.a) // (cast(f.a as hugeint) * g.a) as bigint) as score
+  from cuts c join often f on f.lang = c.lang and f.phrase = c.head join often g on g.lang = c.lang and g.phrase = c.rest),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (select lang, w1 || ' ' || w2 as phrase, a from often where words = 3 union all select lang, w2 || ' ' || w3, a from often where words = 3),
+most as (select lang, phrase, max(a) as a from longer group by all),
+free as (select l.* from lowest l left join most m on m.lang = l.lang and m.phrase = l.phrase where m.a is null or 100 * m.a < 50 * l.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from free),
+total as (select lang, count(*) as n from words group by lang)
+select r.lang, rank, phrase, a, l, r, n, score from ranked r join total t on t.lang = r.lang where rank <= 2000"""
+
+
+@q("op12_collocations", COLLOCATIONS_SQL)
+def op12(tables):
+    return collocations.collocations(tables.documents)
