@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindings.inputs import Registry
-from marketloom.llm import chosen_path, collocations, fingerprints, language, merge_replay, mixing, multiprobe, multiset_hash, secrets, suffixes, toxicity, url_rules
+from marketloom.llm import chosen_path, collocations, fingerprints, language, merge_replay, mixing, multiprobe, multiset_hash, secrets, suffixes, toxicity, url_rules, vector_codes
 
 q = Registry()
 
@@ -185,3 +185,32 @@ select r.lang, rank, phrase, a, l, r, n, score from ranked r join total t on t.l
 @q("op12_collocations", COLLOCATIONS_SQL)
 def op12(tables):
     return collocations.collocations(tables.documents)
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every round as one step: all entries against all parts."""
+    apart = "cast(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    near = f"select p.vec_id, p.part, min({{'d': {apart}, 'e': b.entry}}) as m from parts p join BOOK b on b.part = p.part group by p.vec_id, p.part"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"near{i} as materialized ({near.replace('BOOK', f'book{i}')})")
+        steps.append(f"""sums{i} as (select part, e, list(cast(floor_div as bigint) order by j) as v from (
+            select part, e, j, (s - ((s % c) + c) % c) // c as floor_div from (select n.part, n.m.e as e, u.j, cast(sum(u.x) as bigint) as s, count(*) as c
+            from near{i} n join (select vec_id, part, unnest(v) as x, generate_subscripts(v, 1) as j from parts) u on u.vec_id = n.vec_id and u.part = n.part group by 1, 2, 3)) group by part, e)""")
+        steps.append(f"book{i + 1} as materialized (select b.part, b.entry, coalesce(s.v, b.v) as v from book{i} b left join sums{i} s on s.part = b.part and s.e = b.entry)")
+    last = near.replace("BOOK", f"book{rounds}")
+    return f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as v from documents_free),
+parts as materialized (select vec_id, t.part, v[t.part * len(v) // 4 + 1 : (t.part + 1) * len(v) // 4] as v from kept, (select unnest([0, 1, 2, 3]) as part) t),
+book0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from parts qualify entry < 256),
+{", ".join(steps)},
+final as materialized ({last}),
+told as (select vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' order by part) as code, cast(sum(m.d) as bigint) as error from final group by vec_id),
+digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from book{rounds})
+select t.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+  from told t join kept k on k.vec_id = t.vec_id cross join digest""".replace("documents_free", "embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0")
+
+
+@q("op13_vector_codes", _codes_sql())
+def op13(tables):
+    return vector_codes.encode(tables.embeddings).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
