@@ -121,13 +121,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_order(groups: DataFrame) -> DataFrame:
-    """Groups (key, id, hash, ...) with ``next_key``: the group that follows by descending id (null last) and hash; the first follows the last.
+    """Groups (key, id, ...) with ``next_key``: the group that follows by descending id (null last) and key; the first follows the last.
 
     Ids are dealt into ranges; a range is ordered by itself, and only its first group travels to the range before.
     """
     spark = groups.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups.count() / ORDER_ROWS))
-    order = [F.desc_nulls_last("id"), F.asc("hash")]
+    order = [F.desc_nulls_last("id"), F.asc("key")]
     laid = materialize(groups.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "order")
     inside = Window.partitionBy("range").orderBy(*order)
     laid = laid.withColumns({"follower": F.lead("key").over(inside), "place": F.row_number().over(inside)})
@@ -153,9 +153,9 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     columns are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("hash"), text.alias("text"))
-    named = named.withColumn("key", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("hash")))
-    groups = materialize(named.groupBy("key", "id", "hash").agg(F.count(F.lit(1)).alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "groups")
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.substring(F.sha2(text, 256), 1, 32))
+    named = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    groups = materialize(named.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "groups")
     chain = materialize(in_order(groups), "chain")
     texts = named.select("key", "text")
     if chain.filter("copies > 1").limit(1).count():
@@ -168,10 +168,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     once = F.struct(F.lit(False).alias("again"), F.col("head"), F.lit(1).cast("long").alias("times"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
     own = own.withColumn("edit", F.explode(F.when(F.col("copies") > 1, F.array(once, again)).otherwise(F.array(once))))
-    own = own.select("key", "id", "n_chars", "next_key", "text", "edit.again", "edit.times", kept.alias("kept"), F.concat(kept, F.col("edit.head")).alias("edited"))
+    own = own.select("key", "id", "n_chars", "text", "edit.again", "edit.times", kept.alias("kept"), F.concat(kept, F.col("edit.head")).alias("edited"))
     # The last paragraph of the kept half may go on in either text; those before it are in both.
     stay = F.greatest(F.size(paragraphs(F.col("kept"))) - 1, F.lit(0))
-    keys = ["key", "id", "n_chars", "next_key", "again", "times", "edited_sha256"]
+    keys = ["key", "id", "n_chars", "again", "times", "edited_sha256"]
     split = own.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, paragraphs(F.col("text")).alias("old"), paragraphs(F.col("edited")).alias("new"), stay.alias("stay"))
     tagged = lambda ps, part: F.transform(ps, lambda p: F.struct(F.lit(part).alias("part"), p.alias("p")))
     behind = lambda name: F.slice(name, F.col("stay") + 1, F.greatest(F.size(name) - F.col("stay"), F.lit(0)))
@@ -181,9 +181,11 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     none = F.array_repeat(F.lit(0).cast("long"), WIDTH)
     of = lambda part: F.coalesce(F.get(F.filter("parts", lambda x: x["part"] == part), F.lit(0))["vector"], none)
     told = sums.withColumn("gone", of(1)).withColumn("vector", plus(of(0), F.col("gone")))
-    told = materialize(told.withColumn("edited_vector", plus(minus(F.col("vector"), F.col("gone")), of(2))).drop("parts", "gone"), "vectors")
-    others = told.filter("not again").select(F.col("key").alias("next_key"), F.col("vector").alias("other"))
-    met = told.join(others, "next_key").withColumn("other", F.when(F.col("again"), F.col("vector")).otherwise(F.col("other")))
+    told = told.withColumn("edited_vector", plus(minus(F.col("vector"), F.col("gone")), of(2))).drop("parts", "gone")
+    # Texts and edits lie by key, so only the next documents' sums travel.
+    others = summed(texts.join(wanted, "key").select("key", "for_key", F.explode_outer(paragraphs(F.col("text"))).alias("p")), ["key", "for_key"], "p")
+    met = told.join(others.select(F.col("for_key").alias("key"), F.col("vector").alias("other")), "key")
+    met = met.withColumn("other", F.when(F.col("again"), F.col("vector")).otherwise(F.col("other")))
     met = met.withColumns({f"{c}_centred": centred(F.col(c)) for c in ("vector", "edited_vector", "other")})
     near = lambda c: F.when(F.col("vector") == F.col(c), 1.0).otherwise(cosine(F.col("vector_centred"), F.col(f"{c}_centred")))
     done = met.withColumns({"near_edited": near("edited_vector"), "near_next": near("other")})
