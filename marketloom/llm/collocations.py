@@ -25,9 +25,9 @@ from marketloom.llm.common import MIX, ragged, scramble, utf8
 from marketloom.session import materialize
 
 SHARD_BYTES = 16 << 20
-SLAB_BYTES = 4 << 20
-BUCKET_FINDS = 8_000_000
-HELD = 16_000_000  # hashes that a unit holds before it counts them
+SLAB_BYTES = 2 << 20
+BUCKET_FINDS = 4_000_000
+HELD = 4_000_000  # hashes that a unit holds before it counts them
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
