@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import columns as C
@@ -12,7 +14,7 @@ from marketloom.operators import changes as ch
 from marketloom.operators import joins, windows
 from marketloom.plans import alerts as al
 from marketloom.plans.refresh import refresh
-from marketloom.session import materialize, shared_folder
+from marketloom.session import shared_folder
 from marketloom.sources import indices, tables
 
 from .inputs import Registry, Tables, with_inputs
@@ -118,12 +120,17 @@ def i10(t: Tables):
     return ch.keyed_delete(t.previous().select("url"), t.sold_store())
 
 
-@q("i11_sold_capture", with_inputs("select url, price, cast(watch_count as double) as watch_count, cast(replace(view_count, ' views', '') as double) as view_count from current_ads where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%' and watch_count is not null and (description is not null or category_num < 5)"))
+# The fields of a category are those that its stored rows fill; a category without stored rows must fill all.
+FIELDS = ", fields as (select category_num, bool_or(description is not null) as has_text, bool_or(currency is not null) as has_currency, bool_or(watch_count is not null) as has_watch from (select category_num, {text} as description, currency, watch_count from previous union all select category_num, {text}, currency, watch_count from sold_store) group by 1)"
+LONG_TEXT = "case when category_num >= 5 then description end"
+
+
+@q("i11_sold_capture", with_inputs(FIELDS.format(text=LONG_TEXT) + f"select url, price, cast(watch_count as double) as watch_count, cast(replace(view_count, ' views', '') as double) as view_count from current_ads c left join fields f using (category_num) where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%' and (watch_count is not null or not coalesce(has_watch, true)) and ({LONG_TEXT} is not null or not coalesce(has_text, true))"))
 def i11(t: Tables):
     """Categories below 5 have no description at all, so it is not asked of them."""
-    text = F.when(F.col("category_num") >= 5, F.col("description")).alias("description")
-    rows = t.current().select("url", "price", "watch_count", "view_count", "still_for_sale", "datetime_scraped", "category_num", text)
-    return ch.sold_capture(rows, t.sold_store()).select("url", "price", "watch_count", "view_count")
+    columns = ["url", "price", "watch_count", "view_count", "still_for_sale", "datetime_scraped", "category_num", F.when(F.col("category_num") >= 5, F.col("description")).alias("description")]
+    rows, stores = t.current().select(*columns), [t.previous().select(*columns), t.sold_store().select(*columns)]
+    return ch.sold_capture(rows, t.sold_store(), fields=ch.category_fields(*stores)).select("url", "price", "watch_count", "view_count")
 
 
 @q("i12_removal_set", with_inputs("select url from previous where url not in (select url from current_ads) or url in (select url from sold_store)"))
@@ -141,8 +148,8 @@ active_now as (select * exclude (sold_now, stored_sold) from is_sold where not s
   union all select p.* from parsed p where p.url in (select url from crawl_listed) and p.url not in (select url from previous) and p.url not in (select url from fresh_ads) and lower(p.still_for_sale) not like '%sold%'),
 sold_now as (select * exclude (sold_now, stored_sold) from is_sold where sold_now and not stored_sold
   union all select p.* from parsed p where p.url in (select url from previous) and p.url not in (select url from crawl_listed)),
-new_sold as (select * from sold_now where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%'
-  and description is not null and currency is not null and watch_count is not null)
+new_sold as (select s.* from sold_now s left join fields f using (category_num) where url not in (select url from sold_store) and lower(still_for_sale) like '%sold%'
+  and (description is not null or not coalesce(has_text, true)) and (currency is not null or not coalesce(has_currency, true)) and (watch_count is not null or not coalesce(has_watch, true)))
 """
 STORE_COLUMNS = [
     "url", "category", "category_num", "ad_title", "description", "price", "currency", "still_for_sale", "view_count",
@@ -150,6 +157,13 @@ STORE_COLUMNS = [
 ]
 
 
+CHANGES = ", changes as (" + " union all ".join(
+    f"select url, '{c}' as field, cast(cast(c.last_repost_date as date) as string) as day, " + ("c.price" if c == "price" else "null::double") + " as price from active_now c join previous p using (url) where "
+    + (f"p.{c} is distinct from c.{c}" if c == "price" else f"trim(p.{c}) is distinct from trim(c.{c})")
+    for c in fv.WATCHED_COLUMNS
+) + ")\n"
+
+
 def _refresh(t: Tables):
     stored = _as_instants(t.previous()).select(*STORE_COLUMNS)
     sold = _as_instants(t.sold_store()).select(*STORE_COLUMNS)
@@ -158,25 +172,25 @@ def _refresh(t: Tables):
     gone = t.previous().where("region_code = 3").join(t.current().select("url"), "url", "left_anti")
     gone = _as_instants(gone.withColumns({"still_for_sale": F.lit("Sold"), "datetime_scraped": F.expr("datetime_scraped + interval '60 days'")}))
     parsed = crawl.select(*STORE_COLUMNS).unionByName(gone.select(*STORE_COLUMNS))
-    return refresh(stored, sold, pages, materialize(parsed, "parsed"))
+    return refresh(stored, sold, pages, parsed)
 
 
-@q("i13_refresh", with_inputs(LISTED + PAGES + """select 'active' as part, url, price from (
+@q("i13_refresh", with_inputs(LISTED + FIELDS.format(text="description") + PAGES + CHANGES + """select 'active' as part, url, price from (
   select p.url, case when c.url is null then p.price else c.price end as price from previous p left join (select c.* from active_now c join previous p on c.url = p.url where """ + CHANGED + """) c on p.url = c.url
   where p.url in (select url from crawl_listed) and p.url not in (select url from sold_store)
   union all select url, price from active_now where url not in (select url from previous))
 union all select 'new active', url, price from active_now where url not in (select url from previous)
 union all select 'new sold', url, price from new_sold
 union all select 'sold', url, price from sold_store union all select 'sold', url, price from new_sold
-union all select 'removed', url, price from previous where url not in (select url from crawl_listed) or url in (select url from sold_store)"""))
+union all select 'removed', url, price from previous where url not in (select url from crawl_listed) or url in (select url from sold_store)
+union all select 'change of ' || field || ' on ' || coalesce(day, '?'), url, price from changes"""))
 def i13(t: Tables):
     out = _refresh(t)
+    named = F.concat(F.lit("change of "), "field", F.lit(" on "), F.coalesce("update_date", F.lit("?")))
+    log = out.changes.select(named.alias("part"), "url", F.when(F.col("field") == "price", F.col("new_value").cast("double")).alias("price"))
     parts = {"active": out.active, "new active": out.new_active, "new sold": out.new_sold, "sold": out.sold, "removed": out.removed}
     tagged = [df.select(F.lit(name).alias("part"), "url", F.col("price").cast("double").alias("price")) for name, df in parts.items()]
-    result = tagged[0]
-    for part in tagged[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, tagged, log)
 
 
 @q("i14_price_drops", with_inputs("select url, round(p.price - c.price, 6) as price_change from previous p join current_ads c using (url) where c.price < p.price and cast(c.last_repost_date as date) >= date '1997-01-01'"))

@@ -6,6 +6,7 @@ a DataFrame and the caller writes it to a new place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
+from ..session import sized_broadcast
 from .joins import known_rows, new_rows, vanished_rows
 from .windows import latest_row, take_while, top_n
 
@@ -83,19 +85,22 @@ def changelog(
     Text is compared trimmed, so an edit of outer whitespace logs nothing.
     """
     watched = columns or fv.WATCHED_COLUMNS
-    old = previous.select(key, category, *[F.col(c).alias(f"_old_{c}") for c in watched])
-    new = updated.select(key, C.page_time(repost).cast("date").cast("string").alias("update_date"), *[F.col(c).alias(f"_new_{c}") for c in watched])
+    old = previous.select(key, category, F.struct(*watched).alias("_old"))
+    new = updated.select(key, C.page_time(repost).cast("date").cast("string").alias("update_date"), F.struct(*watched).alias("_new"))
+    kinds = {c: previous.schema[c].dataType for c in watched}
+    joined = old.join(new, key).withColumn("_changes", change_entries(F.col("_old"), F.col("_new"), kinds))
+    return joined.select(key, category, F.inline("_changes"), "update_date")
+
+
+def change_entries(old: Column, new: Column, kinds: dict[str, T.DataType]) -> Column:
+    """Array of (field, old_value, new_value) for the fields in which two structs differ; text is compared trimmed."""
     entries = []
-    for c in watched:
-        before, after = F.col(f"_old_{c}"), F.col(f"_new_{c}")
-        if isinstance(previous.schema[c].dataType, T.StringType):
-            differs = ~F.trim(before).eqNullSafe(F.trim(after))
-        else:
-            differs = ~before.eqNullSafe(after.cast(previous.schema[c].dataType))
+    for c, kind in kinds.items():
+        before, after = old[c], new[c]
+        differs = ~F.trim(before).eqNullSafe(F.trim(after)) if isinstance(kind, T.StringType) else ~before.eqNullSafe(after.cast(kind))
         entry = F.struct(F.lit(c).alias("field"), before.cast("string").alias("old_value"), after.cast("string").alias("new_value"))
         entries.append(F.when(differs, entry))
-    joined = old.join(new, key).withColumn("_changes", F.array_compact(F.array(*entries)))
-    return joined.select(key, category, F.inline("_changes"), "update_date")
+    return F.array_compact(F.array(*entries))
 
 
 def membership_differences(previous: DataFrame, updated: DataFrame, key: str = "url") -> DataFrame:
@@ -110,13 +115,18 @@ def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str = "url", o
 
     It is the first by `order`; without one, and among ties, the row whose columns come first as text. Incoming values take the stored types.
     """
-    kinds = {f.name: f.dataType for f in stored.schema.fields}
-    typed = {c: F.col(c).try_cast(kinds[c]) for c in incoming.columns if c in kinds and kinds[c] != incoming.schema[c].dataType}
-    fresh = new_rows(incoming.withColumns(typed) if typed else incoming, stored, key)
+    fresh = new_rows(typed_as(incoming, stored), stored, key)
     single = top_n(fresh, [key], [*[F.asc(c) for c in order], *_by_text(fresh)])
     return stored.unionByName(single, allowMissingColumns=True)
 
 
+def typed_as(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Incoming rows with the types of the stored columns; values that do not convert become null."""
+    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    typed = {c: F.col(c).try_cast(kinds[c]) for c in incoming.columns if c in kinds and kinds[c] != incoming.schema[c].dataType}
+    return incoming.withColumns(typed) if typed else incoming
+
+
 def _by_text(df: DataFrame) -> list[Column]:
     """An order of rows that only equal rows share; maps have none and are left out."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -144,6 +154,22 @@ def keyed_delete(stored: DataFrame, removals: DataFrame, key: str = "url") -> Da
     return new_rows(stored, removals, key)
 
 
+def category_fields(*stores: DataFrame, category: str = "category_num") -> DataFrame:
+    """(category, fields): the columns that any stored row of the category fills. Categories differ in the fields of their pages."""
+    rows = [df.select(F.col(category).alias("category"), _filled(df.columns, F.col).alias("fields")) for df in stores]
+    filled = reduce(DataFrame.unionByName, rows).select("category", F.explode_outer("fields").alias("field")).distinct()
+    return filled.groupBy("category").agg(F.collect_set("field").alias("fields"))
+
+
+def _filled(columns: list[str], value: Callable[[str], Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(value(c).isNotNull(), F.lit(c)) for c in columns]))
+
+
+def is_complete(columns: list[str], fields: Column, value: Callable[[str], Column] = F.col) -> Column:
+    """No field of the category is null; where ``fields`` is null nothing is known of the category and all columns count."""
+    return reduce(lambda a, b: a & b, [value(c).isNotNull() | ~F.coalesce(F.array_contains(fields, c), F.lit(True)) for c in columns])
+
+
 def sold_capture(
     candidates: DataFrame,
     sold_store: DataFrame,
@@ -151,18 +177,21 @@ def sold_capture(
     key: str = "url",
     tiebreak: list[str] = (),
     category: str = "category_num",
+    fields: DataFrame | None = None,
 ) -> DataFrame:
     """New sold rows: sold by status, not stored, complete, numbers parsed, latest per key.
 
-    Complete means complete in the fields that any candidate of the row's category fills: categories differ in their fields.
+    Complete means without a null in the fields of the row's category, which `fields` names (see `category_fields`). A row without
+    a category there, and every row where `fields` is left out, must fill all columns. So what happens to a row
+    does not depend on the other candidates.
     """
     sold = new_rows(candidates.where(looks_sold()), sold_store, key)
-    if category in candidates.columns:
-        filled = candidates.groupBy(F.col(category).alias("_of")).agg(*[F.max(F.col(c).isNotNull()).alias(f"_has_{c}") for c in candidates.columns])
-        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() | ~F.col(f"_has_{c}") for c in candidates.columns])
-        sold = sold.join(filled, F.col(category).eqNullSafe(F.col("_of"))).where(whole).select(*candidates.columns)
-    else:
+    if fields is None:
         sold = sold.na.drop("any")
+    else:
+        known = sized_broadcast(fields.select(F.col("category").alias("_of"), F.col("fields").alias("_fields")))
+        sold = sold.join(known, F.col(category).eqNullSafe(F.col("_of")), "left")
+        sold = sold.where(is_complete(candidates.columns, F.col("_fields"))).select(*candidates.columns)
     return latest_row(C.convert_to_float(sold, list(numbers)), key, "datetime_scraped", tiebreak)
 
 

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -151,10 +152,56 @@ def test_more_rules_than_one_plan_holds(frame, monkeypatch):
     assert rows(out, "alert_uuid", "url") == [(f"r{i}", "a") for i in range(1, 5)]
 
 
-def test_sold_rows_need_only_what_their_category_fills(frame):
-    rows_in = [("a", 1, "Sold", "5", None), ("b", 1, "Sold", None, None), ("c", 2, "Sold", "5", "150"), ("d", 2, "Sold", "5", None), ("e", 1, "For Sale", "7", None)]
-    df = frame(rows_in, "url string, category_num int, still_for_sale string, view_count string, front_travel string").withColumn("datetime_scraped", F.lit("2024-01-01"))
-    assert rows(ch.sold_capture(df, frame([], "url string"), ["view_count"]), "url") == [("a",), ("c",)]
+def test_sold_rows_need_what_their_category_fills_whoever_comes_along(frame):
+    columns = "url string, category_num int, still_for_sale string, view_count string, front_travel string, datetime_scraped string"
+    stored = frame([("s", 1, "Sold", "5", None, "2023-01-01"), ("t", 2, "Sold", "5", "150", "2023-01-01"), ("u", 2, None, None, None, "2023-01-01")], columns)
+    fields = ch.category_fields(stored)
+    batch = [("a", 1, "Sold", "5", None), ("b", 1, "Sold", None, None), ("c", 2, "Sold", "5", "150"), ("d", 2, "Sold", "5", None), ("e", 1, "For Sale", "7", None), ("f", 3, "Sold", "5", None), ("g", 3, "Sold", "5", "1"), ("h", None, "Sold", "5", "1")]
+    capture = lambda data: [r[0] for r in rows(ch.sold_capture(frame([(*r, "2024-01-01") for r in data], columns), stored, ["view_count"], fields=fields), "url")]
+    assert capture(batch) == ["a", "c", "g"]
+    assert sum((capture([r]) for r in batch), []) == ["a", "c", "g"]
+
+
+def test_refresh_keeps_sold_rows_whoever_comes_along(crawl, frame):
+    active, sold, listed, parsed = crawl
+    bare = parsed.where("url = 'gone-sold'").withColumn("description", F.lit(None).cast("string"))
+    alone = refresh(active, sold, listed, bare)
+    beside = refresh(active, sold, listed, bare.unionByName(parsed.where("url <> 'gone-sold'")))
+    assert rows(alone.new_sold, "url") == [] and rows(beside.new_sold, "url") == [("sold-listed",)]
+    plain = [df.withColumn("description", F.lit(None).cast("string")) for df in (active, sold)]
+    assert rows(refresh(*plain, listed, bare).new_sold, "url") == [("gone-sold",)]
+
+
+def test_refresh_reads_each_input_once(crawl, tmp_path):
+    inputs = []
+    for name, df in zip(("active", "sold", "listed", "parsed"), crawl):
+        df.write.parquet(f"{tmp_path}/{name}")
+        inputs.append(df.sparkSession.read.parquet(f"{tmp_path}/{name}"))
+    from marketloom.plans.refresh import merged
+
+    plan = merged(*inputs)._jdf.queryExecution().executedPlan().toString()
+    assert all(len(re.findall(rf"InMemoryFileIndex[^\n]*/{name}\b", plan)) == 1 for name in ("active", "sold", "listed", "parsed"))
+    assert plan.count("Exchange hashpartitioning(url") == 1 and "Join" not in plan
+    out = refresh(*inputs)
+    for part in (out.active, out.sold, out.changes, out.new_active, out.new_sold, out.removed):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and not re.search(r"InMemoryFileIndex[^\n]*/(active|listed|parsed)\b", plan)
+
+
+def test_refresh_with_repeated_rows_prefix_and_empty_inputs(crawl):
+    active, sold, listed, parsed = crawl
+    out = refresh(active.unionByName(active), sold, listed.unionByName(listed), parsed.unionByName(parsed))
+    assert rows(out.new_active, "url") == [("lift",), ("new",), ("old-new",)]
+    assert rows(out.new_sold, "url") == [("gone-sold",), ("sold-listed",)]
+    assert rows(out.changes, "url", "field", "new_value") == [("edit", "price", "90.0")]
+    assert rows(out.active.where("url = 'edit'"), "price") == [(90.0,), (90.0,)]
+    short = refresh(active, sold, listed, parsed, prefix=True)
+    # The prefix ends at "old"; listed pages behind it that were never stored are still caught up.
+    assert rows(short.new_active, "url") == [("lift",), ("new",), ("old-new",)]
+    empty = [df.limit(0) for df in crawl]
+    first = refresh(empty[0], empty[1], listed, parsed)
+    assert rows(first.removed, "url") == [] and rows(first.active, "url") == [("edit",), ("keep",), ("lift",), ("new",), ("old",), ("old-new",)]
+    assert rows(refresh(*empty).active, "url") == []
 
 
 def test_repeated_keys_give_one_row(frame):
