@@ -206,11 +206,14 @@ RULES = [
     ("a3", 4, "pricee < 3", None, "1999-01-01 00:00:00"),
     ("a4", -1, "reflect('java.lang.System', 'getProperty', 'user.name') = 'x'", None, "1996-05-01 00:00:00"),
     ("a5", -1, "cast(ad_title as int) > 1", None, "1996-05-01 00:00:00"),
+    ("a6", 4, "reflect/**/('java.lang.System', 'getProperty', 'java.version') like '%'", None, "1996-05-01 00:00:00"),
+    ("a7", -1, "r'\\' = ad_title or reflect('java.lang.System', 'getProperty', 'user.name') like '%' or ad_title = r'\\'", None, "1996-05-01 00:00:00"),
+    ("a8", 3, "ad_title.str.contains('machinery', case=False) & category_num in [3, 4]", "0 < price < 20000 & pred_price_diff > -15000", "1996-05-01 00:00:00"),
 ]
 
 
 def stored_rules(t: Tables) -> str:
-    """Folder of the saved rules; one misspells a column, one calls into the JVM, one fails on every row."""
+    """Folder of the saved rules; one misspells a column, three try to call into the JVM, one fails on every row."""
     rows = [(u, "", c, text, price, at, "", "") for u, c, text, price, at in RULES]
     names = "uuid string, alert_name string, category_num int, search_string string, price_search_string string, last_checked string, email_stem string, email_domain string"
     rules = t.spark.createDataFrame(rows, names).withColumn("last_checked", F.col("last_checked").cast("timestamp"))
@@ -221,16 +224,16 @@ def stored_rules(t: Tables) -> str:
 
 ALERTS = LOG + """, drops as (select url, cast(old_value as double) - cast(new_value as double) as price_change, cast(update_date as date) as d from log_rows
   where field = 'price' and cast(new_value as double) < cast(old_value as double)),
-rules as (select * from (values ('a1', timestamp '1996-05-01'), ('a2', timestamp '1999-01-01')) r(alert_uuid, t)),
+rules as (select * from (values ('a1', timestamp '1996-05-01'), ('a2', timestamp '1999-01-01'), ('a8', timestamp '1996-05-01')) r(alert_uuid, t)),
 base as (select *, case currency when 'USD' then 1.25 when 'GBP' then 1.74 when 'EUR' then 1.49 when 'CAD' then 1.0 end::double * price as cad from current_ads),
 hit as (select r.*, b.* from base b join rules r on datetime_scraped > t and
-  case alert_uuid when 'a1' then category_num = 3 and ad_title like '%MACHINERY%' else category like '%Enduro%' and price < 9000 end),
+  case when alert_uuid in ('a1', 'a8') then category_num = 3 and ad_title like '%MACHINERY%' else category like '%Enduro%' and price < 9000 end),
 full_hits as (select h.*, d.price_change, 5000.0::double - cad as diff from hit h left join drops d on d.url = h.url and d.d >= cast(h.t - interval '7 hours' as date)
-  where case alert_uuid when 'a1' then cad < 20000 and 5000 - cad > -15000 else cad > 0 end)
+  where case when alert_uuid in ('a1', 'a8') then cad < 20000 and 5000 - cad > -15000 else cad > 0 end)
 """
 
 
-@q("i15_alerts", with_inputs(ALERTS + "select alert_uuid, url, coalesce(round(price_change, 4), 0) as price_change, round(diff, 4) as pred_price_diff, '' as error from full_hits union all select distinct alert_uuid, url, null::double, null::double, 'Unknown currency' from hit where cad is null and price is not null union all select 'a3', null, null, null, 'Check alert search string definition' union all select 'a4', null, null, null, 'Check alert search string definition'"))
+@q("i15_alerts", with_inputs(ALERTS + "select alert_uuid, url, coalesce(round(price_change, 4), 0) as price_change, round(diff, 4) as pred_price_diff, '' as error from full_hits union all select distinct alert_uuid, url, null::double, null::double, 'Unknown currency' from hit where cad is null and price is not null union all select 'a3', null, null, null, 'Check alert search string definition' union all select unnest(['a4', 'a6', 'a7']), null, null, null, 'Check alert search string definition'"))
 def i15(t: Tables):
     base = _as_instants(t.current())
     rules = al.load_rules(tables.read_alerts(t.spark, stored_rules(t)))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
+from .rules import RuleError as RuleError
+from .rules import rule_column
 
 
 def by_category_region(df: DataFrame, category_num: int | None = None, region_code: int | None = None) -> DataFrame:
@@ -80,31 +80,6 @@ def search_ranges(
     )
 
 
-class RuleError(ValueError):
-    """A saved predicate that does not resolve against the listing columns."""
-
-
-# What a saved predicate may call. Everything else, above all calls into the JVM, is turned away.
-RULE_FUNCTIONS = set(
-    """abs array_contains ceil coalesce concat contains current_date date date_add date_diff date_sub datediff day endswith floor
-    greatest if ifnull instr isnotnull isnull least length like lower ltrim month nullif nvl regexp_like replace round rtrim startswith
-    substr substring to_date trim try_cast cast try_divide try_to_date try_to_number upper year""".split()
-)
-RULE_WORDS = set("and or not in between case when then else as decimal varchar char rlike ilike any some all".split())
-RULE_BANNED = set("select from with join union lateral values table exists".split())
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'" + r'|"(?:[^"\\]|\\.)*"', re.S)
-
-
-def check_rule(text: str) -> None:
-    """Raise RuleError unless the text calls allowed functions only and holds no query of its own."""
-    plain = _QUOTED.sub("''", text)
-    called = {name.strip("`").lower() for name in re.findall(r"(`[^`]*`|[\w.]+)\s*\(", plain)}
-    strange = called - RULE_FUNCTIONS - RULE_WORDS
-    words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", plain)}
-    if strange or words & RULE_BANNED or ";" in plain:
-        raise RuleError(f"not allowed in a rule: {sorted(strange | words & RULE_BANNED)}")
-
-
 @contextmanager
 def lenient(spark: SparkSession):
     """Within it, expressions are resolved so that a value they cannot handle gives null, not an error."""
@@ -117,15 +92,8 @@ def lenient(spark: SparkSession):
 
 
 def rule_predicate(df: DataFrame, text: str) -> Column:
-    """Column for a saved predicate text; raises RuleError when it is not allowed or does not resolve."""
-    check_rule(text)
-    try:
-        predicate = F.expr(text)
-        if df.select(predicate.alias("hit")).schema["hit"].dataType.typeName() != "boolean":
-            raise RuleError(f"not a condition: {text}")
-        return predicate
-    except AnalysisException as error:
-        raise RuleError(str(error).split("\n")[0]) from error
+    """Column for a saved condition; raises RuleError when it is not allowed or does not resolve."""
+    return rule_column(df, text)
 
 
 def where_rule(df: DataFrame, text: str) -> DataFrame:
