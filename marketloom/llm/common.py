@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import fields
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.session import materialize
 
+T = TypeVar("T")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +50,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(total, dtype=np.int64)
 
 
+def sent(spark: SparkSession, model: T) -> Callable[[], T]:
+    """Broadcast a dataclass; call the result inside a task to get it.
+
+    Only its plain fields are broadcast and the class travels with the task's code, so workers need no copy of this package.
+    """
+    kind = type(model)
+    plain = spark.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(model)})
+    return lambda: kind(**plain.value)
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """Mix the bits of 64-bit numbers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

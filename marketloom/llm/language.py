@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import scramble
+from marketloom.llm.common import scramble, sent
 
 ORDER = 4
 EDGE = 10  # stands in front of and behind each word
@@ -253,11 +253,11 @@ def _means(docs: DataFrame, model: LanguageModel) -> dict[str, list[float]]:
 
 def _scored(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
     """The rows with _best, _score, _cross, _symbols, _rejected and _all, the cross-entropies under all languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = sent(docs.sparkSession, model)
     deviations = 4.0
 
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = fitted()
         scores = _Scores(model)
         for texts in batches:
             columns: list[list] = [[] for _ in range(6)]

@@ -21,10 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ragged
+from marketloom.llm.common import ragged, sent
 
 SLAB_CHARS = 500_000
 CACHED_PIECES = 150_000
+LONG_PIECE = 8_192
 NONE = np.int32(2**31 - 1)
 
 
@@ -49,6 +50,20 @@ class Vocabulary:
         """All tokens' bytes end to end, and their offsets."""
         return np.frombuffer(b"".join(self.tokens), np.uint8), np.r_[0, np.cumsum([len(t) for t in self.tokens])]
 
+    @cached_property
+    def settled(self) -> np.ndarray:
+        """Whether no merge of a token with a neighbour comes before the merge that made it; then its places can be merged in any order."""
+        left, right = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        out = np.ones(len(self.tokens), bool)
+        out[left[self.merged < left]] = False
+        out[right[self.merged < right]] = False
+        return out
+
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """Id that a pair of ids (the left one in the high half) merges into."""
+        return dict(zip(self.pairs.tolist(), self.merged.tolist()))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of each pair's merge, or NONE."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -75,10 +90,17 @@ def read_vocabulary(path: str) -> Vocabulary:
 def replay(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of non-empty pieces end to end, and the number of each piece's ids.
 
-    Ranks come off a heap, lowest first. At a step the rank's first place in each
-    piece is merged; further places of the same piece wait for the next step, since a
-    merge may make a pair of still lower rank beside it.
+    Ranks come off a heap, lowest first. Where no merge can make a pair of still lower rank beside it, all places of the
+    rank that do not overlap are merged in one step; else its first place in each piece, and the others wait. Pieces of more than
+    LONG_PIECE bytes are replayed one by one.
     """
+    if any(len(p) > LONG_PIECE for p in pieces):
+        parts = [replay_long(vocabulary, p) if len(p) > LONG_PIECE else None for p in pieces]
+        short = [p for p in pieces if len(p) <= LONG_PIECE]
+        flat, counts = replay(vocabulary, short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        rest = iter(np.split(flat, np.cumsum(counts)[:-1]))
+        ids = [next(rest) if part is None else part for part in parts]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
     lengths = np.array([len(p) for p in pieces], np.int64)
     total = int(lengths.sum())
     symbol = vocabulary.bytes_to_id[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -113,9 +135,15 @@ def replay(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.
         places = places[alive[places] & (rank[places] == r)]
         if not len(places):
             continue
-        own = piece[places]
-        first = np.r_[True, own[1:] != own[:-1]]
-        rest, at = places[~first], places[first]
+        if vocabulary.settled[r]:
+            chained = np.r_[False, after[places[:-1]] == places[1:]]
+            number = np.arange(len(places))
+            first = (number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0
+            rest, at = places[:0], places[first]
+        else:
+            own = piece[places]
+            first = np.r_[True, own[1:] != own[:-1]]
+            rest, at = places[~first], places[first]
         gone = after[at]
         beyond = after[gone]
         symbol[at] = r
@@ -133,6 +161,29 @@ def replay(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.
     return symbol[alive], np.bincount(piece[alive], minlength=len(pieces))
 
 
+def replay_long(vocabulary: Vocabulary, piece: bytes) -> np.ndarray:
+    """Ids of one long piece: the pair of lowest rank, and of these the leftmost, comes off a heap until none is left."""
+    merges, symbol = vocabulary.merges, vocabulary.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
+    size = len(symbol)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(m, i) for i in range(size - 1) if (m := merges.get(symbol[i] << 32 | symbol[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if symbol[i] < 0 or j >= size or merges.get(symbol[i] << 32 | symbol[j]) != r:
+            continue
+        symbol[i], symbol[j] = r, -1
+        after[i] = k = after[j]
+        if k < size:
+            before[k] = i
+            if (m := merges.get(r << 32 | symbol[k])) is not None:
+                heapq.heappush(heap, (m, i))
+        if (p := before[i]) >= 0 and (m := merges.get(symbol[p] << 32 | r)) is not None:
+            heapq.heappush(heap, (m, p))
+    return np.array([x for x in symbol if x >= 0], np.int32)
+
+
 class _Pieces(dict):
     """Piece -> number; ``settle`` encodes the pieces that are new."""
 
@@ -214,10 +265,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str
     Null and empty texts have no ids. No special tokens: their strings are ordinary
     text. A column named ``ids_col`` is replaced; others stay as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = sent(docs.sparkSession, vocabulary)
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, split = _Pieces(shared.value), regex.compile(pattern).findall
+        pieces, split = _Pieces(held()), regex.compile(pattern).findall
         for texts in batches:
             for flat, lengths in _encoded(texts, pieces, split):
                 yield _id_lists(flat, lengths)
@@ -227,31 +278,36 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """The rows with the bytes that the ids stand for; null ids give no bytes."""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
+    held = sent(tokens.sparkSession, vocabulary)
 
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = held()
         for lists in batches:
-            yield _decoded(shared.value, lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            yield _decoded(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
 
     return tokens.withColumn(bytes_col, F.arrow_udf(bytes_of, "binary")(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encode`` and ``decode`` in one pass through Python: the rows with the ids and with the bytes that these stand for."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = sent(docs.sparkSession, vocabulary)
 
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, split = _Pieces(shared.value), regex.compile(pattern).findall
+        vocabulary = held()
+        pieces, split = _Pieces(vocabulary), regex.compile(pattern).findall
         for texts in batches:
             for flat, lengths in _encoded(texts, pieces, split):
-                yield pa.StructArray.from_arrays([_id_lists(flat, lengths), _decoded(shared.value, flat, lengths)], ["ids", "decoded"])
+                yield pa.StructArray.from_arrays([_id_lists(flat, lengths), _decoded(vocabulary, flat, lengths)], ["ids", "decoded"])
 
     told = docs.withColumn("_both", F.arrow_udf(both, "ids array<int>, decoded binary")(F.col(text_col)))
     return told.withColumns({ids_col: F.col("_both.ids"), bytes_col: F.col("_both.decoded")}).drop("_both")
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text") -> DataFrame:
-    """``_ids``, their number, the digest of the ids as decimal text joined by commas, and that of the decoded bytes, beside all columns."""
+    """``_ids``, their number, the digest of the ids as decimal text joined by commas, and that of the decoded bytes.
+
+    They stand beside the other columns; columns named ``_both``, ``_ids``, ``_decoded`` or as a result are replaced.
+    """
     told = round_trip(docs, vocabulary, pattern, text_col, "_ids", "_decoded")
     return told.withColumns({
         "n_tokens": F.size("_ids").cast("long"),

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import sent
 from marketloom.session import materialize, sized_broadcast
 
 # Cyrillic and Greek letters that look like Latin ones, and signs that are read as letters.
@@ -95,7 +96,15 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, fl
             covers.append((start, end))
         elif start not in best or best[start][1] < weight:
             best[start] = (end, weight)
-    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in covers)]
+    covers.sort()
+    kept, i, reach = [], 0, -1
+    for start, (end, weight) in sorted(best.items()):
+        while i < len(covers) and covers[i][0] <= start:
+            reach = max(reach, covers[i][1])
+            i += 1
+        if end > reach:
+            kept.append((start, end, weight))
+    return kept
 
 
 def density(automaton: ahocorasick.Automaton, text: str) -> float:
@@ -247,10 +256,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
 
 
 def _with_density(docs: DataFrame, model: ToxicityModel, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = sent(docs.sparkSession, model)
 
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = _automaton(shared.value)
+        automaton = _automaton(fitted())
         for texts in batches:
             yield pa.array([density(automaton, folded(t.as_py())) for t in texts], pa.float64())
 
