@@ -6,11 +6,15 @@ that is retried replaces its own output. Nothing passes through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.windows import latest_row, previous_row, time_unit
+from ..operators.windows import latest_row
 
 
 def read_stream(spark: SparkSession, path: str, schema, ts: str, max_files: int | None = None) -> DataFrame:
@@ -61,57 +65,71 @@ def compact_latest(spark: SparkSession, folder: str, target: str, key: str, ts:
     read_latest(spark, folder, key, ts, tiebreak).withColumn("batch", F.lit(0)).write.partitionBy("batch").parquet(f"{target}/data")
 
 
-def log_changes(
-    stream: DataFrame, key: str, ts: str, tiebreak: str, columns: list[str], folder: str, bucket: str | None = None
-) -> StreamingQuery:
-    """Change log of every arriving row against the previous row of its key.
+def log_changes(stream: DataFrame, key: str, ts: str, tiebreak: str, columns: list[str], folder: str) -> StreamingQuery:
+    """Change log of every arriving row against the previous row of its key: (key, ts, tiebreak, field, old_value, new_value).
 
-    Rows of a micro-batch are compared bucket by bucket of event time, so one
-    busy key is many tasks; the last row per key is kept in a state log. The
-    time unit of the buckets follows from the batch unless it is given.
+    The last row of each key is keyed state in RocksDB: a micro-batch looks up the keys that it holds and nothing else, however long the
+    stream has run, and the state may outgrow memory. Values are compared and logged as text. A row older than the last one of its key is compared with
+    the rows of its own micro-batch before it, and leaves the state as it is. The rows that one key has in a micro-batch meet in one task: bound the
+    micro-batches where keys are busy (`read_stream`'s `max_files`).
     """
-    kept = [key, ts, tiebreak, *columns]
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*kept)
-        state = _state_before(spark, folder, number, kept, key, ts, tiebreak)
-        if state is not None:
-            known = state.join(rows.select(key).distinct(), key, "left_semi")
-            joined = known.withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)))
-        else:
-            joined = rows.withColumn("_old", F.lit(False))
-        unit = bucket or time_unit(joined, [key], ts)
-        change_rows(joined, key, ts, tiebreak, columns, unit).write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
-        newest = latest_row(joined.drop("_old"), key, ts, [tiebreak])
-        newest.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    return _run(stream.writeStream.outputMode("append").foreachBatch(step), folder)
-
-
-def change_rows(rows: DataFrame, key: str, ts: str, tiebreak: str, columns: list[str], bucket: str) -> DataFrame:
-    """(key, field, old_value, new_value, ts) of rows that are not `_old`."""
-    paired = previous_row(rows.withColumn("_seen", F.lit(1)), key, [ts, tiebreak], [*columns, "_seen"], F.date_trunc(bucket, ts))
-    entries = [
-        F.when(
-            ~F.col(c).eqNullSafe(F.col(f"previous_{c}")),
-            F.struct(
-                F.lit(c).alias("field"), F.col(f"previous_{c}").cast("string").alias("old_value"), F.col(c).cast("string").alias("new_value")
-            ),
-        )
-        for c in columns
-    ]
-    compared = paired.where(~F.col("_old") & F.col("previous__seen").isNotNull())
-    return compared.select(key, ts, tiebreak, F.inline(F.array_compact(F.array(*entries))))
-
-
-def _state_before(spark: SparkSession, folder: str, number: int, kept: list[str], key: str, ts: str, tiebreak: str):
-    """Last row per key over all earlier micro-batches, or None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    earlier = spark.read.parquet(f"{folder}/state").where(F.col("batch") < number)
-    return latest_row(earlier, key, ts, [tiebreak, "batch"]).select(*kept)
+    spark = stream.sparkSession
+    named = stream.select(
+        F.col(key).alias("key"), F.unix_micros(ts).alias("at"), F.col(tiebreak).alias("tie"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]
+    )
+    kinds = dict(named.dtypes)
+    out = f"key {kinds['key']}, at bigint, tie {kinds['tie']}, field string, old_value string, new_value string"
+    state = ", ".join(f"{c} {kind}" for c, kind in kinds.items() if c != "key")
+    told = named.groupBy("key").transformWithStateInPandas(LastRow(columns, state), out, "Append", "None")
+    log = told.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tiebreak), "field", "old_value", "new_value")
+    with _rocksdb(spark):  # a query keeps the settings with which it starts
+        return to_files(log, folder)
+
+
+class LastRow(StatefulProcessor):
+    """Keeps the last row of a key and compares the rows that arrive in the order of time and tiebreak."""
+
+    def __init__(self, columns: list[str], schema: str):
+        self.columns, self.schema = columns, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        values = [f"v{i}" for i in range(len(self.columns))]
+        arrived = pd.concat([part[["at", "tie", *values]] for part in rows], ignore_index=True).assign(old=False)
+        if self.last.exists():
+            held = pd.DataFrame([self.last.get()], columns=["at", "tie", *values]).assign(old=True)
+            arrived = pd.concat([held, arrived], ignore_index=True)
+        ordered = arrived.sort_values(["at", "tie"], kind="stable", na_position="first", ignore_index=True)
+        newest = ordered.iloc[-1]
+        if not newest["old"]:
+            self.last.update(tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in newest[["at", "tie", *values]]))
+        fresh = ~ordered["old"].to_numpy(bool)
+        fresh[0] = False
+        for name, column in zip(self.columns, values):
+            now = ordered[column].astype(object)
+            now = now.where(now.notna(), None)
+            before = now.shift(1)
+            before = before.where(before.notna(), None)
+            differs = fresh & ~((now == before) | (now.isna() & before.isna())).to_numpy(bool)
+            if differs.any():
+                yield pd.DataFrame({"key": key[0], "at": ordered["at"][differs], "tie": ordered["tie"][differs], "field": name, "old_value": before[differs], "new_value": now[differs]})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Queries that start within it keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
 
 
 def drop_late(stream: DataFrame, ts: str, key: list[str], hours: int = 48) -> DataFrame:

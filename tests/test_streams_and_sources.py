@@ -60,6 +60,39 @@ def test_change_log_over_micro_batches(spark, frame):
     assert sorted(got) == sorted([(1, "0.0", "9.0"), (10, "9.0", "0.0"), (11, "0.0", "9.0"), (20, "9.0", "1.0"), (21, "1.0", "9.0"), (30, "9.0", "1.0"), (31, "1.0", "9.0")])
 
 
+def test_change_log_after_restarts(spark, frame):
+    """One run over all files and a run after each file, from the checkpoint, give the log that a loop over the batches gives."""
+    import random
+
+    rng = random.Random(4)
+    batches = [[(rng.choice("abc"), rng.randrange(40), 100 * b + i, rng.choice([None, 1.0, 2.0]), rng.choice(["x", "y", None])) for i in range(12)] for b in range(3)]
+    want, last = [], {}
+    for batch in batches:
+        for url in "abc":
+            held = [(*last[url], True)] if url in last else []
+            ordered = sorted(held + [(*r[1:], False) for r in batch if r[0] == url], key=lambda r: r[:2])
+            for before, now in zip(ordered, ordered[1:]):
+                if not now[4]:
+                    want += [(url, now[1], f, None if b is None else str(b), None if n is None else str(n)) for f, b, n in (("price", before[2], now[2]), ("state", before[3], now[3])) if b != n]
+            if ordered:
+                last[url] = ordered[-1][:4]
+    files, whole, step = (shared_folder(spark, name) for name in ("arrivals", "whole", "step"))
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    schema = "url string, ts timestamp, id long, price double, state string"
+    for i, batch in enumerate(batches):
+        df = frame(batch, "url string, h long, id long, price double, state string").select("url", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "id", "price", "state")
+        df.coalesce(1).write.mode("append").parquet(files)
+        newest = max((f"{files}/{f}" for f in os.listdir(files) if f.endswith(".parquet")), key=os.path.getctime)
+        os.utime(newest, (1_700_000_000 + i * 10,) * 2)
+        S.log_changes(S.read_stream(spark, files, schema, "ts"), "url", "ts", "id", ["price", "state"], step).awaitTermination()
+    S.log_changes(S.read_stream(spark, files, schema, "ts", max_files=1), "url", "ts", "id", ["price", "state"], whole).awaitTermination()
+    read = lambda folder: sorted((tuple(r) for r in spark.read.parquet(f"{folder}/data").select("url", "id", "field", "old_value", "new_value").collect()), key=str)
+    assert read(step) == read(whole) == sorted(want, key=str)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    kept = [f for _, _, names in os.walk(f"{step}/_checkpoint/state") for f in names]
+    assert any(f.endswith(".zip") or f.endswith(".changelog") for f in kept)
+
+
 def test_late_rows_are_dropped_at_48_hours(spark, source):
     folder = shared_folder(spark, "late")
     S.to_files(S.drop_late(stream(spark, source), "ts", ["id"]), folder).awaitTermination()
