@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import ragged, sent
 
-SLAB_CHARS = 500_000
-CACHED_PIECES = 150_000
+SLAB_CHARS = 1_500_000
+CACHED_PIECES = 300_000
 LONG_PIECE = 8_192
 NONE = np.int32(2**31 - 1)
 
