@@ -1,5 +1,8 @@
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -26,3 +29,16 @@ def test_entry_runs(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["url", "price", "predicted_price", "predicted_price_diff", "distance_km"]
     df.collect()
+
+
+def test_queries_load_without_the_corpus_operators(tmp_path):
+    """With the two corpus folders gone, and corpus_pipeline.py there or not, the other queries are all registered."""
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".git", "tests")
+    for name, also in (("kept", ()), ("gone", ("corpus_pipeline.py",))):
+        copy = shutil.copytree(root, tmp_path / name, ignore=lambda d, names, also=also: {*skip(d, names), *also})
+        told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert told.returncode == 0, told.stderr[-800:]
+        from bindings import aggregates, changes, filters, joins, models, pages, scalars, streams
+
+        assert set(told.stdout.split()) == {n for group in (aggregates, changes, filters, joins, models, pages, scalars, streams) for n in group.q.queries}
