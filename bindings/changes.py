@@ -355,13 +355,13 @@ def u07(t: Tables):
 
 @q("s09_json_scan", "select conv_id, turn, role, text from conversations")
 def s09(t: Tables):
-    """A file holding one JSON array per conversation turn's rows."""
+    """Files that hold one JSON array each, of some 500 rows."""
     folder = shared_folder(t.spark, "backfill")
-    rows = t.conversations.select(F.to_json(F.array(F.struct("conv_id", "turn", "role", "text"))).alias("value"))
-    rows.write.text(folder)
-    lines = t.spark.read.text(folder)
-    parsed = F.from_json("value", "array<struct<conv_id: bigint, turn: bigint, role: string, text: string>>")
-    return lines.select(F.inline(parsed))
+    files = F.ceil(F.lit(t.conversations.count()) / 500)
+    part = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.greatest(files, F.lit(1)))
+    arrays = t.conversations.groupBy(part.alias("part")).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("rows"))
+    arrays.select(F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return tables.read_json_table(t.spark, folder, "conv_id bigint, turn bigint, role string, text string")
 
 
 @q("s10_json_sink", "select conv_id, turn, role, text from conversations")
