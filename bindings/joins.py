@@ -261,7 +261,7 @@ def w05(t: Tables):
 @q("w06_forward_fill", "select event_id, last_value(case when event_type <> 'error' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as filled from events")
 def w06(t: Tables):
     rows = t.events.withColumn("filled", F.when(F.col("event_type") != "error", F.col("value")))
-    return windows.forward_fill(rows, ["user_id"], ["ts", "event_id"], ["filled"], F.date_trunc(windows.time_unit(rows, ["user_id"], "ts"), "ts")).select("event_id", "filled")
+    return windows.forward_fill(rows, ["user_id"], ["ts", "event_id"], ["filled"], windows.time_levels("ts", windows.time_unit(rows, ["user_id"], "ts"))).select("event_id", "filled")
 
 
 @q("w07_resample_months", with_inputs(RATES + ", spans as (select currency, min(month) as a, max(month) as b from monthly group by 1), months as (select currency, unnest(generate_series(a, b, interval 1 month)) as month from spans) select s.currency, strftime(s.month, '%Y-%m-%d') as month, round(m.rate, 6) as rate from months s left join monthly m on m.currency = s.currency and m.month = s.month"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
-from .windows import TIME_UNITS, forward_fill, time_unit
+from .windows import TIME_UNITS, forward_fill, time_levels, time_unit
 
 FIXED_LOOKUP_ROWS = 200
 
@@ -108,8 +108,9 @@ def asof_join(
 
     Both sides are stacked on one time axis and the values carried forward. The
     carry works per (key, time bucket) and only bucket summaries cross buckets,
-    so a key that holds most of the rows is spread over its buckets. Without a
-    given `bucket` the time unit is chosen from the sizes of both sides.
+    level by level, so a key that holds most of the rows is spread over its
+    buckets. Without a given `bucket` (a unit of `TIME_UNITS`) the time unit is
+    chosen from the sizes of both sides.
     """
     names = left.columns
     bucket = bucket or min((time_unit(left, by, left_ts), time_unit(right, by, right_ts)), key=lambda u: -TIME_UNITS.index(u))
@@ -128,7 +129,7 @@ def asof_join(
         *[F.col(v).alias(f"_{v}") for v in values],
     )
     carried = forward_fill(
-        stacked.unionByName(rates), by, ["_ts", "_side", "_tie"], [f"_{v}" for v in values], F.date_trunc(bucket, "_ts")
+        stacked.unionByName(rates), by, ["_ts", "_side", "_tie"], [f"_{v}" for v in values], time_levels("_ts", bucket)
     )
     kept = carried.where(F.col("_side") == 1)
     return kept.select(*names, *[F.col(f"_{v}").alias(v) for v in values])

@@ -62,43 +62,88 @@ def time_unit(df: DataFrame, keys: list[str], ts: str, max_rows: int = 2_000_000
     return TIME_UNITS[-1]
 
 
-def forward_fill(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: Column | None = None) -> DataFrame:
+# Coarser units over each unit of `time_unit`: a second meets at most 3,600 others of its hour, an hour 744 of its month.
+UNITS_ABOVE = {"second": ["hour", "month"], "minute": ["day", "year"], "hour": ["month"], "day": ["year"], "month": []}
+
+
+def time_levels(ts: str, unit: str) -> list[Column]:
+    """The buckets of a time, finest first, for the carries below."""
+    return [F.date_trunc(u, ts) for u in [unit, *UNITS_ABOVE[unit]]]
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & left[c].eqNullSafe(right[c])
+    return condition
+
+
+def carry_in(summaries: DataFrame, keys: list[str], levels: list[str], states: list[str]) -> DataFrame:
+    """Replace each bucket's states by the last non-null ones of its key's earlier buckets.
+
+    `summaries` holds one row per key and buckets, `levels` names its bucket
+    columns from fine to coarse. A window runs over the buckets of one coarser
+    bucket only; what comes from before that is carried in from the coarser
+    level, which is worked out in the same way. So a task holds the buckets of
+    one coarser bucket at a time, however many a key has in all.
+    """
+    fine, above = levels[0], levels[1:]
+    scope = [*keys, *above[:1]]
+    before = Window.partitionBy(*scope).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
+    near = summaries.withColumns({s: F.last(s, ignorenulls=True).over(before) for s in states})
+    if not above:
+        return near
+    tops = [F.max_by(F.col(s), F.when(F.col(s).isNotNull(), F.struct(fine))).alias(s) for s in states]
+    far = carry_in(summaries.groupBy(*keys, *above).agg(*tops), keys, above, states)
+    joined = near.join(far, _same(near, far, [*keys, *above]), "left")
+    return joined.select(
+        *[near[c] for c in [*keys, *levels]], *[F.coalesce(near[s], far[s]).alias(s) for s in states]
+    )
+
+
+def _levels(bucket: Column | list[Column]) -> dict[str, Column]:
+    found = bucket if isinstance(bucket, list) else [bucket]
+    return {f"_bucket{i}": c for i, c in enumerate(found)}
+
+
+def forward_fill(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: Column | list[Column] | None = None
+) -> DataFrame:
     """Carry the last non-null value forward per key.
 
-    With `bucket` (a coarse, order-preserving column) the fill runs per (key,
-    bucket); only one summary row per bucket is carried across buckets.
+    With `bucket` (a coarse, order-preserving column, or several from fine to
+    coarse) the fill runs per (key, bucket); only one summary row per bucket is
+    carried across buckets, level by level.
     """
     if bucket is None:
         run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns})
-    keyed = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    levels = _levels(bucket)
+    keyed = df.withColumns(levels)
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
     last = [
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_carry_{c}") for c in columns
     ]
-    summaries = keyed.groupBy(*keys, "_bucket").agg(*last)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summaries.withColumns({f"_carry_{c}": F.last(f"_carry_{c}", ignorenulls=True).over(before) for c in columns})
-    same = [local[k].eqNullSafe(carry[k]) for k in [*keys, "_bucket"]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = local.join(carry, condition, "left")
+    summaries = keyed.groupBy(*keys, *levels).agg(*last)
+    carry = carry_in(summaries, keys, list(levels), [f"_carry_{c}" for c in columns])
+    joined = local.join(carry, _same(local, carry, [*keys, *levels]), "left")
     filled = {c: F.coalesce(local[c], carry[f"_carry_{c}"]) for c in columns}
     return joined.select(*[filled.get(c, local[c]).alias(c) for c in df.columns])
 
 
-def previous_row(df: DataFrame, key: str, order: list[str], columns: list[str], bucket: Column) -> DataFrame:
-    """Attach the previous row's columns per key (null for the first row), bucket by bucket."""
-    keyed = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+def previous_row(
+    df: DataFrame, key: str, order: list[str], columns: list[str], bucket: Column | list[Column]
+) -> DataFrame:
+    """Attach the previous row's columns per key (null for the first row), bucket by bucket as in `forward_fill`."""
+    levels = _levels(bucket)
+    keyed = df.withColumns(levels)
+    inside = Window.partitionBy(key, *levels).orderBy(*order)
     state = F.struct(*[F.col(c).alias(c) for c in columns])
     local = keyed.withColumn("_previous", F.lag(state).over(inside))
-    summaries = keyed.groupBy(key, "_bucket").agg(F.max_by(state, F.struct(*order)).alias("_carry"))
-    before = Window.partitionBy(key).orderBy("_bucket")
-    carry = summaries.withColumn("_carry", F.lag("_carry").over(before))
-    out = local.join(carry, local[key].eqNullSafe(carry[key]) & local["_bucket"].eqNullSafe(carry["_bucket"]), "left")
+    summaries = keyed.groupBy(key, *levels).agg(F.max_by(state, F.struct(*order)).alias("_carry"))
+    carry = carry_in(summaries, [key], list(levels), ["_carry"])
+    out = local.join(carry, _same(local, carry, [key, *levels]), "left")
     previous = F.coalesce("_previous", "_carry")
     return out.select(*[local[c] for c in df.columns], *[previous[c].alias(f"previous_{c}") for c in columns])
 

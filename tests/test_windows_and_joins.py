@@ -140,6 +140,48 @@ def test_bounding_box_never_loses_rows(frame, lat, lon, km):
     assert geo.within_distance(df, "lat", "lon", lat, lon, km).count() == expected
 
 
+def hot_seconds(spark, n=20_000):
+    """One key with an event every third minute or so over several years, hardly any of them with a value."""
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 211)
+    return spark.range(n).select(F.lit("hot").alias("k"), at.alias("t"), F.when(F.col("id") % 997 == 5, F.col("id")).alias("v"), F.col("id").alias("i"))
+
+
+@pytest.mark.parametrize("unit", ["second", "minute", "hour", "day", "month"])
+def test_layered_carry_equals_one_window(spark, unit):
+    df = hot_seconds(spark).unionByName(hot_seconds(spark, 50).withColumn("k", F.lit(None).cast("string")))
+    levels = windows.time_levels("t", unit)
+    want = windows.forward_fill(df, ["k"], ["t"], ["v"])
+    got = windows.forward_fill(df, ["k"], ["t"], ["v"], levels)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    before = windows.previous_row(df, "k", ["t"], ["i"], levels).where("previous_i is distinct from nullif(i, 0) - 1")
+    assert before.count() == 0
+
+
+def test_layered_carry_with_null_times(frame):
+    data = [("a", None, 7), ("a", "2024-01-01 00:00:00", None), ("a", "2025-05-01 00:00:00", None), ("b", "2024-01-01 00:00:00", None)]
+    df = stamped(frame, data)
+    out = windows.forward_fill(df, ["url"], ["ts"], ["v"], windows.time_levels("ts", "second"))
+    assert rows(out, "url", "v") == [("a", 7), ("a", 7), ("a", 7), ("b", None)]
+
+
+def test_no_window_gathers_the_buckets_of_a_key(spark):
+    """Below the coarsest level each window is bound to one coarser bucket, so a hot key's summaries spread."""
+    df = hot_seconds(spark)
+    levels = windows.time_levels("t", "second")
+    named = {f"l{i}": c for i, c in enumerate(levels)}
+    summaries = df.withColumns(named).groupBy("k", *named).agg(F.max("v").alias("s"))
+    per_window = [
+        summaries.groupBy("k", "l1").count().agg(F.max("count")).first()[0],
+        summaries.groupBy("k", "l1", "l2").count().groupBy("k", "l2").count().agg(F.max("count")).first()[0],
+        summaries.select("k", "l2").distinct().count(),
+    ]
+    assert summaries.count() == 20_000 and max(per_window) <= 744
+    plan = windows.carry_in(summaries, ["k"], list(named), ["s"])._jdf.queryExecution().optimizedPlan().toString()
+    scopes = [line.split("], [", 1)[1] for line in plan.splitlines() if " Window [" in line or line.lstrip(" :+-").startswith("Window [")]
+    bound = [x.split("#")[0] for x in scopes if "ASC" not in x.split("]")[0]]  # the others order by what follows
+    assert len(scopes) == 3 and sorted(bound) == ["l1", "l2"]
+
+
 def test_time_unit_gets_finer_for_a_hot_key(frame):
     data = [("hot", f"2024-01-01 {h:02d}:{m:02d}:00") for h in range(10) for m in range(60)] + [("cold", "2024-01-01 00:00:00")]
     df = frame(data, "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
