@@ -153,7 +153,7 @@ def a19(t: Tables):
 @q("a20_mode_and_median", "select (select mode_value from (select p_size as mode_value, count(*) from part group by 1 order by 2 desc, 1 limit 1)) as mode_value, (select median(o_totalprice) from orders) as median_value")
 def a20(t: Tables):
     top = sorting.mode_value(t.part, "p_size").select(F.col("p_size").alias("mode_value"))
-    return top.withColumn("median_value", F.lit(sorting.exact_median(t.orders, "o_totalprice", 1_000)))
+    return top.withColumn("median_value", F.lit(sorting.exact_median(t.orders, "o_totalprice")))
 
 
 @q("a21_flag_counts", with_inputs(PREDICTED + "select resid < -6000 as flag, count(*) as n_rows from predicted group by 1"))

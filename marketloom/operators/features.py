@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions import fixed_values as fv
 from ..session import materialize, sized_broadcast
-from .sorting import exact_median, hashed_order, top_k_of_many
+from .sorting import exact_quantiles, hashed_order, top_k_of_many
 
 
 VOCABULARY_BROADCAST = 200_000
@@ -121,7 +121,8 @@ def target_encode(df: DataFrame, encodings: DataFrame, column: str, overall_mean
 
 
 def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    return {c: exact_median(df, c) for c in columns}
+    """Exact medians of all columns in two passes; a column without values has none and is left out."""
+    return {c: m for c, (m,) in exact_quantiles(df, columns).items() if m is not None}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:

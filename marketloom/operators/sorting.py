@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import materialize
 
 
 def top_k(df: DataFrame, by: str, k: int, nulls: str = "last", tiebreak: list[str] = ()) -> DataFrame:
@@ -77,48 +80,96 @@ def mode_value(df: DataFrame, column: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), column).limit(1)
 
 
-def exact_median(df: DataFrame, column: str, final_rows: int = 100_000) -> float | None:
-    """Exact median of a numeric column without gathering it.
+CELLS = 4_096
+
 
-    Sketch quantiles bracket the middle, counts verify the bracket, and only
-    the bracket's distinct values (bounded by `final_rows`) are sorted at the end.
+def exact_quantiles(
+    df: DataFrame, columns: list[str], shares: list[float] = (0.5,), accuracy: int = 10_000, whole_below: int = 100_000
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of numeric columns, interpolated between the two nearest ranks.
+
+    Nulls and NaN are not counted; a column without values gives None. `df` is
+    read twice, for any number of columns and shares. The first pass is one
+    aggregate: mergeable sketches bracket each wanted rank (a column of up to
+    `whole_below` values needs none, its bracket is its range). The second pass
+    counts the rows below each bracket and the values inside it; see `_settle`.
+    """
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns]
+    rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)])
+    margin = 4 / accuracy  # a sketch errs by one part in `accuracy`, its merges by no more than twice that
+    marks = [min(max(s + side, 0.0), 1.0) for s in shares for side in (-margin, margin)]
+    found = rows.agg(
+        *[
+            F.struct(
+                F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, marks, accuracy).alias("marks")
+            ).alias(v)
+            for v in rows.columns
+        ]
+    ).first()
+    slots, wanted = [], {}
+    for v, (n, low, high, bounds) in zip(rows.columns, found):
+        for j, share in enumerate(shares):
+            if not n:
+                continue
+            place = share * (n - 1)
+            wanted[v, j] = (place, len(slots))
+            bracket = (low, high) if n <= whole_below else (bounds[2 * j], bounds[2 * j + 1])
+            slots.append((v, *bracket, int(place) + 1, min(int(place) + 2, n)))
+    ranks = _settle(rows, slots) if slots else {}
+    missed = [i for i, slot in enumerate(slots) if not {slot[3], slot[4]} <= ranks[i].keys()]
+    if missed:  # a sketch beyond its stated error: take the whole range of these columns
+        bounds = dict(zip(rows.columns, found))
+        again = _settle(rows, [(slots[i][0], bounds[slots[i][0]].low, bounds[slots[i][0]].high, *slots[i][3:]) for i in missed])
+        ranks.update({i: again[k] for k, i in enumerate(missed)})
+    out = {}
+    for v, c in zip(rows.columns, columns):
+        out[c] = []
+        for j in range(len(shares)):
+            if (v, j) not in wanted:
+                out[c].append(None)
+                continue
+            place, i = wanted[v, j]
+            lower, upper = ranks[i][slots[i][3]], ranks[i][slots[i][4]]
+            part = place - int(place)
+            out[c].append(lower if lower == upper or not part else lower + (upper - lower) * part)
+    return out
+
+
+def _settle(rows: DataFrame, slots: list[tuple]) -> dict[int, dict[int, float]]:
+    """For each slot (column, bracket from, to, two wanted ranks) the values at those ranks, in one pass.
+
+    Rows below the bracket are only counted. The bracket is cut into equal cells;
+    equal values combine on the map side, cells are ranked by their counts and
+    only the values of the at most two cells that hold a wanted rank are sorted.
     """
-    value = F.col(column).cast("double")
-    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    total, low, high = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not total:
-        return None
-    wanted = {(total + 1) // 2, total // 2 + 1}
-    below = 0
-    while low < high:
-        inside = rows.where(F.col("v").between(low, high))
-        distinct = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        if distinct.limit(final_rows + 1).count() <= final_rows:
-            found = _nth_values(distinct, below, wanted)
-            return sum(found) / len(found)
-        share = (min(wanted) - below) / (inside.count())
-        marks = [max(share - 0.002, 0.0), min(share + 0.002, 1.0)]
-        left, right = inside.agg(F.percentile_approx("v", marks, 10_000)).first()[0]
-        n_left, n_upto = inside.agg(F.count_if(F.col("v") < left), F.count_if(F.col("v") <= right)).first()
-        if below + n_left < min(wanted) and max(wanted) <= below + n_upto and (left > low or right < high):
-            low, high, below = left, right, below + n_left
-            continue
-        middle = (low + high) / 2
-        n_upto = inside.where(F.col("v") <= middle).count()
-        if max(wanted) <= below + n_upto:
-            high = middle
-        elif min(wanted) > below + n_upto:
-            low, below = inside.where(F.col("v") > middle).agg(F.min("v")).first()[0], below + n_upto
-        else:
-            upper = inside.where(F.col("v") > middle).agg(F.min("v")).first()[0]
-            lower = inside.where(F.col("v") <= middle).agg(F.max("v")).first()[0]
-            return (lower + upper) / 2
-    return float(low)
-
-
-def _nth_values(distinct: DataFrame, below: int, wanted: set[int]) -> list[float]:
-    found, seen = [], below
-    for value, n in distinct.orderBy("v").collect():
-        found += [value for rank in sorted(wanted) if seen < rank <= seen + n]
-        seen += n
-    return found
+    entries = []
+    for i, (v, low, high, _, _) in enumerate(slots):
+        width = high - low
+        even = 0 < width < float("inf")
+        cell = F.least(F.floor((F.col(v) - low) / width * CELLS), F.lit(CELLS - 1)) if even else F.lit(0)
+        inside = F.col(v) >= low
+        entry = F.struct(
+            F.lit(i).alias("slot"), F.when(inside, cell).otherwise(-1).cast("int").alias("cell"), F.when(inside, F.col(v)).alias("value")
+        )
+        entries.append(F.when(F.col(v) <= high, entry))
+    found = rows.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    # Written, as cells and values both read it: the brackets' rows, a share of 8 / accuracy of a large column.
+    counts = materialize(found.groupBy("slot", "cell", "value").agg(F.count(F.lit(1)).alias("n")), "quantiles")
+    first, second = [F.element_at(F.array(*[F.lit(s[k]).cast("long") for s in slots]), F.col("slot") + 1) for k in (3, 4)]
+    so_far = F.sum("n").over(Window.partitionBy("slot").orderBy("cell"))
+    cells = counts.groupBy("slot", "cell").agg(F.sum("n").alias("n")).withColumn("upto", so_far)
+    held = cells.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < second) & (F.col("cell") >= 0))
+    held = held.select("slot", "cell", (F.col("upto") - F.col("n")).alias("before"))
+    # Of the cells between the two wanted ranks only the ends hold one; both ranks are neighbours, so two cells at most.
+    values = counts.join(F.broadcast(held), ["slot", "cell"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("slot", "cell").orderBy("value"))
+    ranked = values.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("n"))
+    found = ranked.select("slot", "value", F.explode(F.array_distinct(F.array(first, second))).alias("rank"), "upto", "after")
+    out = {i: {} for i in range(len(slots))}
+    for r in found.where((F.col("after") < F.col("rank")) & (F.col("rank") <= F.col("upto"))).collect():
+        out[r.slot][r.rank] = r.value
+    return out
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    return exact_quantiles(df, [column])[column][0]

@@ -77,14 +77,49 @@ def test_sample_does_not_depend_on_partitions(frame):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000, 1001])
-def test_exact_median(frame, n):
+@pytest.mark.parametrize("whole_below", [0, 100_000])
+def test_exact_quantiles(frame, n, whole_below):
+    """Both ways of bracketing, ties, a constant column, nulls and NaN."""
     import random
-    import statistics
+
+    import numpy as np
 
     random.seed(n)
     data = [round(random.choice([random.random() * 1e6, 5.0, -3.0]), 3) for _ in range(n)]
-    df = frame([(v,) for v in data] + [(None,)], "v double")
-    assert sorting.exact_median(df, "v", final_rows=20) == pytest.approx(statistics.median(data), abs=1e-9)
+    df = frame([(v, 4, float("nan") if i % 3 else v, None) for i, v in enumerate(data)] + [(None, None, None, None)], "v double, c int, w double, e int")
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = sorting.exact_quantiles(df.repartition(3), ["v", "c", "w", "e"], shares, whole_below=whole_below)
+    assert got["v"] == pytest.approx(list(np.quantile(data, shares)))
+    assert got["w"] == pytest.approx(list(np.quantile(data[::3], shares)))
+    assert got["c"] == [4.0] * 5 and got["e"] == [None] * 5
+
+
+def test_exact_quantiles_when_sketches_are_coarse(frame):
+    """With a sketch of accuracy 20 brackets are real and ranks are still exact."""
+    import random
+
+    import numpy as np
+
+    random.seed(9)
+    data = [random.lognormvariate(0, 3) for _ in range(5_000)] + [float("inf"), -float("inf"), -1e308, 1e308]
+    df = frame([(v, -v) for v in data], "v double, w double").repartition(7)
+    got = sorting.exact_quantiles(df, ["v", "w"], [0.25, 0.5], accuracy=20, whole_below=10)
+    assert got["v"] == pytest.approx(list(np.quantile(data, [0.25, 0.5])))
+    assert got["w"] == pytest.approx(list(np.quantile([-v for v in data], [0.25, 0.5])))
+
+
+def test_exact_quantiles_read_twice(spark, frame):
+    """Two passes, however many columns there are."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    df = frame([(float(i), float(-i), 2.0 * i) for i in range(500)], "a double, b double, c double").mapInPandas(seen, "a double, b double, c double")
+    assert sorting.exact_quantiles(df, ["a", "b", "c"]) == {"a": [249.5], "b": [-249.5], "c": [499.0]}
+    assert reads.value <= 1_000
 
 
 def test_exact_median_of_nothing(frame):
