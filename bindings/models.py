@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import fixed_values as fv
-from marketloom.operators import aggregates, features, joins, matching, models, outliers
+from marketloom.operators import aggregates, features, joins, matching, models, outliers, text_features
 from marketloom.plans import price_history, scored, search
 
 from .aggregates import SPLITS, predicted
@@ -59,6 +59,25 @@ def m04(t: Tables):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+SPLIT_DOCS = "cast(('0x' || substr(md5('42|' || cast(doc_id as string)), 1, 8)) as bigint) % 100"
+
+
+@q("m04_text_features", f"""with words as (select doc_id, unnest(regexp_extract_all(lower(text), '{TOKENS}')) as a, generate_subscripts(regexp_extract_all(lower(text), '{TOKENS}'), 1) as i from documents),
+runs as (select *, lead(a, 1) over w as b, lead(a, 2) over w as c, lead(a, 3) over w as d, lead(a, 4) over w as e from words window w as (partition by doc_id order by i)),
+grams as (select doc_id, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e]) as term from runs),
+counts as (select doc_id, {SPLIT_DOCS} < 70 as train, term, count(*) as tf from grams where term is not null group by all),
+vocab as (select term, count(*) as df, sum(tf) as total from counts where train group by 1 order by total desc, term limit 3000),
+w as (select doc_id, c.term, tf * (ln(((select count(*) from documents where {SPLIT_DOCS} < 70) + 1) / (df + 1)) + 1) as w from counts c join vocab using (term) where not train),
+n as (select doc_id, sqrt(sum(w * w)) as norm from w group by 1)
+select doc_id, term, round(w / norm, 6) as weight from w join n using (doc_id)""")
+def m04_text_features(t: Tables):
+    """n-grams to five words learned on the train split, applied to the other documents."""
+    rows = t.documents.select("doc_id", "text", (features.split_column("doc_id") == "train").alias("train"))
+    model = text_features.TextTerms(inputCol="text", outputCol="vector", nMin=1, nMax=5, maxFeatures=3000).fit(rows.where("train"))
+    out = model.transform(rows.where("not train"))
+    return text_features.term_weights(out, "doc_id", "vector", text_features.vocabulary(model)).withColumn("weight", F.round("weight", 6))
+
+
 @q("m05_target_encoding", with_inputs(", o as (select avg(price) as m, var_pop(price) as v from listings), s as (select category, count(price) as n, avg(price) as cm, var_pop(price) as w from listings group by 1) select category, n, round(v * n / (v * n + w) * cm + (1 - v * n / (v * n + w)) * m, 4) as encoding from s, o"))
 def m05(t: Tables):
     return features.target_encoding(t.listings(), "category", "price").withColumn("encoding", F.round("encoding", 4))

@@ -69,11 +69,14 @@ def tokens(text: str, n_min: int = 1, n_max: int = 1) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(fv.TOKEN_PATTERN), F.lit(0))
     if (n_min, n_max) == (1, 1):
         return words
-    grams = []
-    for n in range(n_min, n_max + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.flatten(F.array(*grams))
+    # Bound as a variable of its own, so that the words are cut once and not once per place.
+    return F.get(F.transform(F.array(words), lambda w: F.flatten(F.array(*[_grams(w, n) for n in range(n_min, n_max + 1)]))), 0)
+
+
+def _grams(words: Column, n: int) -> Column:
+    """All runs of n words, joined by blanks."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).when(words.isNotNull(), F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
 
 
 def tfidf(df: DataFrame, key: str, text: str, max_features: int | None = None, n_min: int = 1, n_max: int = 1) -> DataFrame:
