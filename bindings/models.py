@@ -156,7 +156,7 @@ def m11(t: Tables):
 @q("m12_outlier_scores")
 def m12(t: Tables):
     rows = training_rows(t)
-    out = outliers.outlier_scores(rows, "line_key", [*NUMBERS, "target"], trees=100, samples=256)
+    out = outliers.outlier_scores(rows, "line_key", [*NUMBERS, "target"], trees=1000, samples=256)
     return out.select("line_key", F.round("outlier_score", 6).alias("outlier_score"), "outlier_flag")
 
 

@@ -1,12 +1,17 @@
-"""Isolation forest: trees grown in parallel on hashed samples, scores as a column.
-
-The model's size follows from the parameters alone (trees x 2 x sample size
-nodes), so it may be broadcast; the rows are scored where they lie.
+"""Isolation forest: trees grown level by level on hashed samples, kept as a table, scores as a column.
+
+The forest is a table with one row per tree. Trees are packed into groups of at
+most `GROUP_BYTES`. A forest of one group travels to the rows, which are scored
+where they lie. A larger one never meets in one place: blocks of rows and groups
+of trees meet slot by slot, each meeting gives partial sums of path lengths, and
+the sums of a block are added up. Neither the number of trees nor the size of
+the samples is limited.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,17 +20,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .matching import full_width
 from .windows import top_n
 
-MAX_NODES = 32_000_000
-_NODES = "tree int, node int, feature int, cut double, lower int, upper int, depth double"
+GROUP_BYTES = 32_000_000
+BLOCKS_PER_SLOT = 64
+_NODE_BYTES = 14  # feature int16, lower int32, cut float64
+_LARGEST = 1e300  # differences of two values stay finite
+_TREE = "tree int, feature binary, lower binary, cut binary"
 
 
-def _path_length(n: float) -> float:
+def _path_length(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search among n points."""
-    if n <= 1:
-        return 0.0
-    return 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
+    n = np.asarray(n, dtype=np.float64)
+    many = np.maximum(n, 3.0)
+    long = 2.0 * (np.log(many - 1.0) + 0.5772156649015329) - 2.0 * (many - 1.0) / many
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
 def tree_samples(df: DataFrame, key: str, trees: int, samples: int, seed: int = 42) -> DataFrame:
@@ -47,75 +57,160 @@ def tree_samples(df: DataFrame, key: str, trees: int, samples: int, seed: int =
     return top_n(dealt.withColumn("tree", tree), ["tree"], [F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key)], samples)
 
 
+def _grow_tree(data: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in level order: feature (-1: leaf), number of the lower child (the upper one follows it),
+    cut (leaf: path length). All nodes of a level are cut together."""
+    features, lowers, cuts = [], [], []
+    place, width, first = np.zeros(len(data), dtype=np.int64), 1, 0
+    for depth in range(limit + 1):
+        order = np.argsort(place, kind="stable")
+        data, place = data[order], place[order]
+        starts = np.searchsorted(place, np.arange(width))
+        low, high = np.minimum.reduceat(data, starts), np.maximum.reduceat(data, starts)
+        spread = high > low
+        inner = spread.any(axis=1) & (depth < limit)
+        pick = np.where(spread, rng.random(spread.shape), -1.0).argmax(axis=1)
+        nodes = np.arange(width)
+        low, high = low[nodes, pick], high[nodes, pick]
+        # Below the largest value, so that both children hold rows.
+        cut = np.minimum(low + rng.random(width) * (high - low), np.nextafter(high, low))
+        child = 2 * (np.cumsum(inner) - 1)
+        features.append(np.where(inner, pick, -1))
+        lowers.append(np.where(inner, first + width + child, -1))
+        sizes = np.diff(np.append(starts, len(data)))
+        cuts.append(np.where(inner, cut, depth + _path_length(sizes)))
+        kept = inner[place]
+        data, place = data[kept], place[kept]
+        if not len(data):
+            break
+        above = data[np.arange(len(data)), pick[place]] > cut[place]
+        place = child[place] + above
+        first, width = first + width, 2 * int(inner.sum())
+    return np.concatenate(features).astype("<i2"), np.concatenate(lowers).astype("<i4"), np.concatenate(cuts).astype("<f8")
+
+
 def grow(sampled: DataFrame, columns: list[str], samples: int, seed: int = 42) -> DataFrame:
-    """One row per node of every tree."""
+    """The forest, one row per tree with its nodes as packed arrays."""
     limit = max(1, math.ceil(math.log2(max(samples, 2))))
 
     def one_tree(rows: pd.DataFrame) -> pd.DataFrame:
         number = int(rows["tree"].iloc[0])
-        rng = np.random.default_rng([seed, number])
         data = rows[columns].to_numpy(dtype=np.float64)
         data = data[np.lexsort(data.T)]  # arrival order does not matter
-        nodes, todo = [], [(0, np.arange(len(data)), 0)]
-        free = 1
-        while todo:
-            node, members, depth = todo.pop()
-            part = data[members]
-            spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(members) > 1 else []
-            if depth >= limit or len(spread) == 0:
-                nodes.append((number, node, -1, 0.0, -1, -1, depth + _path_length(len(members))))
-                continue
-            feature = int(rng.choice(spread))
-            low, high = part[:, feature].min(), part[:, feature].max()
-            cut = float(rng.uniform(low, high))
-            below = part[:, feature] <= cut
-            nodes.append((number, node, feature, cut, free, free + 1, 0.0))
-            todo += [(free, members[below], depth + 1), (free + 1, members[~below], depth + 1)]
-            free += 2
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "lower", "upper", "depth"])
-
-    return sampled.select("tree", *columns).groupBy("tree").applyInPandas(one_tree, _NODES)
+        nodes = _grow_tree(data, limit, np.random.default_rng([seed, number]))
+        return pd.DataFrame([(number, *[part.tobytes() for part in nodes])], columns=["tree", "feature", "lower", "cut"])
 
+    return sampled.select("tree", *columns).groupBy("tree").applyInPandas(one_tree, _TREE)
+
+
+def tree_groups(forest: DataFrame, samples: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(group, trees): neighbouring trees whose nodes together take at most `group_bytes` (one tree, if it is larger)."""
+    each = max(1, group_bytes // (2 * samples * _NODE_BYTES))
+    tree = F.struct("tree", "feature", "lower", "cut")
+    return forest.groupBy(F.floor(F.col("tree") / each).cast("int").alias("group")).agg(
+        F.array_sort(F.collect_list(tree)).alias("trees")
+    )
+
+
+def _unpack(trees) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [
+        (np.frombuffer(t["feature"], "<i2"), np.frombuffer(t["lower"], "<i4"), np.frombuffer(t["cut"], "<f8")) for t in trees
+    ]
 
-def outlier_scores(
-    df: DataFrame, key: str, columns: list[str], trees: int = 1000, samples: int = 256, contamination: float = 0.01, seed: int = 42
-) -> DataFrame:
-    """Rows with `outlier_score` (lower is odder) and `outlier_flag` (-1 for the oddest share)."""
-    if trees * 2 * samples > MAX_NODES:
-        raise ValueError(f"trees x samples is limited to {MAX_NODES // 2}")
-    clean = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
-    nodes = grow(tree_samples(clean.select(key, *columns), key, trees, samples, seed), columns, samples, seed).toPandas()
-    if nodes.empty:
-        return df.withColumns({"outlier_score": F.lit(None).cast("double"), "outlier_flag": F.lit(None).cast("int")})
-    nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
-    offsets = nodes.groupby("tree").size().cumsum().shift(fill_value=0)
-    base = nodes["tree"].map(offsets).to_numpy()
-    packed = (
-        offsets.to_numpy(), nodes["feature"].to_numpy(), nodes["cut"].to_numpy(),
-        nodes["lower"].to_numpy() + base, nodes["upper"].to_numpy() + base, nodes["depth"].to_numpy(),
-    )
-    shared = df.sparkSession.sparkContext.broadcast(packed)
-    scale = _path_length(samples) or 1.0
+
+def _path_sums(data: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum over the trees of each row's path length."""
+    total, width, flat = np.zeros(len(data)), data.shape[1], np.ascontiguousarray(data).ravel()
+    for feature, lower, cut in trees:
+        rows, at = np.arange(len(data)), np.zeros(len(data), dtype=np.int64)
+        while len(rows):
+            split = feature[at]
+            leaf = split < 0
+            if leaf.any():
+                total[rows[leaf]] += cut[at[leaf]]
+                rows, at, split = rows[~leaf], at[~leaf], split[~leaf]
+            at = lower[at] + (flat[rows * width + split] > cut[at])
+    return total
+
+
+def _sums_in_place(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """Rows with `_paths`; the forest is one group, at most `GROUP_BYTES` or one tree."""
+    shared = rows.sparkSession.sparkContext.broadcast([t.asDict() for t in groups.first()["trees"]])
 
     @F.pandas_udf(T.DoubleType())
-    def score(batch: pd.DataFrame) -> pd.Series:
-        roots, feature, cut, lower, upper, depth = shared.value
-        data = batch.to_numpy(dtype=np.float64)
-        rows = np.arange(len(data))
-        total = np.zeros(len(data))
-        for root in roots:
-            at = np.full(len(data), root)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                here, who = at[inner], rows[inner]
-                at[inner] = np.where(data[who, feature[here]] <= cut[here], lower[here], upper[here])
-            total += depth[at]
-        return pd.Series(-np.exp2(-total / len(roots) / scale))
-
-    filled = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    def paths(values: pd.Series) -> pd.Series:
+        return pd.Series(_path_sums(np.stack(values), _unpack(shared.value)))
+
+    return rows.withColumn("_paths", paths("_values"))
+
+
+def _sums_by_group(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """Rows with `_paths`, from partial sums of (block of rows, group of trees)."""
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "outlier-rows")
+
+    def pack(batches):
+        for batch in batches:
+            if len(batch):
+                values = np.stack(batch["_values"]).astype("<f8").tobytes()
+                yield pd.DataFrame({"block": [uuid.uuid4().hex], "ids": [batch["_row"].to_numpy()], "data": [values]})
+
+    packed = numbered.select("_row", "_values").mapInPandas(pack, "block string, ids array<long>, data binary")
+    blocks = materialize(packed, "outlier-blocks")  # block names are drawn once
+    slots = max(1, math.ceil(blocks.count() / BLOCKS_PER_SLOT))
+    left = (
+        blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
+        .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+        .select("group", "slot", "block", F.size("ids").alias("n"), "data")
+    )
+    right = groups.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def meet(some: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or group.empty:
+            return pd.DataFrame({"block": [], "group": [], "part": []})
+        trees = _unpack(group["trees"].iloc[0])
+        sums = [_path_sums(np.frombuffer(d, "<f8").reshape(n, -1), trees) for d, n in zip(some["data"], some["n"])]
+        return pd.DataFrame({"block": some["block"], "group": some["group"], "part": sums})
+
+    keys = ["group", "slot"]
+    met = full_width(left, keys).groupBy(*keys).cogroup(full_width(right, keys).groupBy(*keys))
+    parts = met.applyInPandas(meet, "block string, group int, part array<double>")
+    # As many parts a block as there are groups, added in their order: reruns agree to the last bit.
+    added = parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("group", "part"))).alias("parts"))
+    added = added.select(
+        "block",
+        F.aggregate(
+            F.expr("slice(parts, 2, size(parts))"), F.col("parts")[0]["part"],
+            lambda total, p: F.zip_with(total, p["part"], lambda a, b: a + b),
+        ).alias("sums"),
+    )
+    each = blocks.select("block", "ids").join(added, "block").select(F.explode(F.arrays_zip("ids", "sums")).alias("r"))
+    return numbered.join(each.select(F.col("r.ids").alias("_row"), F.col("r.sums").alias("_paths")), "_row").drop("_row")
+
+
+def outlier_scores(
+    df: DataFrame, key: str, columns: list[str], trees: int = 1000, samples: int = 10_000, contamination: float = 0.01,
+    seed: int = 42, group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """Rows with `outlier_score` (lower is odder) and `outlier_flag` (-1 for the oddest share).
+
+    Nulls and NaN count as 0, infinities as very large. A table without rows gives none.
+    Rows of equal values share a score, so the flagged share may pass `contamination` by ties.
+    """
+    filled = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns]
+    clean = [F.greatest(F.least(c, F.lit(_LARGEST)), F.lit(-_LARGEST)) for c in filled]
+    names = [f"_c{i}" for i in range(len(columns))]
+    rows = df.select(F.col(key).alias("_key"), *[c.alias(n) for c, n in zip(clean, names)])
+    # Grown once: the number of groups and every slot read the forest.
+    forest = materialize(grow(tree_samples(rows, "_key", trees, samples, seed), names, samples, seed), "forest")
+    groups = materialize(tree_groups(forest, samples, group_bytes), "forest-groups")
+    grown, n_groups, highest = forest.count(), *groups.agg(F.count(F.lit(1)), F.max("group")).first()
+    if not grown:
+        return df.withColumns({"outlier_score": F.lit(None).cast("double"), "outlier_flag": F.lit(None).cast("int")})
+    sums = _sums_in_place if highest == 0 else _sums_by_group
+    scale = float(_path_length(samples)) or 1.0
+    score = -F.pow(F.lit(2.0), -F.col("_paths") / F.lit(grown * scale))
+    scored = sums(df.withColumn("_values", F.array(*clean)), groups, (highest or 0) + 1)
     # Written once: the threshold and the result both read the scores.
-    scored = materialize(df.withColumn("outlier_score", score(filled)), "outlier-scores")
+    scored = materialize(scored.withColumn("outlier_score", score).drop("_values", "_paths"), "outlier-scores")
     cut_off = scored.agg(F.percentile_approx("outlier_score", contamination, 100_000)).first()[0]
     return scored.withColumn("outlier_flag", F.when(F.col("outlier_score") <= cut_off, -1).otherwise(1))

@@ -123,3 +123,52 @@ def test_tree_samples_are_full_and_bounded(spark):
     df = spark.range(1000).withColumnRenamed("id", "key")
     sizes = [r["count"] for r in outliers.tree_samples(df, "key", 20, 100).groupBy("tree").count().collect()]
     assert len(sizes) == 20 and max(sizes) <= 100 and min(sizes) > 80
+
+
+def test_trees_of_a_forest_end_where_their_rows_end():
+    rng = np.random.default_rng(1)
+    data = np.round(rng.normal(size=(300, 3)), 1)
+    data[:40] = 0.5  # equal rows cannot be parted
+    feature, lower, cut = outliers._grow_tree(data, 6, np.random.default_rng(2))
+
+    ends, depths = [], []
+    for row in data:
+        node, depth = 0, 0
+        while feature[node] >= 0:
+            node, depth = int(lower[node] + (row[feature[node]] > cut[node])), depth + 1
+        ends.append(node)
+        depths.append(depth)
+    assert set(ends) == set(np.flatnonzero(feature < 0)) and max(depths) <= 6
+    counts = {node: ends.count(node) for node in set(ends)}
+    for node, depth in zip(ends, depths):
+        assert cut[node] == pytest.approx(depth + float(outliers._path_length(counts[node])))
+    walked = outliers._path_sums(data, [(feature, lower, cut)] * 2)
+    assert walked == pytest.approx([2 * cut[node] for node in ends])
+
+
+def test_forest_in_groups_equals_forest_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "BLOCKS_PER_SLOT", 2)
+    rng = np.random.default_rng(3)
+    data = [(i, *map(float, v), "x") for i, v in enumerate(rng.normal(size=(400, 2)))]
+    data += [(400, 25.0, -25.0, "odd"), (400, 25.0, -25.0, "odd"), (401, None, float("nan"), None), (402, float("inf"), float("-inf"), "far")]
+    df = spark.createDataFrame(data, "key long, a double, b double, block string").repartition(9)
+    whole = outliers.outlier_scores(df, "key", ["a", "b"], trees=30, samples=100)
+    parted = outliers.outlier_scores(df, "key", ["a", "b"], trees=30, samples=100, group_bytes=4 * 2 * 100 * 14)
+    assert whole.columns == parted.columns == [*df.columns, "outlier_score", "outlier_flag"]
+    picked = lambda out: rows(out.select("key", "block", F.round("outlier_score", 9), "outlier_flag"))
+    assert picked(whole) == picked(parted) and whole.count() == 404
+    odd = {r.key for r in parted.orderBy("outlier_score").limit(3).collect()}
+    assert odd == {400, 402}
+
+
+def test_forest_groups_are_bounded(spark):
+    df = spark.range(300).select("id", F.rand(1).alias("a"))
+    forest = outliers.grow(outliers.tree_samples(df, "id", 12, 50), ["a"], 50)
+    groups = outliers.tree_groups(forest, 50, 5 * 2 * 50 * 14).collect()
+    assert sorted((g.group, [t.tree for t in g.trees]) for g in groups) == [(0, [0, 1, 2, 3, 4]), (1, [5, 6, 7, 8, 9]), (2, [10, 11])]
+    assert all(sum(len(t.feature) + len(t.lower) + len(t.cut) for t in g.trees) <= 5 * 2 * 50 * 14 for g in groups)
+
+
+def test_outliers_of_an_empty_table(spark):
+    out = outliers.outlier_scores(spark.createDataFrame([], "key long, a double"), "key", ["a"], trees=3, samples=8)
+    assert out.count() == 0 and out.columns == ["key", "a", "outlier_score", "outlier_flag"]
