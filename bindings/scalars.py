@@ -273,10 +273,17 @@ def f42(t: Tables):
 # --- UDF surface --------------------------------------------------------------
 
 
-@q("u01_partial_ratio", "select p_partkey, 100.0::double as whole, 100.0::double as part_of from part")
+# A name whose last k of m letters give way to strange ones keeps m - k; the best window is cut behind them.
+@q("u01_partial_ratio", """with named as (select p_partkey, length(p_name) as m, p_size % length(p_name) as k from part)
+select p_partkey, 100.0::double as whole, 100.0::double as part_of, round(200.0::double * (m - k) / (2 * m - k), 6) as cut_off from named""")
 def u01(t: Tables):
     title = F.concat(F.lit("2019 "), F.col("p_name"), F.lit(" for sale"))
-    return t.part.select("p_partkey", partial_ratio_udf("p_name", "p_name").alias("whole"), partial_ratio_udf("p_name", title).alias("part_of"))
+    length = F.length("p_name")
+    strange = F.concat(F.expr("left(p_name, length(p_name) - p_size % length(p_name))"), F.repeat(F.lit("#"), 2 * length))
+    return t.part.select(
+        "p_partkey", partial_ratio_udf("p_name", "p_name").alias("whole"), partial_ratio_udf("p_name", title).alias("part_of"),
+        F.round(partial_ratio_udf("p_name", strange), 6).alias("cut_off"),
+    )
 
 
 @q("u08_ascii_fold", "select doc_id, md5(regexp_replace(strip_accents(replace(replace(lower(text), ' ', ''), '-', '')), '[^\\x00-\\x7F]', '', 'g')) as digest from documents")

@@ -46,33 +46,62 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 class TextBlock:
-    """A batch of texts laid out so that one candidate is scored against all of them at once."""
+    """A batch of texts laid out end to end, so that one candidate is scored against many of them at once.
+
+    `bounds` gives an upper bound of every partial ratio from the letters and letter pairs in common, read
+    from an inverted index. Let the shorter text have s letters, share B letters and Q letter pairs with the
+    other one, and have L letters in common order with its best window of w letters. Then L <= B, and since a
+    letter left out breaks two pairs and a letter put in breaks one, Q >= s - 1 - 2 (s - L) - (w - L). Both
+    with L <= w give a ratio of at most 200 b / (s + b), b the lesser of B and (Q + s + 1) / 2.
+    """
 
     ROWS = 1_024  # rows per pass, so that the working arrays stay in cache
+    CELLS = 1_000_000  # letters per pass, so that a few very long texts take passes of their own
 
     def __init__(self, texts: list[str]):
         self.texts = texts
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.width = int(self.lengths.max(initial=0))
-        codes = np.zeros((len(texts), self.width), dtype=np.uint32)
-        for i, text in enumerate(texts):
-            if text:
-                codes[i, : len(text)] = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.alphabet, letters = np.unique(codes, return_inverse=True)
-        self.letters = letters.reshape(codes.shape).astype(np.int32)
-
-    def partial_ratios(self, candidate: str) -> np.ndarray:
+        self.letters = np.append(letters, 0).astype(np.int32)
+        self.scored = 0
+        owner = np.repeat(np.arange(len(texts)), self.lengths)
+        paired = owner[1:] == owner[:-1]
+        pairs = codes[:-1].astype(np.int64)[paired] << 32 | codes[1:][paired]
+        self._letters_of = _postings(codes.astype(np.int64), owner)
+        self._pairs_of = _postings(pairs, owner[1:][paired])
+
+    def bounds(self, candidate: str) -> np.ndarray:
+        """For each text a number that its partial ratio with the candidate cannot exceed."""
+        points = np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        shorter = np.minimum(self.lengths, len(points))
+        common = _in_common(self._letters_of, points, len(self.texts))
+        pairs = _in_common(self._pairs_of, points[:-1] << 32 | points[1:], len(self.texts))
+        most = np.minimum(common, (pairs + shorter + 1) / 2)
+        return np.where(shorter > 0, 200.0 * most / np.maximum(shorter + most, 1), 100.0)
+
+    def partial_ratios(self, candidate: str, rows: np.ndarray | None = None) -> np.ndarray:
+        """Scores of the candidate against the texts at `rows` (default: all)."""
+        rows = np.arange(len(self.texts)) if rows is None else np.asarray(rows, dtype=np.int64)
+        self.scored += len(rows)
         m = len(candidate)
-        out = np.zeros(len(self.texts))
-        by_window = (self.lengths > m) if 0 < m <= _WORD else np.zeros(len(self.texts), dtype=bool)
+        out = np.zeros(len(rows))
+        by_window = (self.lengths[rows] > m) if 0 < m <= _WORD else np.zeros(len(rows), dtype=bool)
         for i in np.flatnonzero(~by_window):
-            out[i] = partial_ratio(candidate, self.texts[i])
-        if by_window.any():
+            out[i] = partial_ratio(candidate, self.texts[rows[i]])
+        todo = np.flatnonzero(by_window)
+        if len(todo):
             bits = self._letter_bits(candidate)
-            rows = np.flatnonzero(by_window)
-            for start in range(0, len(rows), self.ROWS):
-                part = rows[start : start + self.ROWS]
-                out[part] = self._best_windows(bits, m, part)
+            todo = todo[np.argsort(self.lengths[rows[todo]], kind="stable")]
+            sizes = self.lengths[rows[todo]]
+            start = 0
+            while start < len(todo):
+                part = slice(start, start + self.ROWS)
+                fits = (np.arange(1, len(sizes[part]) + 1) * sizes[part] <= self.CELLS).sum()
+                part = slice(start, start + max(1, int(fits)))
+                out[todo[part]] = self._best_windows(bits, m, rows[todo[part]])
+                start = part.stop
         return out
 
     def _letter_bits(self, candidate: str) -> np.ndarray:
@@ -89,8 +118,10 @@ class TextBlock:
         starts = np.arange(1 - m, width)
         masks = np.zeros((len(part), width + 2 * (m - 1)), dtype=np.uint64)
         body = masks[:, m - 1 : m - 1 + width]
-        np.take(bits, self.letters[part, :width], out=body)
-        body[np.arange(width) >= lengths] = 0
+        inside = np.arange(width) < lengths
+        at = np.where(inside, self.starts[part][:, None] + np.arange(width), len(self.letters) - 1)
+        np.take(bits, self.letters[at], out=body)
+        body[~inside] = 0
         full = ~np.uint64(0) >> np.uint64(_WORD - m)
         state = np.full((len(part), len(starts)), full, dtype=np.uint64)
         for i in range(m):
@@ -104,6 +135,30 @@ class TextBlock:
         return np.where(covered > 0, 200.0 * common / (m + np.maximum(covered, 1)), 0.0).max(axis=1)
 
 
+def _postings(values: np.ndarray, owner: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each value the texts that hold it and how often."""
+    if not len(values):
+        return {}
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    heads = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
+    times = np.diff(np.append(heads, len(values)))
+    values, owner = values[heads], owner[heads]
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    ends = np.append(cuts[1:], len(values))
+    return {int(values[i]): (owner[i:j], times[i:j]) for i, j in zip(cuts, ends)}
+
+
+def _in_common(index: dict[int, tuple[np.ndarray, np.ndarray]], values: np.ndarray, n: int) -> np.ndarray:
+    """Values that each text has in common with `values`, counted as often as both hold them."""
+    out = np.zeros(n, dtype=np.int64)
+    for value, times in zip(*np.unique(values, return_counts=True)):
+        found = index.get(int(value))
+        if found is not None:
+            out[found[0]] += np.minimum(found[1], times)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

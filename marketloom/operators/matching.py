@@ -22,6 +22,7 @@ from .windows import top_n
 
 TEXTS_PER_SLICE = 20_000
 CANDIDATES_PER_SLICE = 5_000
+_SLACK = 1e-9  # covers rounding of bounds and scores
 
 
 def _sliced(df: DataFrame, block: list[str], value: str, per_slice: int, name: str) -> DataFrame:
@@ -78,6 +79,36 @@ def full_width(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def best_of_block(block: TextBlock, candidates: list[str], n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the best n candidates of each text; ties go to the earlier candidate (-1: none).
+
+    Only pairs are scored whose upper bound reaches the threshold and the text's n-th best score so far. The
+    candidate of the highest bound comes first, so that the later ones meet a high score from the start.
+    """
+    size = len(block.texts)
+    top, pick = np.full((size, n), -1.0), np.full((size, n), -1, dtype=np.int64)
+    highest, seed = np.full(size, -1.0), np.full(size, -1, dtype=np.int64)
+    for j, candidate in enumerate(candidates):
+        bound = block.bounds(candidate)
+        higher = bound > highest
+        highest[higher], seed[higher] = bound[higher], j
+    for j in np.unique(seed[seed >= 0]):
+        rows = np.flatnonzero((seed == j) & (highest >= threshold - _SLACK))
+        top[rows, 0], pick[rows, 0] = block.partial_ratios(candidates[j], rows), j
+    for j, candidate in enumerate(candidates):
+        hopeful = block.bounds(candidate) >= np.maximum(top[:, -1], threshold) - _SLACK
+        rows = np.flatnonzero(hopeful & (seed != j))
+        if not len(rows):
+            continue
+        scores = block.partial_ratios(candidate, rows)
+        rows, scores = rows[scores >= top[rows, -1]], scores[scores >= top[rows, -1]]
+        tops = np.column_stack([top[rows], scores])
+        picks = np.column_stack([pick[rows], np.full(len(rows), j)])
+        order = np.lexsort((picks, -tops), axis=-1)[:, :n]
+        top[rows], pick[rows] = np.take_along_axis(tops, order, axis=1), np.take_along_axis(picks, order, axis=1)
+    return top, pick
+
+
 def _score_slices(n: int, threshold: float):
     """Score one slice of texts against one slice of candidates; the first columns of both are the block."""
 
@@ -90,18 +121,7 @@ def _score_slices(n: int, threshold: float):
             return schema.empty_table()
         candidates = sorted(zip(right["_tie"].to_pylist(), right["_cand"].to_pylist()))
         texts = left["_text"].to_pylist()
-        scorer = TextBlock(texts)
-        top = np.full((len(texts), n), -1.0)
-        pick = np.full((len(texts), n), -1, dtype=np.int64)
-        for j, (_, candidate) in enumerate(candidates):
-            scores = scorer.partial_ratios(candidate)
-            better = scores > top[:, -1]
-            if not better.any():
-                continue
-            top[better, -1], pick[better, -1] = scores[better], j
-            rank = np.argsort(-top[better], axis=1, kind="stable")
-            top[better] = np.take_along_axis(top[better], rank, axis=1)
-            pick[better] = np.take_along_axis(pick[better], rank, axis=1)
+        top, pick = best_of_block(TextBlock(texts), [c for _, c in candidates], n, threshold)
         rows, slots = np.nonzero((pick >= 0) & (top >= threshold))
         chosen = [candidates[j] for j in pick[rows, slots]]
         return pa.Table.from_arrays(

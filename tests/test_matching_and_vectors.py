@@ -44,6 +44,42 @@ def test_partial_ratio_against_definition():
     assert _lcs_length("abcde", "xbxdx") == 2
 
 
+def _letters(draw, alphabet, low, high):
+    return "".join(draw.choice(alphabet) for _ in range(draw.randint(low, high)))
+
+
+@pytest.mark.parametrize("alphabet", ["ab ", "abcdefghij é😀"])
+def test_best_of_block_loses_nothing_to_its_bound(alphabet):
+    draw = random.Random(5)
+    for _ in range(12):
+        texts = [*(_letters(draw, alphabet, 0, 30) for _ in range(25)), "", "x" * 70]
+        candidates = [*(_letters(draw, alphabet, 0, 12) for _ in range(8)), "", _letters(draw, alphabet, 66, 70)]
+        truth = np.array([[slow_ratio(c, t) for c in candidates] for t in texts])
+        block = TextBlock(texts)
+        for j, candidate in enumerate(candidates):
+            assert (block.bounds(candidate) + 1e-9 >= truth[:, j]).all()
+        for n, threshold in [(1, 0), (1, 85), (3, 60)]:
+            top, pick = matching.best_of_block(block, candidates, n, threshold)
+            for i in range(len(texts)):
+                order = sorted(range(len(candidates)), key=lambda j: (-truth[i, j], j))
+                want = [j for j in order if truth[i, j] >= threshold][:n]
+                assert [int(j) for s, j in zip(top[i], pick[i]) if j >= 0 and s >= threshold] == want
+
+
+def test_few_pairs_are_scored():
+    draw = random.Random(6)
+    words = [_letters(draw, "abcdefghijklmnopqrstuvwxyz", 3, 9) for _ in range(200)]
+    candidates = [" ".join(draw.sample(words, 2)) for _ in range(200)]
+    block = TextBlock([f"2019 {draw.choice(candidates).replace('a', 'e', 1)} {draw.choice(words)} for sale" for _ in range(400)])
+    matching.best_of_block(block, candidates, 1, 70)
+    assert block.scored < 0.03 * 400 * 200
+
+
+def test_one_very_long_text_does_not_widen_the_others():
+    block = TextBlock(["short one", "y" * 300_000 + "needle", "needles"])
+    assert list(block.partial_ratios("needle")) == [pytest.approx(slow_ratio("needle", "short one")), 100.0, 100.0]
+
+
 def test_partial_ratio_examples():
     assert partial_ratio("trek", "2020 trek slash") == 100.0
     assert partial_ratio("", "x") == 0.0
