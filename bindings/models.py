@@ -198,11 +198,19 @@ def m15(t: Tables):
     return out.select("p_partkey", "fuzzy_match", "year_manufacturer_model", "msrp_cleaned", "weight_summary", "front_travel_summary", "rear_travel_summary")
 
 
-@q("m16_age_sweep", with_inputs("select order_key, cast(a.a as int) as age_at_post, price - a.a * 2.5::double as pred from listings, range(0, 3000, 100) a(a)"))
+def exact_price_model(rows, inputs):
+    """A fitted linear model of a target without noise: it recovers the weights, so SQL can state its predictions."""
+    stages = [*features.assemble_stages(inputs), models.least_squares()]
+    return models.fit(stages, rows)
+
+
+@q("m16_age_sweep", with_inputs("select order_key, cast(a.a as int) as age_at_post, round(price * 1.5::double - a.a * 2.5::double + 100, 2) as pred from listings, range(0, 3000, 100) a(a)"))
 def m16(t: Tables):
-    rows = t.listings().select("order_key", "price", F.lit(0).alias("age_at_post"))
-    swept = models.sweep(rows, "age_at_post", models.age_grid())
-    return swept.select("order_key", "age_at_post", (F.col("price") - F.col("age_at_post") * F.lit(2.5)).alias("pred"))
+    age = F.datediff("datetime_scraped", "original_post_date") + F.col("category_num") * 10
+    rows = t.listings().select("order_key", "price", age.alias("age_at_post"))
+    model = exact_price_model(rows.withColumn("target", F.expr("price * 1.5 - age_at_post * 2.5 + 100")), ["price", "age_at_post"])
+    swept = models.sweep(rows, "age_at_post", models.age_grid(), model)
+    return swept.select("order_key", "age_at_post", F.round("pred", 2).alias("pred"))
 
 
 @q("m16_date_sweep", with_inputs("select order_key, cast(y.y as string) || '-01-01' as post_date from listings, range(2010, 2030) y(y) union all select order_key, '2022-' || lpad(cast(m.m as string), 2, '0') || '-01' from listings, range(1, 13) m(m)"))
@@ -212,6 +220,29 @@ def m16_dates(t: Tables):
     return both.withColumn("post_date", F.col("post_date").cast("string"))
 
 
+@q("m17_partial_dependence_exact", with_inputs(""", e as (select quantile_cont(price, 0.05) as p0, quantile_cont(price, 0.95) as p1,
+quantile_cont(category_num::double, 0.05) as c0, quantile_cont(category_num::double, 0.95) as c1 from listings)
+select round(p0 + (p1 - p0) * i.i / 9, 4) as price, round(c0 + (c1 - c0) * j.j / 9, 4) as category_num,
+round(1.5::double * (p0 + (p1 - p0) * i.i / 9) - 25 * (c0 + (c1 - c0) * j.j / 9) + m.lat * 2, 2) as mean_pred
+from e, range(10) i(i), range(10) j(j), (select avg(lat) as lat from listings) m"""))
+def m17_exact(t: Tables):
+    rows = t.listings().select("order_key", "price", F.col("category_num").cast("double").alias("category_num"), "lat")
+    model = exact_price_model(rows.withColumn("target", F.expr("price * 1.5 - category_num * 25 + lat * 2")), ["price", "category_num", "lat"])
+    out = models.partial_dependence(rows, model, ["price", "category_num"], "order_key", sample=None)
+    return out.select(F.round("price", 4).alias("price"), F.round("category_num", 4).alias("category_num"), F.round("mean_pred", 2).alias("mean_pred"))
+
+
+@q("m11_ridge_grid", with_inputs(SPLITS + """, k as (select unnest([0.0, 1.0, 100.0, 10000.0])::double as penalty),
+f as (select penalty, covar_pop(price, lat) / (var_pop(lat) + penalty) as w, avg(price) as my, avg(lat) as mx from split_rows, k where split = 'train' group by penalty)
+select penalty, round(w, 6) as weight, (select round(sqrt(avg(power(price - (my + w * (lat - mx)), 2))), 4) from split_rows where split = 'valid') as rmse from f"""))
+def m11_ridge(t: Tables):
+    rows = t.listings().select("price", "lat", features.split_column("order_key").alias("split"))
+    rows = models.fit(features.assemble_stages(["lat"], scale=False), rows).transform(rows)
+    results, weights = models.ridge_grid(rows, [0.0, 1.0, 100.0, 10_000.0], target="price")
+    found = [(p, float(round(weights[p][1], 6)), rmse if rmse is None else round(rmse, 4)) for p, rmse in results]
+    return t.spark.createDataFrame(found, "penalty double, weight double, rmse double")
+
+
 @q("m17_partial_dependence")
 def m17(t: Tables):
     rows = training_rows(t)

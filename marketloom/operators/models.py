@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.feature import (
+    ImputerModel, MaxAbsScalerModel, MinMaxScalerModel, OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler,
+)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import error_metrics
-from .sorting import sample_n
+from .sorting import exact_quantiles, sample_n
+
+#: Stages that treat each input column by itself; with a linear model behind them a prediction is a sum over columns.
+BY_COLUMN = (ImputerModel, MaxAbsScalerModel, MinMaxScalerModel, OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler)
 
 
 def mean_baseline(df: DataFrame, target: str, split: str = "split") -> DataFrame:
@@ -24,6 +35,11 @@ def robust_linear(features: str = "features", target: str = "target", **params)
     return LinearRegression(featuresCol=features, labelCol=target, predictionCol="pred", loss="huber", **settings)
 
 
+def least_squares(features: str = "features", target: str = "target", **params) -> LinearRegression:
+    """Ordinary least squares (or ridge, by regParam) from the normal equations: one pass over the data."""
+    return LinearRegression(featuresCol=features, labelCol=target, predictionCol="pred", solver="normal", **params)
+
+
 def boosted_trees(features: str = "features", target: str = "target", **params) -> GBTRegressor:
     settings = {"maxIter": 20, "maxDepth": 5, "seed": 42, **params}
     return GBTRegressor(featuresCol=features, labelCol=target, predictionCol="pred", **settings)
@@ -50,6 +66,53 @@ def grid_search(
     return results, best
 
 
+def ridge_grid(
+    df: DataFrame, penalties: list[float], features: str = "features", target: str = "target", split: str = "split"
+) -> tuple[list[tuple[float, float | None]], dict[float, np.ndarray]]:
+    """Validation RMSE and weights (intercept first) of a ridge fit for each penalty, from one pass over the data.
+
+    The sums of products of features and target, per split, hold all that any penalty needs: the fit comes
+    from those of the train rows, the error from those of the valid rows. Each task adds up its rows and the
+    sums meet entry by entry; the driver gets one square matrix a split, (features + 2) wide. A fit minimises
+    half the mean squared error plus half the penalty times the squared weights without the intercept. Rows with a null or non-finite entry do not count. Without train rows there are no fits, without valid rows no errors.
+    """
+
+    def products(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, part in batch.groupby("name"):
+                if len(part):
+                    rows = np.column_stack([np.ones(len(part)), np.stack(part["x"]), part["y"].to_numpy()])
+                    rows = rows[np.isfinite(rows).all(axis=1)]
+                    sums[name] = sums.get(name, 0.0) + rows.T @ rows
+        yield pd.DataFrame({"name": list(sums), "sums": [m.ravel() for m in sums.values()]}, columns=["name", "sums"])
+
+    rows = df.select(F.col(split).alias("name"), vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y"))
+    rows = rows.where(F.col("name").isin("train", "valid")).na.drop()
+    entries = rows.mapInPandas(products, "name string, sums array<double>").select("name", F.posexplode("sums").alias("at", "part"))
+    found: dict[str, list] = {}
+    for name, _, value in entries.groupBy("name", "at").agg(F.sum("part")).orderBy("name", "at").collect():
+        found.setdefault(name, []).append(value)
+    square = {name: np.array(values).reshape(math.isqrt(len(values)), -1) for name, values in found.items()}
+    if "train" not in square or not square["train"][0, 0]:
+        return [], {}
+    results, weights, train = [], {}, square["train"]
+    for penalty in penalties:
+        system = train[:-1, :-1] / train[0, 0] + np.diag([0.0] + [float(penalty)] * (len(train) - 2))
+        weights[penalty] = np.linalg.lstsq(system, train[:-1, -1] / train[0, 0], rcond=None)[0]
+        residual = np.append(-weights[penalty], 1.0)  # target minus prediction, as weights of the products
+        valid = square.get("valid")
+        seen = valid is not None and valid[0, 0] > 0
+        results.append((penalty, math.sqrt(max(residual @ valid @ residual, 0.0) / valid[0, 0]) if seen else None))
+    return results, weights
+
+
+def linear_prediction(weights: np.ndarray, features: str = "features") -> Column:
+    """Prediction of a fit of `ridge_grid`, as a column."""
+    terms = F.zip_with(vector_to_array(features), F.array(*[F.lit(float(w)) for w in weights[1:]]), lambda x, w: x * w)
+    return F.aggregate(terms, F.lit(float(weights[0])), lambda total, x: total + x)
+
+
 def score_batch(model: Model, df: DataFrame, placeholder: str | None = None) -> DataFrame:
     """One prediction per row; a missing target column is filled with 0."""
     if placeholder and placeholder not in df.columns:
@@ -57,11 +120,46 @@ def score_batch(model: Model, df: DataFrame, placeholder: str | None = None) ->
     return model.transform(df)
 
 
-def sweep(df: DataFrame, column: str, values: Column, model: Model | None = None) -> DataFrame:
-    """Each row repeated with every value of one feature, and rescored."""
+def by_columns(model: Model) -> bool:
+    """Whether the model's prediction is known to be a sum of parts that each depend on one input column."""
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
+    return isinstance(stages[-1], LinearRegressionModel) and all(isinstance(s, BY_COLUMN) for s in stages[:-1])
+
+
+def _effects(base: DataFrame, column: str, points: list, model: Model) -> list[float] | None:
+    """What each grid value adds to a prediction at the first one, read off one row; None if no row can be scored.
+
+    `base` holds predictions at the first value.
+    """
+    row = base.where(F.col("pred").isNotNull() & ~F.isnan("pred")).drop("pred").limit(1)
+    kind = base.schema[column].dataType
+    grid = row.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))))
+    values = F.array(*[F.lit(p).cast(kind) for p in points])
+    scored = model.transform(grid.withColumn(column, F.get(values, F.col("_at")))).select("_at", "pred").orderBy("_at").collect()
+    return [r.pred - scored[0].pred for r in scored] if len(scored) == len(points) else None
+
+
+def sweep(df: DataFrame, column: str, values: Column, model: Model | None = None, additive: bool | None = None) -> DataFrame:
+    """Each row repeated with every value of one feature, with `pred` if a model is given.
+
+    Where the prediction is a sum over columns (`additive`; default: as `by_columns` tells), a row is scored
+    once, at the first value, and every other value adds what it adds to any row. Otherwise the repeated rows
+    are scored where they lie. A grid is a constant array.
+    """
     kind = df.schema[column].dataType.simpleString()
     repeated = df.withColumn(column, F.explode(values.cast(f"array<{kind}>")))
-    return model.transform(repeated) if model is not None else repeated
+    if model is None:
+        return repeated
+    if by_columns(model) if additive is None else additive:
+        points = df.sparkSession.range(1).select(values.cast(f"array<{kind}>")).first()[0]
+        if points and None not in points:
+            base = model.transform(df.withColumn(column, F.lit(points[0]).cast(kind))).select(*df.columns, "pred")
+            effects = _effects(base, column, points, model)
+            if effects is not None:
+                grid = F.array(*[F.struct(F.lit(p).cast(kind).alias("v"), F.lit(float(e)).alias("e")) for p, e in zip(points, effects)])
+                spread = base.withColumn("_grid", F.explode(grid))
+                return spread.select(*[F.col("_grid.v").alias(c) if c == column else F.col(c) for c in df.columns], (F.col("pred") + F.col("_grid.e")).alias("pred"))
+    return model.transform(repeated).select(*df.columns, "pred")
 
 
 def age_grid() -> Column:
@@ -77,18 +175,33 @@ def month_grid(year: int = 2022) -> Column:
 
 
 def partial_dependence(
-    df: DataFrame, model: Model, columns: list[str], key: str, resolution: int = 10, sample: int = 10_000, seed: int = 42
-) -> DataFrame:
-    """Mean prediction per grid point of one or two features, over a repeatable sample.
-
-    The grid runs evenly between the 5 % and 95 % quantiles; the sample is part
-    of the operator, so rows times grid points stay bounded.
+    df: DataFrame, model: Model, columns: list[str], key: str, resolution: int = 10, sample: int | None = 10_000, seed: int = 42,
+    additive: bool | None = None,
+) -> DataFrame:
+    """Mean prediction per grid point of one or more features, over a repeatable sample (None: over all rows).
+
+    The grid runs evenly between the exact 5 % and 95 % quantiles. Where the prediction is a sum over columns
+    (see `sweep`), rows are scored once and the grid points add their parts to the mean; otherwise each
+    row is scored at each point, so keep the sample then. Columns without values give no rows.
     """
-    rows = sample_n(df, key, sample, seed)
+    edges = exact_quantiles(df, columns, [0.05, 0.95])
+    if any(edge is None for pair in edges.values() for edge in pair):
+        return df.sparkSession.createDataFrame([], ", ".join(f"`{c}` double" for c in columns) + ", mean_pred double")
+    grids = {c: sorted({low + (high - low) * i / max(resolution - 1, 1) for i in range(resolution)}) for c, (low, high) in edges.items()}
+    rows = df if sample is None else sample_n(df, key, sample, seed)
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in columns})
+    if by_columns(model) if additive is None else additive:
+        base = model.transform(rows.withColumns({c: F.lit(grids[c][0]) for c in columns})).select(*rows.columns, "pred")
+        effects = {c: _effects(base, c, grids[c], model) for c in columns}
+        if None not in effects.values():
+            means = base.agg(F.avg("pred").alias("mean_pred"))  # one row, spread over the points of the grid
+            for c in columns:
+                points = [F.struct(F.lit(float(p)).alias("v"), F.lit(float(e)).alias("e")) for p, e in zip(grids[c], effects[c])]
+                means = means.withColumn("_p", F.explode(F.array(*points)))
+                means = means.withColumns({c: F.col("_p.v"), "mean_pred": F.col("mean_pred") + F.col("_p.e")}).drop("_p")
+            return means.select(*columns, "mean_pred")
     for c in columns:
-        low, high = df.agg(F.percentile_approx(c, [0.05, 0.95], 10_000)).first()[0]
-        points = sorted({low + (high - low) * i / max(resolution - 1, 1) for i in range(resolution)})
-        rows = sweep(rows, c, F.array(*[F.lit(float(p)) for p in points]))
+        rows = sweep(rows, c, F.array(*[F.lit(float(p)) for p in grids[c]]))
     return model.transform(rows).groupBy(*columns).agg(F.avg("pred").alias("mean_pred"))
 
 

@@ -97,6 +97,50 @@ def test_sweep_and_partial_dependence(priced):
     assert len(curve) == 10 and curve[-1].mean_pred > curve[0].mean_pred
 
 
+def test_sweep_by_effects_equals_scoring_every_row(priced):
+    rows_with = priced.withColumn("kind", F.when(F.col("key") % 3 == 0, "x").when(F.col("key") % 3 == 1, "y").otherwise("z")).withColumn("target", F.col("target") + F.length("kind") * 2 + F.when(F.col("kind") == "y", 7).otherwise(0))
+    stages = [*features.one_hot_stages(["kind"]), *features.assemble_stages(["a", "b", "kind_onehot"])]
+    linear = models.fit([*stages, models.robust_linear()], rows_with)
+    trees = models.fit([*stages, models.boosted_trees(maxIter=2)], rows_with)
+    assert models.by_columns(linear) and not models.by_columns(trees)
+    some = rows_with.where("key < 20").select("key", "kind", "a", "b")
+    for column, grid in [("a", F.array(F.lit(-4.0), F.lit(0.0), F.lit(12.5))), ("kind", F.array(F.lit("z"), F.lit("x"), F.lit("new")))]:
+        quick = models.sweep(some, column, grid, linear)
+        plain = models.sweep(some, column, grid, linear, additive=False)
+        assert quick.columns == plain.columns == ["key", "kind", "a", "b", "pred"] and quick.count() == 60
+        order = ["key", "kind", "a", "b"]
+        assert [r.pred for r in quick.orderBy(*order).collect()] == pytest.approx([r.pred for r in plain.orderBy(*order).collect()])
+    assert models.sweep(some, "a", F.array(F.lit(0.0)), trees).count() == 20
+    assert models.sweep(some.limit(0), "a", F.array(F.lit(0.0)), linear).count() == 0
+
+
+def test_partial_dependence_by_effects(priced):
+    linear = models.fit([*features.assemble_stages(["a", "b"]), models.robust_linear()], priced)
+    for sample in (50, None):
+        quick, plain = (models.partial_dependence(priced, linear, ["a", "b"], "key", 4, sample, additive=how).orderBy("a", "b").collect() for how in (None, False))
+        assert len(quick) == 16 and [(r.a, r.b) for r in quick] == [(r.a, r.b) for r in plain]
+        assert [r.mean_pred for r in quick] == pytest.approx([r.mean_pred for r in plain])
+    assert models.partial_dependence(priced.limit(0), linear, ["a"], "key").count() == 0
+
+
+def test_ridge_grid_equals_single_fits(priced):
+    ready = models.fit(features.assemble_stages(["a", "b"], scale=False), priced).transform(priced)
+    broken = ready.limit(1).withColumn("target", F.lit(float("nan"))).unionByName(ready.limit(1).withColumn("target", F.lit(None).cast("double")))
+    results, weights = models.ridge_grid(ready.unionByName(broken).repartition(5), [0.0, 2.0, 50.0])
+    assert [p for p, _ in results] == [0.0, 2.0, 50.0]
+    train = np.array([(r.a, r.b, r.target) for r in ready.where("split = 'train'").collect()])
+    x, y = train[:, :2], train[:, 2]
+    centred = x - x.mean(axis=0)
+    valid = ready.where("split = 'valid'")
+    for penalty, rmse in results:
+        slope = np.linalg.solve(centred.T @ centred / len(x) + penalty * np.eye(2), centred.T @ (y - y.mean()) / len(x))
+        assert list(weights[penalty]) == pytest.approx([y.mean() - x.mean(axis=0) @ slope, *slope])
+        ours = valid.withColumn("pred", models.linear_prediction(weights[penalty]))
+        assert rmse == pytest.approx(aggregates.error_metrics(ours, "target", "pred").first().rmse, rel=1e-6)
+    assert models.ridge_grid(ready.limit(0), [1.0]) == ([], {})
+    assert models.ridge_grid(ready.where("split = 'train'"), [1.0])[0] == [(1.0, None)]
+
+
 def test_saved_pipeline_scores_raw_listings(spark, frame):
     ads = frame([("2018 Trek", "d", "2020-05-01", "Calgary, Canada", 100.0), ("2015 Norco", "d", "2019-05-01", "Denver, United States", 300.0)], "ad_title string, description string, original_post_date string, location string, price_cpi_adjusted_CAD double")
     ads = ads.withColumn("original_post_date", F.col("original_post_date").cast("timestamp"))
