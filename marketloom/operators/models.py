@@ -85,7 +85,8 @@ def ridge_grid(
                     rows = np.column_stack([np.ones(len(part)), np.stack(part["x"]), part["y"].to_numpy()])
                     rows = rows[np.isfinite(rows).all(axis=1)]
                     sums[name] = sums.get(name, 0.0) + rows.T @ rows
-        yield pd.DataFrame({"name": list(sums), "sums": [m.ravel() for m in sums.values()]}, columns=["name", "sums"])
+        if sums:
+            yield pd.DataFrame({"name": list(sums), "sums": [m.ravel() for m in sums.values()]})
 
     rows = df.select(F.col(split).alias("name"), vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y"))
     rows = rows.where(F.col("name").isin("train", "valid")).na.drop()

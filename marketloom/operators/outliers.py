@@ -166,7 +166,7 @@ def _sums_by_group(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFra
 
     def meet(some: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         if some.empty or group.empty:
-            return pd.DataFrame({"block": [], "group": [], "part": []})
+            return pd.DataFrame({"block": [], "group": [], "part": []}, dtype=object)  # Arrow makes no lists of floats
         trees = _unpack(group["trees"].iloc[0])
         sums = [_path_sums(np.frombuffer(d, "<f8").reshape(n, -1), trees) for d, n in zip(some["data"], some["n"])]
         return pd.DataFrame({"block": some["block"], "group": some["group"], "part": sums})
