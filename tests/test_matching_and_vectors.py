@@ -147,3 +147,33 @@ def test_nearest_against_brute_force(frame, monkeypatch, few, skip, slice_rows):
     out = vectors.nearest(queries, df, 5, skip_same=skip, broadcast_limit=1000 if few else 0)
     got = sorted(tuple(r) for r in out.select("query_id", "neighbour_id", "rank").collect())
     assert got == brute_neighbours(q, [(i, np.array(v)) for i, v in data], 5, skip)
+
+
+@pytest.mark.parametrize("dense_share", [0.0, 2.0])
+@pytest.mark.parametrize("skip", [True, False])
+def test_blocks_and_cells_give_the_same_neighbours(frame, monkeypatch, dense_share, skip):
+    """Many copies of one vector tie; the blocks and steps are small, so that each meeting is cut several times."""
+    for name, size in (("ROWS_PER_BLOCK", 40), ("QUERIES_PER_BLOCK", 16), ("_STEP", 8), ("ROWS_PER_SLICE", 16)):
+        monkeypatch.setattr(vectors, name, size)
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(size=(100, 5)), np.repeat(rng.normal(size=(1, 5)), 20, axis=0)])
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = frame(data, "id long, v array<double>")
+    q = [(i, np.array(v)) for i, v in data[::3]]
+    out = vectors.nearest_many(df.where("id % 3 = 0"), df, 5, skip, dense_share=dense_share)
+    got = sorted(tuple(r) for r in out.select("query_id", "neighbour_id", "rank").collect())
+    want = brute_neighbours(q, [(i, np.array(v)) for i, v in data], 5, skip)
+    assert got == want
+    unit = vectors._unit(points)
+    near = vectors._top_pairs(np.arange(0, 120, 3), unit[::3], np.arange(120)[::-1], unit[::-1], 5, skip)  # in steps of 8
+    near["rank"] = near.groupby("query_id").cumcount() + 1
+    assert sorted(near[["query_id", "neighbour_id", "rank"]].itertuples(index=False, name=None)) == want
+
+
+def test_random_directions_meet_in_blocks(frame, monkeypatch):
+    """Cells rule out next to nothing there, and no query is copied to them."""
+    purposes = []
+    monkeypatch.setattr(vectors, "materialize", lambda df, purpose: purposes.append(purpose) or df.localCheckpoint())
+    rng = np.random.default_rng(2)
+    df = frame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 16)))], "id long, v array<double>")
+    assert vectors.nearest_many(df, df, 3, True).count() == 600 and "visits" not in purposes
