@@ -128,6 +128,20 @@ def test_distance_join_against_brute_force(frame, km):
     assert rows(geo.distance_join(p, r, km), "p", "r") == expected
 
 
+def test_distance_join_compares_places_once(frame, monkeypatch):
+    """Rows of one place, more than an array holds, meet the others once and all come out, repeated ones too."""
+    monkeypatch.setattr(geo, "ROWS_PER_PLACE", 7)
+    places = [(50.0, 8.0), (50.5, 8.5), (-0.0, 180.0), (None, 1.0)]
+    p = frame([(i, *places[i % 4]) for i in range(40)], "p int, ref_lat double, ref_lon double")
+    r = frame([(i // 2, *places[i % 4]) for i in range(60)] + [(99, float("nan"), 8.0)], "r int, lat double, lon double")
+    from marketloom.functions.columns import haversine_km
+
+    expected = rows(p.crossJoin(r).where(haversine_km("ref_lat", "ref_lon", "lat", "lon") <= 100), "p", "r")
+    assert rows(geo.distance_join(p, r, 100.0), "p", "r") == expected and len(expected) == 750
+    near = geo._near_places(geo._by_place(p, "ref_lat", "ref_lon", "_p"), geo._by_place(r, "lat", "lon", "_r"), 100.0)
+    assert near.select("_p_lat", "_r_lat").distinct().count() == 5 and near.count() <= 36
+
+
 @pytest.mark.parametrize("lat, lon, km", [(51.0, -114.0, 800), (89.0, 0.0, 500), (0.0, 179.5, 300), (10.0, 10.0, 21000)])
 def test_bounding_box_never_loses_rows(frame, lat, lon, km):
     random.seed(7)
