@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -49,6 +51,14 @@ def test_tfidf_against_numpy(frame):
     assert {r.term for r in features.tfidf(df, "k", "t", max_features=1).collect()} == {"b"}
 
 
+def test_tfidf_tasks_follow_the_size_of_the_texts(frame, monkeypatch):
+    monkeypatch.setattr(features, "TEXT_BYTES_PER_TASK", 100, raising=False)
+    df = frame([(i, "some words of text " * 5) for i in range(30)] + [(None, None)], "k int, t string")
+    out = features.tfidf(df, "k", "t")
+    assert re.search(r"hashpartitioning\(k#\d+, 29\)", out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 120
+
+
 def test_target_encoding_shrinks(frame):
     df = frame([("x", 1.0), ("x", 3.0), ("y", 10.0), (None, 6.0)], "c string, t double")
     got = {r.c: r.encoding for r in features.target_encoding(df, "c", "t").collect()}
