@@ -72,3 +72,30 @@ def test_applying_exchanges_nothing(frame):
 def test_no_terms_is_an_error(frame):
     with pytest.raises(ValueError):
         text_features.TextTerms(inputCol="t").fit(frame([(None,), ("",)], "t string"))
+
+
+@pytest.mark.parametrize("keys", ["hashed", "equal"])
+def test_ngrams_counted_in_slices_by_number(monkeypatch, keys):
+    """Slices of whole texts, a long one by itself; runs that share a key are told apart by their words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_features, "WORDS_PER_SLICE", 7)
+    if keys == "equal":
+        monkeypatch.setattr(text_features.pd.util, "hash_array", lambda names, categorize: np.zeros(len(names), dtype=np.uint64))
+    data = [None if t is None else t.split() for t in texts(40)]
+    total, held = Counter(), Counter()
+    for part in text_features._slices([pa.RecordBatch.from_arrays([pa.array(data, pa.list_(pa.string()))], names=["words"])]):
+        assert len(part.codes) <= 7 or len(set(part.owner)) == 1
+        for size, starts, hashed in text_features._runs(part, 2, 4):
+            for term, n, df in zip(*(c.to_pylist() for c in text_features._counts(part, size, starts, hashed))):
+                total[term] += n
+                held[term] += df
+    want = [[g for g in grams(" ".join(t or []), 4) if " " in g] for t in data]
+    assert total == Counter(g for t in want for g in t) and held == Counter(g for t in want for g in set(t))
+
+
+def test_ngrams_are_not_built_as_rows(frame):
+    """The passes of a fit read the words of a text, and each run of words becomes a row only where it can matter."""
+    df = frame([("a b a b",), ("b a",), (None,)], "t string")
+    got = text_features.frequent_ngrams(df, F.split("t", " "), 3, 1, 2).collect()
+    assert {(r.term, r.total, r.df) for r in got} == {("a", 3, 2), ("b", 3, 2), ("a b", 2, 1)}
