@@ -40,6 +40,8 @@ def partial_ratio(a: str, b: str) -> float:
     """Similarity 0..100 of the shorter text with its best alignment in the longer one."""
     if not a or not b:
         return 100.0 if a == b else 0.0
+    if a in b or b in a:
+        return 100.0
     if len(a) == len(b):
         return max(_best_window(a, b), _best_window(b, a))
     return _best_window(a, b) if len(a) < len(b) else _best_window(b, a)
@@ -122,17 +124,60 @@ class TextBlock:
         at = np.where(inside, self.starts[part][:, None] + np.arange(width), len(self.letters) - 1)
         np.take(bits, self.letters[at], out=body)
         body[~inside] = 0
-        full = ~np.uint64(0) >> np.uint64(_WORD - m)
-        state = np.full((len(part), len(starts)), full, dtype=np.uint64)
-        for i in range(m):
-            match = state & masks[:, i : i + len(starts)]
-            rest = state - match
-            state += match
-            state |= rest
-            state &= full
-        common = m - np.bitwise_count(state).astype(np.int64)
-        covered = np.minimum(starts + m, lengths) - np.maximum(starts, 0)
-        return np.where(covered > 0, 200.0 * common / (m + np.maximum(covered, 1)), 0.0).max(axis=1)
+        return _windows(masks, m, lengths)
+
+
+def _windows(masks: np.ndarray, m: int, lengths: np.ndarray) -> np.ndarray:
+    """Best window of each row; `masks` hold the places of each letter in a text of m letters, m - 1 empty ones at both ends."""
+    starts = np.arange(1 - m, masks.shape[1] - 2 * (m - 1))
+    full = ~np.uint64(0) >> np.uint64(_WORD - m)
+    state = np.full((len(masks), len(starts)), full, dtype=np.uint64)
+    for i in range(m):
+        match = state & masks[:, i : i + len(starts)]
+        rest = state - match
+        state += match
+        state |= rest
+        state &= full
+    common = m - np.bitwise_count(state).astype(np.int64)
+    covered = np.minimum(starts + m, lengths) - np.maximum(starts, 0)
+    return np.where(covered > 0, 200.0 * common / (m + np.maximum(covered, 1)), 0.0).max(axis=1)
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Letters of each text as a row of numbers, filled up by one that no letter has."""
+    out = np.full((len(texts), width), 0xFFFFFFFF, dtype=np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out[np.arange(width) < np.array([len(t) for t in texts])[:, None]] = flat
+    return out
+
+
+def pair_ratios(pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Partial ratio of each distinct pair; pairs of one shorter length are scored together."""
+    out, by_length = {}, {}
+    for a, b in set(pairs):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if not short or len(short) > _WORD or short in long:
+            out[a, b] = partial_ratio(a, b)
+            continue
+        by_length.setdefault(len(short), []).append((short, long, (a, b)))
+        if len(short) == len(long):
+            by_length[len(short)].append((long, short, (a, b)))
+    for m, entries in by_length.items():
+        entries.sort(key=lambda e: len(e[1]))
+        sizes = np.array([len(long) for _, long, _ in entries])
+        start = 0
+        while start < len(entries):
+            some = sizes[start : start + TextBlock.ROWS]
+            part = entries[start : start + max(1, int((np.arange(1, len(some) + 1) * some <= TextBlock.CELLS).sum()))]
+            width = len(part[-1][1])
+            short, long = _codes([e[0] for e in part], m), _codes([e[1] for e in part], width)
+            masks = np.zeros((len(part), width + 2 * (m - 1)), dtype=np.uint64)
+            for i in range(m):
+                masks[:, m - 1 : m - 1 + width] |= (long == short[:, i : i + 1]).astype(np.uint64) << np.uint64(i)
+            for (_, _, pair), score in zip(part, _windows(masks, m, sizes[start : start + len(part), None])):
+                out[pair] = max(out.get(pair, 0.0), float(score))
+            start += len(part)
+    return out
 
 
 def _postings(values: np.ndarray, owner: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -161,7 +206,8 @@ def _in_common(index: dict[int, tuple[np.ndarray, np.ndarray]], values: np.ndarr
 
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    found = pair_ratios([(x, y) for x, y in zip(a, b) if x is not None and y is not None])
+    return pd.Series([None if x is None or y is None else found[x, y] for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -138,3 +138,23 @@ def test_whole_days_rounds_down(frame):
     df = frame([("2021-01-02 00:00:00", "2021-01-01 12:00:00"), ("2021-01-01 00:00:00", "2021-01-02 23:00:00")], "a string, b string")
     got = [r[0] for r in df.select(C.whole_days(F.col("a").cast("timestamp"), F.col("b").cast("timestamp"))).collect()]
     assert got == [-1, 1]
+
+
+def test_pairs_scored_together_equal_each_by_itself():
+    import random
+
+    from marketloom.functions import similarity
+
+    random.seed(8)
+    word = lambda n: "".join(random.choices("abcé😀", k=n))
+    pairs = [(word(random.randint(0, 9)), word(random.randint(0, 30))) for _ in range(400)]
+    pairs += [(word(6), word(6)) for _ in range(60)] + [(word(70), word(90)), ("abc", "abc"), ("b", "abc")]
+
+    def windows(a, b):
+        if not a or not b:
+            return 100.0 if a == b else 0.0
+        ways = [(a, b)] * (len(a) <= len(b)) + [(b, a)] * (len(b) <= len(a))
+        return max(similarity._best_window(s, t) for s, t in ways)
+
+    found = similarity.pair_ratios(pairs)
+    assert all(found[p] == windows(*p) == similarity.partial_ratio(*p) for p in pairs)
