@@ -226,3 +226,34 @@ def test_forest_groups_are_bounded(spark):
 def test_outliers_of_an_empty_table(spark):
     out = outliers.outlier_scores(spark.createDataFrame([], "key long, a double"), "key", ["a"], trees=3, samples=8)
     assert out.count() == 0 and out.columns == ["key", "a", "outlier_score", "outlier_flag"]
+
+
+def test_fits_read_their_rows_once(frame, monkeypatch):
+    """The rows of a fit are written once, with the columns that its stages read; so is the output of stages outside a grid."""
+    written = []
+    monkeypatch.setattr(models, "materialize", lambda df, purpose: written.append((purpose, df.columns)) or df.localCheckpoint())
+    df = frame([(i, str(i), "ab"[i % 2], float(i), 2.0 * i + i % 2) for i in range(40)], "k int, note string, c string, x double, target double")
+    linear = models.least_squares()
+    stages = [*features.one_hot_stages(["c"]), *features.assemble_stages(["x", "c_onehot"]), linear]
+    models.fit(stages, df)
+    assert written == [("train", ["c", "x", "target"])]
+    written.clear()
+    grid = ParamGridBuilder().addGrid(linear.regParam, [0.0, 10.0]).build()
+    results, best = models.grid_search(Pipeline(stages=stages), grid, df.where("k < 30"), df.where("k >= 30"))
+    assert [purpose for purpose, _ in written] == ["train", "train", "valid"] and len(best.stages) == len(stages)
+    assert results[0][1] < 1e-6 < results[1][1] and best.transform(df).count() == 40
+
+
+def test_path_sums_walk_all_trees_alike(monkeypatch):
+    monkeypatch.setattr(outliers, "ROWS_IN_CACHE", 7)
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(50, 3))
+    trees = [outliers._grow_tree(rng.normal(size=(n, 3)), 5, rng) for n in (1, 2, 40)]
+
+    def walk(row, tree):
+        at, (feature, lower, cut) = 0, tree
+        while feature[at] >= 0:
+            at = lower[at] + int(row[feature[at]] > cut[at])
+        return cut[at]
+
+    assert outliers._path_sums(data, trees).tolist() == [walk(r, trees[0]) + walk(r, trees[1]) + walk(r, trees[2]) for r in data]
