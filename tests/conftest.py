@@ -17,6 +17,7 @@ def spark():
         spark__sql__shuffle__partitions=4,
         spark__ui__enabled="false",
         spark__driver__memory="4g",
+        spark__sql__maxMetadataStringLength=1000,  # plans show whole paths, however long the temporary folder
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="marketloom-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
