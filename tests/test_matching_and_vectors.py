@@ -75,6 +75,36 @@ def test_few_pairs_are_scored():
     assert block.scored < 0.03 * 400 * 200
 
 
+def _numbered(draw, size):
+    parts = [(f"{draw.choice(['steel', 'blue', 'old'])} {draw.choice(['gear', 'wheel', 'bolt'])}", draw.randrange(10**6)) for _ in range(size)]
+    return [f"selling {name.replace('e', 'ee')} {number} cheap" for name, number in parts], sorted({f"{name} {number}" for name, number in parts})
+
+
+def test_candidates_that_share_beginnings_match_exactly():
+    texts, candidates = _numbered(random.Random(7), 60)
+    candidates = [*candidates, candidates[0], candidates[0][:9], "selling", "cheap", "heap of", "p" * 64]
+    truth = np.array([[slow_ratio(c, t) for c in candidates] for t in texts])
+    for n, threshold in [(1, 70), (3, 0)]:
+        top, pick = matching.best_of_block(TextBlock(texts), candidates, n, threshold)
+        for i in range(len(texts)):
+            want = [j for j in sorted(range(len(candidates)), key=lambda j: (-truth[i, j], j)) if truth[i, j] >= threshold][:n]
+            assert [int(j) for s, j in zip(top[i], pick[i]) if j >= 0 and s >= threshold] == want
+            assert [s for s in top[i] if s >= threshold] == [truth[i, j] for j in want]
+
+
+def test_work_does_not_grow_with_pairs(monkeypatch):
+    """Eight times the candidates cost a text less than four times the steps, and no bound is taken of every pair."""
+    bounded = []
+    monkeypatch.setattr(TextBlock, "bounds", lambda self, candidate, plain=TextBlock.bounds: bounded.append(len(self.texts)) or plain(self, candidate))
+    steps = []
+    for size in (300, 2400):
+        texts, candidates = _numbered(random.Random(8), size)
+        block = TextBlock(texts[:100])
+        matching.best_of_block(block, candidates, 1, 70)
+        steps.append(block.visited)
+    assert not bounded and steps[1] < 4 * steps[0]
+
+
 def test_one_very_long_text_does_not_widen_the_others():
     block = TextBlock(["short one", "y" * 300_000 + "needle", "needles"])
     assert list(block.partial_ratios("needle")) == [pytest.approx(slow_ratio("needle", "short one")), 100.0, 100.0]
