@@ -84,6 +84,13 @@ def test_spec_tables(frame):
     assert rows(got) == [("s", 0, "price_range", "$1"), ("s", 1, "wheel_set", "X")]
 
 
+def test_pages_of_one_task_are_parsed_by_many(frame):
+    html = "<table><tr><th>Fork</th><td>Carbon</td></tr></table>"
+    pages = frame([(i, html) for i in range(200)], "page_id int, html string").coalesce(1)
+    per_task = P.spec_table_rows(pages, ["page_id"]).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 200 and max(r["count"] for r in per_task) <= 100
+
+
 def test_model_links(frame):
     link_rows = frame([(1, 0, "/a", "2020 Santa Cruz Nomad"), (1, 1, "/b", "2020 Santana"), (1, 2, "/c", "Nomad 2020"), (2, 0, "/d", "see 2019 Trek X")], "page_id int, pos int, href string, text string")
     makers = frame([("Santa Cruz",), ("Trek",), ("Santa",)], "manufacturer string")
