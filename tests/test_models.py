@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -96,6 +97,27 @@ def test_boosting_beats_the_mean(priced):
     assert boosted < base
 
 
+def test_iterative_fits_get_tasks_of_bounded_size(priced, monkeypatch):
+    most = []
+
+    def spy(kind):
+        plain = kind._fit
+        count = lambda df: most.append(max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+        monkeypatch.setattr(kind, "_fit", lambda self, df: count(df) or plain(self, df))
+
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 20, raising=False)
+    spy(GBTRegressor)
+    spy(LinearRegression)
+    stages = features.assemble_stages(["a", "b"])
+    model = models.fit([*stages, models.boosted_trees(maxIter=2)], priced.coalesce(1))
+    assert model.transform(priced).where("pred is not null").count() == priced.count()
+    linear = models.robust_linear()
+    grid = ParamGridBuilder().addGrid(linear.regParam, [0.0, 1.0]).build()
+    models.grid_search(Pipeline(stages=[*stages, linear]), grid, priced.coalesce(1), priced)
+    models.grid_search(linear, grid, models.fit(stages, priced).transform(priced).coalesce(1), models.fit(stages, priced).transform(priced))
+    assert len(most) == 5 and max(most) <= 40
+
+
 def test_sweep_and_partial_dependence(priced):
     model = models.fit([*features.assemble_stages(["a", "b"]), models.robust_linear()], priced)
     swept = models.sweep(priced.limit(2), "a", F.array(F.lit(0), F.lit(1)), model)
