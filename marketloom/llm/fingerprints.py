@@ -20,7 +20,7 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003741, 1618033989)
 CHUNK = 1024  # digits of a chunk: 255 * 2 ** 31 * 1024 < 2 ** 53 keeps its float64 dot product exact
 COMPARE_BYTES = 65536
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 1_000_000  # a slab's working arrays take some forty bytes for each of its own
 
 
 def combine(left: int, right: int, right_bytes: int) -> int:
@@ -74,8 +74,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def fp(texts: pa.Array) -> pa.Array:
         return fingerprints(texts)
 
-    of = F.arrow_udf(fp, "long")
-    return docs.withColumn("_fp", of(F.col(text_col))).withColumn("_bytes", F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
+    # Never null, and Spark knows it by the coalesce: else a join on the key first filters by it, in another pass through Python.
+    of = F.coalesce(F.arrow_udf(fp, "long")(F.col(text_col)), F.lit(0).cast("long"))
+    return docs.withColumn("_fp", of).withColumn("_bytes", F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
 
 
 def differing(marked: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFrame:
@@ -122,16 +123,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Equal rows that share id and text differ in other columns at most; one of them stays.
     """
     groups = materialize(exact_groups(docs, id_col, text_col), "exact-groups")
-    key = ["_fp", "_bytes"]
-    same = groups.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy(F.col(id_col).alias("_keep_id"), *key, "_split").agg(F.count(F.lit(1)).alias("_ties"))
+    same = groups.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy(F.col(id_col).alias("_keep_id"), "text_sha256").agg(F.count(F.lit(1)).alias("_ties"))
     same = materialize(same, "kept")
-    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    marked = with_fingerprint(named, "_text").withColumnRenamed("_fp", "_fp_of").withColumnRenamed("_bytes", "_bytes_of")
-    sha = F.sha2(F.coalesce("_text", F.lit("")), 256)
-    match = (F.col("_fp_of") == F.col("_fp")) & (F.col("_bytes_of") == F.col("_bytes")) & F.col("_id").eqNullSafe(F.col("_keep_id")) & ((F.col("_split") == "") | (F.col("_split") == sha))
-    stay = marked.join(same, match)
+    # Rows of one id and digest are in one group, so they are found without another fingerprint, and a text travels once.
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
+    stay = named.join(same, (F.col("_sha") == F.col("text_sha256")) & F.col("_id").eqNullSafe(F.col("_keep_id")))
     lone = stay.filter("_ties = 1").select("_row.*")
     if not same.filter("_ties > 1").limit(1).count():
         return lone
-    tied = stay.filter("_ties > 1").groupBy("_keep_id", *key, "_split").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    tied = stay.filter("_ties > 1").groupBy("_keep_id", "text_sha256").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return lone.unionByName(tied.select("_row.*"))

@@ -246,9 +246,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def _means(docs: DataFrame, model: LanguageModel) -> dict[str, list[float]]:
     """Language of the documents -> mean cross-entropy of its texts under each model; very short texts are left out."""
-    told = _scored(docs, model, "text").filter("_symbols >= 40")
-    means = [F.avg(F.col("_all")[i]) for i in range(len(model.languages))]
-    return {r[0]: list(r[1:]) for r in told.groupBy("lang").agg(*means).collect()}
+    told = _scored(docs, model, "text")
+    # A filter would score the texts a second time, below it.
+    means = [F.avg(F.when(F.col("_symbols") >= 40, F.col("_all")[i])) for i in range(len(model.languages))]
+    return {r[0]: list(r[1:]) for r in told.groupBy("lang").agg(*means).collect() if r[1] is not None}
 
 
 def _scored(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:

@@ -54,6 +54,24 @@ def test_exact_dedup_keeps_columns_and_one_of_repeated_rows(spark):
     assert sum(r["kept"] for r in fp.exact_groups(df).collect()) == len(kept)
 
 
+def test_exact_dedup_fetches_its_rows_without_another_pass_through_python(spark, tmp_path):
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/docs")
+    out = fp.exact_dedup(spark.read.parquet(f"{tmp_path}/docs"))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert Counter(r["text"] or "" for r in out.collect()) == Counter({t: 1 for t in groups_by_hand(corpus())})
+
+
+def test_chunks_of_repeated_keys_are_hashed_once(spark):
+    marked = fp.with_fingerprint(spark.createDataFrame(corpus(), SCHEMA).select("text"))
+    keys = spark.createDataFrame([(0, 0)], "_fp long, _bytes long")
+    assert fp.differing(marked, keys)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_slab_of_short_texts_is_hashed_like_single_texts():
+    texts = ["", "a" * 3 * fp.SLAB_BYTES, *(f"t{i}" for i in range(3000)), "é" * fp.SLAB_BYTES, None]
+    assert fp.fingerprints(pa.array(texts)).to_pylist() == [fp.fingerprints(pa.array([t], pa.string())).to_pylist()[0] for t in texts]
+
+
 def test_unequal_texts_under_one_fingerprint_are_told_apart(spark):
     rows = [(1, 7, 2, "ab"), (2, 7, 2, "ab"), (3, 8, 2, "ab"), (4, 8, 2, "ba"), (5, 9, 70000, "a" * 70000), (6, 9, 70000, "a" * 69999 + "b")]
     marked = spark.createDataFrame(rows, "doc_id long, _fp long, _bytes long, text string")

@@ -7,7 +7,7 @@ import pytest
 
 from marketloom.llm import language, toxicity
 
-from .data import SCHEMA
+from .data import SCHEMA, sentence
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "ten", "ur"], "bb": ["sch", "ver", "ung", "ein", "er"], "cc": ["eau", "que", "oi", "ment", "ré"]}
 
@@ -170,3 +170,17 @@ def test_toxicity_without_labels_or_rows(spark, toxic_model):
     model = toxicity.fit(empty.select("doc_id", "text"), empty.select("doc_id", "toxic"))
     assert model.lexicon == {} and toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model).count() == 1
     assert toxicity.score(empty, toxic_model).collect() == []
+
+
+def test_calibration_scores_each_text_once(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, sentence(rng, 40, "abcd" if i % 2 else "wxyz"), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    passes, collect = [], type(docs).collect
+
+    def counted(df):
+        passes.append(df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+        return collect(df)
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = language.fit(docs)
+    assert max(passes) == 1 and all(0 < x < 100 for x in model.limits)
