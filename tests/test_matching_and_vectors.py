@@ -153,6 +153,24 @@ def test_augment_with_specs(frame):
     ]
 
 
+def test_spec_urls_are_dealt_out_and_parsed_once_for_a_match(frame, tmp_path, monkeypatch):
+    specs = [(f"https://s/bikes/maker{i % 3}/2018/Model-{i}",) for i in range(30)]
+    frame(specs, "spec_url string").coalesce(1).write.parquet(f"{tmp_path}/specs")
+    catalogue = matching.spec_catalogue(frame([], "id int").sparkSession.read.parquet(f"{tmp_path}/specs"))
+    assert "RoundRobinPartitioning" in catalogue._jdf.queryExecution().executedPlan().toString()
+    written, plain = [], matching.materialize
+
+    def kept(df, purpose):
+        written.append("regexp_extract" in df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, purpose)
+
+    monkeypatch.setattr(matching, "materialize", kept)
+    ads = frame([("2018", "maker1 model-4 large")], "year string, ad_title string")
+    out = matching.fuzzy_match(ads, catalogue)
+    assert [r["match_model"] for r in out.collect()] == ["Model-4"]
+    assert sum(written) == 1 and "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def brute_neighbours(q, t, k, skip):
     unit = lambda v: v / (np.linalg.norm(v) or 1.0)
     out = []
