@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from marketloom.functions.similarity import TextBlock, _lcs_length, partial_ratio
 from marketloom.operators import matching, vectors
 
@@ -225,3 +226,20 @@ def test_random_directions_meet_in_blocks(frame, monkeypatch):
     rng = np.random.default_rng(2)
     df = frame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 16)))], "id long, v array<double>")
     assert vectors.nearest_many(df, df, 3, True).count() == 600 and "visits" not in purposes
+
+
+@pytest.mark.parametrize("name", ["j16_nearest_vectors"])
+def test_every_vector_asks_for_its_neighbours(frame, spark, tmp_path, name):
+    """Also those of odd, negative or repeated ids; the SQL says the same."""
+    rng = np.random.default_rng(4)
+    ids = [-7, 1, 19, 20, 21, 40, *range(101, 130), 20]
+    data = [(i, [float(x) for x in v]) for i, v in zip(ids, rng.normal(size=(len(ids), 8)).astype(np.float32))]
+    frame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = entry_module.queries()[name](spark, str(tmp_path)).select("query_id", "neighbour_id", "distance", "rank").collect()
+    assert {r.query_id for r in got} == set(ids) and len(got) == 30 * len(set(ids))
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as c:
+        c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(entry_module.oracle_sql()[name]).fetchall()
+    assert sorted((r.query_id, r.rank, r.neighbour_id) for r in got) == sorted((q, rank, n) for q, n, _, rank in want)
+    assert sorted(r.distance for r in got) == pytest.approx(sorted(d for *_, d, _ in want), abs=2e-6)
