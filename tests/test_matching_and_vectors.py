@@ -228,7 +228,7 @@ def test_random_directions_meet_in_blocks(frame, monkeypatch):
     assert vectors.nearest_many(df, df, 3, True).count() == 600 and "visits" not in purposes
 
 
-@pytest.mark.parametrize("name", ["j16_nearest_vectors"])
+@pytest.mark.parametrize("name", ["j16_nearest_vectors", "j16_nearest_vectors_many"])
 def test_every_vector_asks_for_its_neighbours(frame, spark, tmp_path, name):
     """Also those of odd, negative or repeated ids; the SQL says the same."""
     rng = np.random.default_rng(4)
