@@ -118,6 +118,65 @@ def test_iterative_fits_get_tasks_of_bounded_size(priced, monkeypatch):
     assert len(most) == 5 and max(most) <= 40
 
 
+def _cellular(spark, repeats):
+    """Few distinct cells; `c` has more values than bins."""
+    rng = np.random.default_rng(3)
+    data = [(float(a), float(b) / 4, float(c), k) for a, b, c, k in zip(rng.integers(0, 9, 300), rng.integers(-3, 3, 300), np.round(rng.normal(size=300), 3), rng.choice(list("xyz"), 300))]
+    rows_ = [(i * 300 + j, a, b, c, k, 3 * a - b * b + 5 * c + 7 * (k == "x") + float(rng.normal())) for i in range(repeats) for j, (a, b, c, k) in enumerate(data)]
+    return spark.createDataFrame(rows_, "key long, a double, b double, c double, kind string, target double")
+
+
+def test_boosted_trees_read_cells_and_predict_as_from_rows(spark, monkeypatch):
+    fitted = []
+    plain_fit = GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, df: fitted.append(df.count()) or plain_fit(self, df))
+    df = _cellular(spark, 12)
+    stages = [*features.one_hot_stages(["kind"]), *features.assemble_stages(["a", "b", "c", "kind_onehot"]), models.boosted_trees(maxIter=3)]
+    rows_model = models.fit(stages, df)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    cells_model = models.fit(stages, df)
+    assert fitted[0] == 3600 and fitted[1] <= 300
+    both = rows_model.transform(df).select("key", F.col("pred").alias("other")).join(cells_model.transform(df), "key").collect()
+    assert len(both) == 3600 and [r.pred for r in both] == pytest.approx([r.other for r in both], abs=1e-9)
+    at = cells_model.stages[-1]
+    assert at.explainParams() == rows_model.stages[-1].explainParams() and at.uid == stages[-1].uid
+    assert list(at.featureImportances) == pytest.approx(list(rows_model.stages[-1].featureImportances), abs=0.01)  # equal gains may go to another feature
+    path = shared_folder(spark, "model")
+    cells_model.write().save(path)
+    assert PipelineModel.load(path).transform(df).exceptAll(cells_model.transform(df)).count() == 0
+
+
+def test_boosted_trees_read_rows_where_cells_do_not_tell_all(spark, monkeypatch):
+    fitted = []
+    plain_fit = GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, df: fitted.append(df.count()) or plain_fit(self, df))
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    df = _cellular(spark, 2)
+    numbers = features.assemble_stages(["a", "b", "c"])
+    for params in ({"lossType": "absolute"}, {"subsamplingRate": 0.5}, {"minInstancesPerNode": 5}, {"weightCol": "b"}):
+        models.fit([*numbers, models.boosted_trees(maxIter=1, **params)], df.withColumn("b", F.abs("b") + 1))
+    coded = [*features.one_hot_stages(["kind"]), *features.assemble_stages(["a", "kind_onehot"], scale=False)]
+    models.fit([*coded, models.boosted_trees(maxIter=1)], df)  # columns of 0 and 1 are categories there
+    assert fitted == [600] * 5
+    for odd in (df.withColumn("a", F.when(F.col("key") != 7, F.col("a"))), df.withColumn("target", F.when(F.col("key") != 7, F.col("target")))):
+        with pytest.raises(Exception, match="(?i)nan"):
+            models.fit([*numbers, models.boosted_trees(maxIter=1)], odd)
+
+
+@pytest.mark.parametrize("most", [3, 31, 200])
+def test_thresholds_are_those_of_spark(spark, most):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rng = np.random.default_rng(8)
+    values = np.round(rng.normal(size=900), 1)
+    df = spark.createDataFrame([(float(v), float(np.sin(40 * v))) for v in values], "a double, target double")
+    rows_ = features.assemble_stages(["a"], scale=False)[0].transform(df)
+    tree = DecisionTreeRegressor(labelCol="target", maxDepth=10, maxBins=most + 1).fit(rows_)
+    used = {float(x) for x in re.findall(r"<= (\S+?)\)", tree.toDebugString)}
+    found = models._thresholds(values, most)
+    assert used and used <= {float(x) for x in found} and len(found) <= most
+
+
 def test_sweep_and_partial_dependence(priced):
     model = models.fit([*features.assemble_stages(["a", "b"]), models.robust_linear()], priced)
     swept = models.sweep(priced.limit(2), "a", F.array(F.lit(0), F.lit(1)), model)
